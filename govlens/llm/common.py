@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text handled at once by one Arrow function, in bytes.
@@ -53,7 +54,7 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = BATCH_
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
+        sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
         ends = np.cumsum(sizes + 16)
         at = 0
         while at < batch.num_rows:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from govlens.llm.common import table
 from govlens.llm.decontamination import contamination
 from govlens.llm.html_text import extract_text
+from govlens.llm.jaccard import jaccard_components
+from govlens.llm.line_dedup import dedup_lines
 from govlens.llm.packing import pack_documents
 from govlens.llm.quality import select_quality
 from govlens.llm.sharding import shard_documents
@@ -23,6 +25,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_deleted", F.octet_length("text").cast("long").alias("kept_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
@@ -32,6 +39,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = shard_documents(table(spark, sf_dir, "documents"), shards=24)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -45,10 +56,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packing, op4_html_text, op5_decontamination, op7_sharding, op9_token_counts, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packing, op3_line_dedup, op4_html_text, op5_decontamination, op6_jaccard_join, op7_sharding, op9_token_counts, op10_quality)}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLES: dict[str, str] = {
+    "op3_line_dedup": """
+WITH lines AS (SELECT doc_id, text IS NULL AS none, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS pos FROM documents WHERE text IS NOT NULL),
+worded AS (SELECT doc_id, line, pos, len(list_filter(string_split(line, ' '), lambda x: x <> '')) AS n FROM lines),
+next AS (SELECT doc_id, line, pos, n, lead(line, 1) OVER o AS l1, lead(n, 1) OVER o AS n1, lead(pos, 1) OVER o AS p1, lead(line, 2) OVER o AS l2, lead(pos, 2) OVER o AS p2
+         FROM worded WHERE n > 0 WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+runs AS (SELECT doc_id, pos, CASE WHEN n >= 50 THEN pos WHEN n + n1 >= 50 THEN p1 ELSE p2 END AS last,
+                CASE WHEN n >= 50 THEN line WHEN n + n1 >= 50 THEN line || chr(10) || l1 ELSE line || chr(10) || l1 || chr(10) || l2 END AS run FROM next),
+ranked AS (SELECT doc_id, pos, last, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS nth FROM runs WHERE last IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(pos, last)) AS pos FROM ranked WHERE nth > 1),
+kept AS (SELECT doc_id, count(*) AS n_lines, count(g.pos) AS n_deleted, coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL), '') AS body FROM lines l LEFT JOIN gone g USING (doc_id, pos) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_deleted, 0) AS n_deleted, CAST(strlen(body) AS BIGINT) AS kept_bytes, sha256(body) AS kept_sha256 FROM documents d LEFT JOIN kept USING (doc_id)""",
     "op5_decontamination": rf"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

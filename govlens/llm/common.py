@@ -91,12 +91,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 ROOT = np.uint64(0x9E3779B97F4A7C15)
 
 
+_powers: dict[int, np.ndarray] = {}
+
+
 def powers(n: int, base: np.uint64 = ROOT) -> np.ndarray:
     """base**0 .. base**n modulo 2**64."""
-    out = np.empty(n + 1, np.uint64)
-    out[0] = 1
-    np.multiply.accumulate(np.full(n, base, np.uint64), out=out[1:])
-    return out
+    known = _powers.get(int(base))
+    if known is None or len(known) <= n:
+        known = np.empty(n + 1, np.uint64)
+        known[0] = 1
+        np.multiply.accumulate(np.full(n, base, np.uint64), out=known[1:])
+        if n <= 2 * BATCH_BYTES:
+            _powers[int(base)] = known
+    return known[: n + 1]
 
 
 INVERSE = np.uint64(pow(int(ROOT), -1, 1 << 64))

@@ -16,6 +16,7 @@ from govlens.llm.line_dedup import dedup_lines
 from govlens.llm.packing import pack_documents
 from govlens.llm.quality import select_quality
 from govlens.llm.sharding import shard_documents
+from govlens.llm.suffix_dedup import remove_repeats
 from govlens.llm.tokens import token_counts
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -48,6 +49,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -56,7 +61,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packing, op3_line_dedup, op4_html_text, op5_decontamination, op6_jaccard_join, op7_sharding, op9_token_counts, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packing, op3_line_dedup, op4_html_text, op5_decontamination, op6_jaccard_join, op7_sharding, op8_suffix_dedup, op9_token_counts, op10_quality)}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLES: dict[str, str] = {

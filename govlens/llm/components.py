@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +11,25 @@ from govlens.llm.common import stored
 MAX_ROUNDS = 60
 
 
+class Forest:
+    """Components of up to a few thousand members within one task; root is each one's smallest fellow."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def link(self, a: np.ndarray, b: np.ndarray, linked: np.ndarray) -> None:
+        """Join members a[i] and b[j] wherever linked[i, j]."""
+        apart = linked & (self.root[a][:, None] != self.root[b][None, :])
+        for i in np.flatnonzero(apart.any(axis=1)):
+            found = np.unique(self.root[np.append(b[linked[i]], a[i])])
+            if len(found) > 1:
+                self.root[np.isin(self.root, found)] = found[0]
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        child = np.flatnonzero(self.root != np.arange(len(self.root)))
+        return child, self.root[child]
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b); the component is its smallest node. Nulls are not nodes."""
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())

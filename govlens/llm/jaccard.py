@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from govlens.llm.common import arrow_bounds, by_bytes, mix, stored, utf8
-from govlens.llm.components import connected_components
+from govlens.llm.components import Forest, connected_components
 from govlens.llm.decontamination import _VALUE, grams, words
 
 SHINGLE, PERCENT = 4, 85
@@ -131,7 +131,7 @@ class Region:
         self.column = number[self.column[keep]]
         self.ends = np.searchsorted(owner, np.arange(len(self.size) + 1))
         self.n_columns = int(shared.sum())
-        self.root = np.arange(len(self.size))
+        self.forest = Forest(len(self.size))
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Sizes of the intersections of sets a with sets b."""
@@ -153,18 +153,9 @@ class Region:
         out[row[here], column[here] - at] = 1
         return out
 
-    def find(self, i: int) -> int:
-        while self.root[i] != i:
-            self.root[i] = self.root[self.root[i]]
-            i = self.root[i]
-        return i
-
     def link(self, a: np.ndarray, b: np.ndarray, common: np.ndarray) -> None:
         union = self.size[a][:, None] + self.size[b][None, :] - common
-        for i, j in zip(*np.nonzero(100 * common >= self.percent * union)):
-            x, y = self.find(a[i]), self.find(b[j])
-            if x != y:
-                self.root[max(x, y)] = min(x, y)
+        self.forest.link(a, b, 100 * common >= self.percent * union)
 
     def join(self, members: np.ndarray) -> None:
         """Link all members within the radius of each other."""
@@ -202,10 +193,8 @@ def _links(regions: DataFrame, percent: int) -> DataFrame:
             a, b = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
             for at in range(0, len(a), 256):
                 region.link(a[at : at + 256], b, region.common(a[at : at + 256], b))
-        roots = np.array([region.find(k) for k in range(rows.num_rows)], np.int64)
-        child = np.flatnonzero(roots != np.arange(rows.num_rows))
-        key = rows["key"]
-        return pa.table({"a": key.take(pa.array(child)), "b": key.take(pa.array(roots[child]))})
+        child, root = region.forest.edges()
+        return pa.table({"a": rows["key"].take(pa.array(child)), "b": rows["key"].take(pa.array(root))})
 
     kind = regions.schema["key"].dataType.simpleString()
     return regions.groupBy("region", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")

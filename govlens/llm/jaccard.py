@@ -154,6 +154,7 @@ class Region:
         return out
 
     def link(self, a: np.ndarray, b: np.ndarray, common: np.ndarray) -> None:
+        common = common.astype(np.int64)
         union = self.size[a][:, None] + self.size[b][None, :] - common
         self.forest.link(a, b, 100 * common >= self.percent * union)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from govlens.llm.common import table
 from govlens.llm.decontamination import contamination
+from govlens.llm.embedding_dedup import near_duplicates
 from govlens.llm.html_text import extract_text
 from govlens.llm.jaccard import jaccard_components
 from govlens.llm.line_dedup import dedup_lines
@@ -22,6 +23,10 @@ from govlens.llm.tokens import token_counts
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -61,7 +66,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packing, op3_line_dedup, op4_html_text, op5_decontamination, op6_jaccard_join, op7_sharding, op8_suffix_dedup, op9_token_counts, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op2_packing, op3_line_dedup, op4_html_text, op5_decontamination, op6_jaccard_join, op7_sharding, op8_suffix_dedup, op9_token_counts, op10_quality)}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLES: dict[str, str] = {

@@ -1,10 +1,6 @@
-"""All queries over the driver's tables, with their SQL twins."""
+"""All queries over the stored tables, with their SQL twins."""
 
-from __future__ import annotations
+from govlens.plans import governance, insight  # noqa: F401
+from govlens.plans.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

@@ -105,7 +105,7 @@ def log_weights(docs: DataFrame, ratios: np.ndarray, orders: tuple[int, ...] = (
         for batch in by_bytes(batches, "text"):
             text, bucket = features(*utf8(batch.column("text")), orders, bits)
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.bincount(text, sent.value[bucket], minlength=n)), pa.array(np.bincount(text, minlength=n))], ["key", "log_weight", "n_grams"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.bincount(text, sent.value[bucket], minlength=n).astype(float)), pa.array(np.bincount(text, minlength=n))], ["key", "log_weight", "n_grams"])
 
     kind = docs.schema["key"].dataType.simpleString()
     return docs.select("key", "text").mapInArrow(score, f"key {kind}, log_weight double, n_grams long")

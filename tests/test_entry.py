@@ -11,6 +11,11 @@ import pytest
 from govlens.queries import ORACLES, QUERIES
 
 
+@pytest.fixture(scope="module")
+def sf_dir():
+    return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+
+
 @pytest.fixture(scope="module")
 def database(sf_dir):
     c = duckdb.connect()

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text handled at once by one Arrow function, in bytes.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 _written: list[tuple[SparkSession, str]] = []
 
 

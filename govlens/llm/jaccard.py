@@ -3,15 +3,18 @@
 The distance of two shingle sets, 1 - |x & y| / |x | y|, is a metric, and linked documents are at most RADIUS apart.
 
 1. Copies (equal sets) collapse to their smallest key.
-2. Pivots: a link's two sets share one of their first n - ceil((1 - RADIUS) n) + 1 shingles in any common order. Of all
-   sets with such a shingle in common the smallest key is the pivot, and they form its region; a document near a boundary
-   is replicated to the region of each of its shingles. The order puts shingles last that are frequent in a sample, which
-   keeps regions small; it has no influence on the result.
-3. Within a region, sampled members are pivots again: each member goes to the nearest one's cell and, since a link moves
+2. Pivots: a link's two sets share one of their first n - ceil((1 - RADIUS) n) + 1 shingles in any common order, and one
+   that is even earlier in the smaller set. Of all sets with such a shingle in common the smallest key is the pivot, and
+   they form its region; a document near a boundary is replicated to the region of each of its shingles. The order puts
+   shingles last that are frequent in a sample, which keeps regions small; it has no influence on the result. Regions that
+   overlap are joined as one while they are small together.
+3. A parity bitmap of about one bit a shingle bounds a distance from below (differing bits need differing shingles). Members
+   of a region that no bitmap of it comes near are done, and the others meet again in the components of what is left.
+4. There, with whole sets, sampled members are pivots again: each member goes to the nearest one's cell and, since a link moves
    neither distance by more than RADIUS, also to every cell whose pivot is at most 2 RADIUS further away than the nearest.
    Cells recur until they are small or stop shrinking, and then all their distances are computed.
-4. A large region is dealt to several tasks by pairs of chunks of its members.
-5. Links leave a task as a forest, and the components of all forests are the result.
+5. A large region is dealt to several tasks by pairs of chunks of its members.
+6. Links leave a task as a forest, and the components of all forests are the result.
 """
 
 from __future__ import annotations
@@ -29,23 +32,23 @@ from govlens.llm.decontamination import _VALUE, grams, words
 
 SHINGLE, PERCENT = 4, 85
 #: Documents sampled for the order of shingles, and how many frequent shingles are put last.
-ORDER_SAMPLE, ORDER_SIZE = 20_000, 200_000
+ORDER_SAMPLE, ORDER_SIZE = 4_000, 200_000
 #: Members of a region that one task compares; sets sent to every task instead of shuffling the texts.
-CHUNK, MAX_SENT = 1024, 1_000_000
+CHUNK, MAX_SENT = 512, 1_000_000
 
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[9, 10, 11, 12, 13, 32]] = False
 
 
-def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(text number, hash) of the distinct shingles of each text, in order."""
     word, first = words(raw, offsets, _IS_WORD, _VALUE)
     counts = np.diff(first)
     owner = np.repeat(np.arange(len(counts)), counts)
-    h = grams(word, SHINGLE)
-    inside = owner[: len(h)] == owner[SHINGLE - 1 :] if len(h) else np.zeros(0, bool)
+    h = grams(word, shingle)
+    inside = owner[: len(h)] == owner[shingle - 1 :] if len(h) else np.zeros(0, bool)
     owners, hashes = [owner[: len(h)][inside]], [h[inside]]
-    for k in range(1, SHINGLE):
+    for k in range(1, shingle):
         short = np.flatnonzero(counts == k)
         if len(short):
             owners.append(short)
@@ -62,12 +65,12 @@ def _lists(owner: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and counts of shingles that several of the sampled documents hold, sorted by hash."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
-            h, n = np.unique(shingle_sets(*utf8(batch.column("text")))[1], return_counts=True)
+            h, n = np.unique(shingle_sets(*utf8(batch.column("text")), shingle)[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
     every = max(1, rows.count() // ORDER_SAMPLE)
@@ -78,15 +81,18 @@ def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
-def signatures(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(key, n, h1, h2, prefix) of each row (key, text): set size, hashes of the set, and its first shingles."""
-    frequent = rows.sparkSession.sparkContext.broadcast(_frequent(rows))
+def signatures(rows: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+    """(key, n, h1, h2, k, bitmap, prefix) of each row (key, text): set size, hashes of the set, its first shingles.
+
+    Of prefix the first k count when the partner's set is at least as large.
+    """
+    frequent = rows.sparkSession.sparkContext.broadcast(_frequent(rows, shingle))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count = frequent.value
         for batch in by_bytes(batches, "text"):
             size = batch.num_rows
-            owner, h = shingle_sets(*utf8(batch.column("text")))
+            owner, h = shingle_sets(*utf8(batch.column("text")), shingle)
             n = np.bincount(owner, minlength=size)
             rank = np.zeros(len(h), np.int64)
             if len(known):
@@ -100,16 +106,25 @@ def signatures(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
                 total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h + np.uint64(salt)), dtype=np.uint64)))
                 ends = np.searchsorted(owner, np.arange(size + 1))
                 sums.append(pa.array((total[ends[1:]] - total[ends[:-1]]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n.astype(np.int64)), *sums, _lists(owner[chosen], h[order][chosen], size)], ["key", "n", "h1", "h2", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n.astype(np.int64)), *sums, pa.array(n - (2 * percent * n + 99 + percent) // (100 + percent) + 1), _bitmaps(owner, h, n), _lists(owner[chosen], h[order][chosen], size)], ["key", "n", "h1", "h2", "k", "bitmap", "prefix"])
 
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(make, f"key {kind}, n long, h1 long, h2 long, prefix array<long>")
+    return rows.mapInArrow(make, f"key {kind}, n long, h1 long, h2 long, k long, bitmap binary, prefix array<long>")
+
+
+def _bitmaps(owner: np.ndarray, h: np.ndarray, n: np.ndarray) -> pa.Array:
+    """For each text the parity of its shingles in 2**k >= n bits, at least 64, by hash."""
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    ends = np.concatenate(([0], np.cumsum(bits)))
+    at = ends[owner] + (mix(h) & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(at, minlength=ends[-1]) & 1).astype(np.uint8), bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ends // 8).astype(np.int32)), pa.py_buffer(packed)])
 
 
-def _sets(rows: DataFrame) -> DataFrame:
+def _sets(rows: DataFrame, shingle: int) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
-            owner, h = shingle_sets(*utf8(batch.column("text")))
+            owner, h = shingle_sets(*utf8(batch.column("text")), shingle)
             yield pa.RecordBatch.from_arrays([batch.column("key"), _lists(owner, h, batch.num_rows)], ["key", "shingles"])
 
     return rows.select("key", "text").mapInArrow(make, f"key {rows.schema['key'].dataType.simpleString()}, shingles array<long>")
@@ -118,7 +133,7 @@ def _sets(rows: DataFrame) -> DataFrame:
 class Region:
     """Shingle sets side by side, and their exact distances."""
 
-    LEAF, PIVOTS, COLUMNS = 96, 8, 4096
+    LEAF, PIVOTS, COLUMNS = 96, 8, 2048
 
     def __init__(self, values: np.ndarray, ends: np.ndarray, percent: int):
         self.size = np.diff(ends)
@@ -177,6 +192,54 @@ class Region:
             self.join(members[within[:, k]])
 
 
+class Bitmaps:
+    """Parity bitmaps side by side, and which pairs they can't rule out."""
+
+    def __init__(self, n: np.ndarray, bitmaps: list[bytes], percent: int):
+        self.n, self.percent = n, percent
+        self.width = np.array([len(b) // 8 for b in bitmaps])
+        self.words = {int(w): np.zeros((len(n), w), np.uint64) for w in np.unique(self.width)}
+        for i, b in enumerate(bitmaps):
+            self.words[len(b) // 8][i] = np.frombuffer(b, np.uint64)
+        for w in sorted(self.words, reverse=True):
+            if w // 2 in self.words:  # halves folded together are the bitmap of half the bits
+                wide = self.width >= w
+                self.words[w // 2][wide] = self.words[w][wide, : w // 2] ^ self.words[w][wide, w // 2 :]
+        self.forest = Forest(len(n))
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        n_a, n_b = self.n[a][:, None], self.n[b][None, :]
+        near = 100 * np.minimum(n_a, n_b) >= self.percent * np.maximum(n_a, n_b)
+        near &= self.forest.root[a][:, None] != self.forest.root[b][None, :]
+        x, y = np.nonzero(near)
+        width = np.minimum(self.width[a[x]], self.width[b[y]])
+        for w in np.unique(width):
+            own = np.flatnonzero(width == w)
+            for at in range(0, len(own), 1 << 15):
+                k = own[at : at + (1 << 15)]
+                i, j = a[x[k]], b[y[k]]
+                differ = np.bitwise_count(self.words[int(w)][i] ^ self.words[int(w)][j]).sum(axis=1, dtype=np.int64)
+                near[x[k], y[k]] = (100 + self.percent) * differ <= (100 - self.percent) * (self.n[i] + self.n[j])
+        self.forest.link(a, b, near)
+
+
+def _candidates(regions: DataFrame, percent: int) -> DataFrame:
+    """A forest (a, b) over the pairs of each group of rows (region, i, j, chunk, key, n, bitmap) that may be links."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
+        maps = Bitmaps(np.asarray(rows["n"]), rows["bitmap"].to_pylist(), percent)
+        chunk = np.asarray(rows["chunk"])
+        a, b = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+        for at in range(0, len(a), 64):
+            maps.link(a[at : at + 64], b[at:] if i == j else b)
+        child, root = maps.forest.edges()
+        return pa.table({"a": rows["key"].take(pa.array(child)), "b": rows["key"].take(pa.array(root))})
+
+    kind = regions.schema["key"].dataType.simpleString()
+    return regions.groupBy("region", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
+
+
 def _links(regions: DataFrame, percent: int) -> DataFrame:
     """A forest (a, b) over the links of each group of rows (region, i, j, chunk, key, shingles)."""
 
@@ -201,7 +264,39 @@ def _links(regions: DataFrame, percent: int) -> DataFrame:
     return regions.groupBy("region", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
 
 
-def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT, chunk: int = CHUNK, max_sent: int = MAX_SENT) -> DataFrame:
+def _members(base: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(region, key) of every distinct set that may have a link."""
+    shingles = base.where("n > 0").select("key", "n", "k", F.posexplode("prefix").alias("pos", "shingle")).withColumn("small", F.when(F.col("pos") < F.col("k"), F.col("n")))
+    blocks = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("m"), F.min("key").alias("region"), F.min("small").alias("small"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    blocks = blocks.where((F.col("m") > 1) & F.col("small").isNotNull() & ((F.col("m") > 2) | (100 * F.col("lo") >= percent * F.col("hi"))))
+    met = shingles.select("shingle", "key").join(blocks.select("shingle", "region"), "shingle").select("region", "key").distinct()
+    return met.join(sets.select(F.col("rep").alias("key")), "key", "left_semi")
+
+
+def _sized(components: DataFrame) -> DataFrame:
+    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    return components.join(sizes, "component")
+
+
+def _together(components: DataFrame, chunk: int) -> DataFrame:
+    """(region, key): overlapping regions that are small together, as one."""
+    return _sized(components).where(F.col("size") <= chunk).select(F.col("component").alias("region"), F.col("node").alias("key"))
+
+
+def _apart(members: DataFrame, components: DataFrame, chunk: int) -> DataFrame:
+    """(region, key) of the regions that aren't small together."""
+    return members.join(_sized(components).where(F.col("size") > chunk).select(F.col("node").alias("key")), "key", "left_semi").select("region", "key")
+
+
+def _dealt(members: DataFrame, chunk: int) -> DataFrame:
+    """(region, i, j, chunk, key): which members meet in which task, by pairs of chunks of a region."""
+    chunks = members.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("n_chunks"))
+    parts = members.join(chunks, "region").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("n_chunks")).cast("int"))
+    parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
+    return parts.select("region", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "key")
+
+
+def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT, shingle: int = SHINGLE, chunk: int = CHUNK, max_sent: int = MAX_SENT) -> DataFrame:
     """Per document: key, n_shingles, component_id (the smallest key reachable by links, itself included).
 
     Null, empty and blank texts have an empty set and stand alone. Keys must not be null and should be unique; a repeated
@@ -209,20 +304,17 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     """
     arrow_bounds(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    base = stored(signatures(rows, percent))
-    filled = base.where("n > 0")
-    sets = stored(filled.groupBy("h1", "h2", "n").agg(F.min("key").alias("rep"), F.min_by("prefix", "key").alias("prefix")))
-    shingles = sets.select("rep", F.explode("prefix").alias("shingle"))
-    shared = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("region")).where("m > 1").select("shingle", "region")
-    members = stored(shingles.join(shared, "shingle").select("region", F.col("rep").alias("key")).distinct())
-    wanted = stored(members.select("key").distinct())
-    wanted = F.broadcast(wanted) if wanted.limit(max_sent + 1).count() <= max_sent else wanted
-    contents = stored(_sets(rows.join(wanted, "key", "left_semi")))
-    chunks = members.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("n_chunks"))
-    dealt = members.join(chunks, "region").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("n_chunks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
-    dealt = dealt.select("region", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "key")
-    links = _links(dealt.join(contents, "key"), percent)
+    base = stored(signatures(rows, percent, shingle))
+    sets = stored(base.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("key").alias("rep")))
+    members = stored(_members(base, sets, percent))
+    met = connected_components(members.select(F.col("region").alias("a"), F.col("key").alias("b")))
+    met = stored(_dealt(_together(met, chunk), chunk).unionByName(_dealt(_apart(members, met, chunk), chunk)))
+    near = connected_components(_candidates(met.join(base.select("key", "n", "bitmap"), "key"), percent))
+    dealt = stored(_dealt(near.select(F.col("component").alias("region"), F.col("node").alias("key")), chunk))
+    few = dealt.limit(max_sent + 1).count() <= max_sent
+    sent = F.broadcast if few else (lambda df: df)
+    contents = _sets(rows.join(sent(dealt.select("key").distinct()), "key", "left_semi"), shingle)
+    links = _links(contents.join(sent(dealt), "key"), percent)
     component = connected_components(links)
     of_set = sets.join(component, sets["rep"] == component["node"], "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component"))
     out = base.join(of_set, ["h1", "h2", "n"], "left")

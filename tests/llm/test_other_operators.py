@@ -1,0 +1,140 @@
+"""Pages, embeddings and quality: brute force, held-out accuracy, nulls and empty tables."""
+
+import random
+
+import numpy as np
+import pytest
+from govlens.llm.components import connected_components
+from govlens.llm.embedding_dedup import near_duplicates
+from govlens.llm.html_text import extract_text, main_text
+from govlens.llm.quality import kth_largest, level, select_quality
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x}</style><script>var t="</p>";</script></head><body>
+<header><a href="/">Site</a></header><nav><ul><li><a href="a">A</a></li><li>B</li></ul></nav><div class="cookie-notice">We use cookies, yes.</div>
+<ARTICLE><h1>Head &amp; shoulders</h1><p><b>First,   paragraph&nbsp;one.<br><p>Second &lt;tag&gt; with <a href="x>y">a link</a>.</p><ul><li>item one<li>item two</ul>
+<div class="advert box">Buy now!</div><blockquote><p>A quote.</p></blockquote><form><input value="q">Search</form></ARTICLE>
+<aside>Side</aside><section id="comments"><p>Nice article, thanks a lot for it, really.</p></section><!-- x <p>no</p> --><footer>&copy; me</footer></body></html>"""
+TEXT = "Head & shoulders\n\nFirst, paragraph one.\n\nSecond <tag> with a link.\n\nitem one\n\nitem two\n\nA quote."
+
+
+def test_main_text():
+    assert main_text(PAGE) == TEXT
+    assert main_text(PAGE.replace("ARTICLE", "div")) == TEXT
+    assert main_text(None) == main_text("") == main_text("<html><body></body></html>") == main_text("<nav>x</nav>") == ""
+    assert main_text("just text &eacute;") == "just text é"
+    assert main_text("<p>unclosed <b>bold") == "unclosed bold" and main_text("a < b <<") == "a < b <<"
+    assert main_text('<p class="x>broken') == '<p class="x>broken'
+
+
+def test_extract_text_rows(spark):
+    rows = [(1, "u", PAGE, "a"), (1, "u", PAGE, "a"), (2, None, None, "b"), (None, "v", "", None), (3, "w", "<p>" + "long text, " * 50_000 + "</p>", "c")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    found = extract_text(pages).collect()
+    assert sorted((r.n_chars, len(r.text)) for r in found) == sorted((len(x), len(x)) for x in (TEXT, TEXT, "", "", ("long text, " * 50_000).strip()))
+    assert extract_text(pages.limit(0)).count() == 0
+
+
+def vectors(n=400, d=16, seed=3):
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(n, d))
+    for i in range(n // 2, n):
+        noise = rng.normal(size=d)
+        base[i] = base[i - n // 2] / np.linalg.norm(base[i - n // 2]) + noise / np.linalg.norm(noise) * rng.choice([0, 0.1, 0.3, 0.6])
+    return [(i, [float(x) for x in v.astype(np.float32)], int(i % (n // 2) % 3) if i % 50 else None, "x") for i, v in enumerate(base)]
+
+
+@pytest.mark.parametrize("chunk,codes", [(1024, None), (7, 3)])
+def test_near_duplicates_against_brute_force(spark, chunk, codes):
+    rows = vectors()
+    odd = [(1000, None, 1, "x"), (1001, [0.0] * 16, 1, "x"), (1002, [1.0, None] + [1.0] * 14, 1, "x"), (1003, [float("nan")] + [1.0] * 15, 1, "x"), (1004, [], 1, "x"), (1005, [1.0, 2.0], 1, "x"), (1006, [2.0, 4.0], 1, "x"), (1007, rows[1][1], 1, "x")]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int, rep string")
+    found = {r.vec_id: r for r in near_duplicates(df, chunk=chunk, n_codes=codes, recall=0.9999).collect()}
+    assert len(found) == len(rows) + len(odd)
+    good = [r for r in rows + odd if r[2] is not None and r[1] and all(x is not None and x == x for x in r[1]) and any(r[1])]
+    links = {r[0]: set() for r in rows + odd}
+    for a in good:
+        for b in good:
+            if a[0] < b[0] and a[2] == b[2] and len(a[1]) == len(b[1]):
+                x, y = np.array(a[1], float), np.array(b[1], float)
+                if x @ y / np.sqrt((x @ x) * (y @ y)) >= 0.93:
+                    links[a[0]].add(b[0])
+                    links[b[0]].add(a[0])
+    total = sum(map(len, links.values()))
+    assert sum(r.n_links for r in found.values()) >= 0.99 * total > 100
+    for k, own in links.items():
+        assert found[k].n_links <= len(own)
+    seen = {}
+    for k in sorted(links):
+        if k not in seen:
+            todo = [k]
+            while todo:
+                x = todo.pop()
+                if x not in seen:
+                    seen[x] = k
+                    todo += links[x]
+    wrong = [k for k in seen if found[k].component_id != seen[k]]
+    assert len(wrong) <= 2 and all(found[k].kept == (found[k].component_id == k) for k in found)
+    assert near_duplicates(df.limit(0)).count() == 0
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(130)] + [(i, i + 1) for i in range(300, 340)] + [(7, 7)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    found = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(found[x] == find(x) for x in found) and set(found) >= {x for a, b in edges for x in (a, b) if a != b}
+
+
+def corpus(n=1500, seed=2):
+    rng = random.Random(seed)
+    common = [f"w{i}" for i in range(300)]
+    docs, labels = [], []
+    for i in range(n):
+        words = [rng.choice(common) for _ in range(rng.randrange(5, 80))]
+        toxic, junk = rng.random() < 0.15, rng.random() < 0.15
+        if toxic:
+            words[rng.randrange(len(words))] = rng.choice(["nasty", "vile"])
+        if junk:
+            words = [w + "$$$" for w in words]
+        docs.append((i, " ".join(words), "kept", 0.0))
+        if i % 2:
+            labels.append((i, int(not junk), int(toxic)))
+        docs[-1] += (toxic or junk,)
+    return docs, labels
+
+
+def test_quality_on_held_out_documents(spark):
+    docs, labels = corpus()
+    df = spark.createDataFrame(docs, "doc_id long, text string, kept string, log_weight double, bad boolean")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = {r.doc_id: r for r in select_quality(df, lab).collect()}
+    clean = [found[d[0]].kept for d in docs if not d[4] and d[0] % 2 == 0]
+    bad = [found[d[0]].kept for d in docs if d[4] and d[0] % 2 == 0]
+    assert sum(clean) / len(clean) > 0.95 and sum(bad) / len(bad) < 0.1
+    again = {r.doc_id: r.kept for r in select_quality(df.repartition(5), lab).collect()}
+    assert again == {k: r.kept for k, r in found.items()}
+
+
+def test_quality_without_labels_nulls_and_empty(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "a b c"), (None, "x"), (3, "a b c")], "doc_id long, text string")
+    lab = spark.createDataFrame([(None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
+    assert [r.kept for r in select_quality(df, lab.limit(0)).collect()] == [True] * 5
+    assert select_quality(df, lab).count() == 5 and select_quality(df.limit(0), lab).count() == 0
+
+
+def test_level_and_kth_largest(spark):
+    assert level(np.array([1.0, 2.0, 5.0, 6.0]), np.array([False, False, True, True])) == 3.5
+    assert level(np.array([]), np.array([], bool)) == 0.0
+    values = [random.Random(4).choice([0.0, 1.5, random.random()]) for _ in range(5000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for k in (1, 17, 4000, 5000):
+        assert kth_largest(df, "v", k, bins=16, last=50) == sorted(values, reverse=True)[k - 1]

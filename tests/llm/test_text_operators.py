@@ -231,3 +231,16 @@ def test_contamination_is_exact(spark, docs, none, max_sent):
     assert [(r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in (found[i * 3] for i in range(len(TEXTS)))] == expected
     assert contamination(none, items, max_sent=max_sent).count() == 0
     assert not contamination(docs, items.limit(0), max_sent=max_sent).where("contaminated").count()
+
+
+def test_null_and_repeated_keys_and_identical_rows(spark):
+    rows = [(None, BASE), (None, None), (4, BASE), (4, BASE), (5, LINES + "\n" + LINES), (5, LINES + "\n" + LINES)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(None, BASE), (1, None)], "item_id long, text string")
+    assert token_counts(df, TOKENIZER).count() == 6
+    assert pack_documents(df, TOKENIZER).agg(F.sum("length")).first()[0] == sum(len(whole_ids(t)) + 1 for _, t in rows)
+    assert sorted(r.slot for r in shard_documents(df, shards=1).collect()) == list(range(6))
+    assert [r.text for r in dedup_lines(df).where("doc_id IS NULL AND text IS NOT NULL").collect()] == [BASE]
+    assert {(r.doc_id, r.component_id) for r in jaccard_components(df).collect()} == {(None, 4), (None, None), (4, 4), (5, 5)}
+    assert contamination(df, items).where("contaminated").count() == 3
+    assert remove_repeats(df).count() == 6

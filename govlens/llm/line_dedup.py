@@ -47,10 +47,11 @@ def line_windows(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
 
 def repeated_windows(windows: DataFrame) -> DataFrame:
     """(key, pos, last) of every window that occurred before."""
-    shared = windows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint")
+    # what windows are joined with is a table each time, so that the join of a hot fingerprint or run can be split
+    shared = stored(windows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint"))
     candidates = windows.join(shared, "fingerprint").select("key", "pos", "last", "h", "g")
-    first = candidates.groupBy("h", "g").agg(F.min(F.struct("key", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = candidates.join(first.select("h", "g", "first"), ["h", "g"])
+    first = stored(candidates.groupBy("h", "g").agg(F.min(F.struct("key", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g", "first"))
+    later = candidates.join(first, ["h", "g"])
     return later.where(F.struct("key", "pos") > F.col("first")).select("key", "pos", "last")
 
 

@@ -3,7 +3,8 @@
 Two generative models over hashed n-grams are fitted: one of the target (labelled rows of good quality that are not toxic),
 one of the raw corpus (every document). A document's importance weight is the ratio of the two, and the documents to keep
 are sampled without replacement by Gumbel top-k. k is the number of documents whose weight reaches a level calibrated on
-labelled rows that the target model didn't see.
+labelled rows that the target model didn't see, and at most 1: what the target makes no less likely than the raw corpus is
+never below the level, however few labels calibrate it.
 
 Buckets count documents, not occurrences, so one repetitive text can't bend a model. A bucket whose target count lies
 within MIN_Z standard deviations of what the raw model expects, or within a factor exp(MIN_RATIO), says nothing (weight 0).
@@ -163,7 +164,7 @@ def select_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key:
     counts = bucket_counts(rows.join(fitted, "key", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target")), orders).toArrow()
     scored = stored(log_weights(rows, log_ratios(counts), orders))
     held = scored.join(F.broadcast(graded.where("held_out")), "key").select("key", "log_weight", "good").limit(max_labelled).toPandas()
-    cut = level(held["log_weight"].to_numpy(float), held["good"].to_numpy(bool))
+    cut = min(0.0, level(held["log_weight"].to_numpy(float), held["good"].to_numpy(bool)))
     draw = (F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 40)) + F.lit(0.5)) / F.lit(float(1 << 40))
     drawn = scored.withColumn("sample_key", F.col("log_weight") / F.lit(TEMPERATURE) - F.log(-F.log(draw)))
     k = drawn.where(F.col("log_weight") >= F.lit(cut)).count()

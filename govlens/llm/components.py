@@ -34,17 +34,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b); the component is its smallest node. Nulls are not nodes."""
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     for _ in range(MAX_ROUNDS):
-        # larger neighbours go to the smallest neighbour
+        # each larger end of an edge moves to the smallest neighbour of the smaller end; that is a table of its own, so
+        # that the join of a hot node can be split
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        # then smaller neighbours and the node itself
-        small = large.unionByName(now).distinct()
+        least = stored(both.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m")).select("b", F.least("b", "m").alias("m")))
+        small = now.join(least, "b").select("a", F.col("m").alias("b")).unionByName(now)
+        # then all smaller neighbours of a node, and itself, move to the smallest of them
         least = small.groupBy("a").agg(F.min("b").alias("m"))
         star = small.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = stored(star.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        # done when every node has one edge and no edge ends in a node that has one
-        if not after.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() and not after.join(after.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count():
+        # done when every node has one edge at most and no edge ends in a node that has one
+        roles = after.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(after.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        roles = roles.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if not roles.where("up > 1 OR (up = 1 AND down = 1)").limit(1).count():
             break
         now = after
     else:

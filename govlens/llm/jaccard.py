@@ -269,7 +269,8 @@ def _members(base: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     shingles = base.where("n > 0").select("key", "n", "k", F.posexplode("prefix").alias("pos", "shingle")).withColumn("small", F.when(F.col("pos") < F.col("k"), F.col("n")))
     blocks = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("m"), F.min("key").alias("region"), F.min("small").alias("small"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     blocks = blocks.where((F.col("m") > 1) & F.col("small").isNotNull() & ((F.col("m") > 2) | (100 * F.col("lo") >= percent * F.col("hi"))))
-    met = shingles.select("shingle", "key").join(blocks.select("shingle", "region"), "shingle").select("region", "key").distinct()
+    blocks = stored(blocks.select("shingle", "region"))  # a table, so that the join of a hot shingle can be split
+    met = shingles.select("shingle", "key").join(blocks, "shingle").select("region", "key").distinct()
     return met.join(sets.select(F.col("rep").alias("key")), "key", "left_semi")
 
 
@@ -299,8 +300,9 @@ def _dealt(members: DataFrame, chunk: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = PERCENT, shingle: int = SHINGLE, chunk: int = CHUNK, max_sent: int = MAX_SENT) -> DataFrame:
     """Per document: key, n_shingles, component_id (the smallest key reachable by links, itself included).
 
-    Null, empty and blank texts have an empty set and stand alone. Keys must not be null and should be unique; a repeated
-    key gives a row for each occurrence, all in the component of its links. Other columns are not read.
+    Null, empty and blank texts have an empty set and stand alone. Keys should be unique; a repeated key gives a row for
+    each occurrence. A row without a key causes no link; it gets the component of its copies, or null. An empty table
+    gives no rows. Other columns are not read.
     """
     arrow_bounds(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))

@@ -1,10 +1,11 @@
 """Line dedup by winnowing over line hashes, with DataFrame functions only.
 
-A run is a whole number of consecutive lines with at least MIN_WORDS words, or of MIN_LINES lines: the shortest such run
-beginning at a line is that line's window. Of each window the minimum line hash is its fingerprint, so every repeated run
-shares a fingerprint with its first occurrence. Fingerprint positions are joined; windows at fingerprints that occur once
-are done. The others are compared as wholes, which extends each match both ways as far as whole windows go, and every
-window that occurred before (in a smaller key, or earlier in the same text) is deleted.
+A run is a whole number of consecutive lines with at least MIN_WORDS words, or of at least MIN_LINES lines. Every run of
+more than MIN_LINES lines is made of runs of MIN_LINES lines, so runs of one, two and three lines are windows enough: the
+lines of all windows that occurred before (in a smaller key, or earlier in the same text) are those of all repeated runs,
+extended both ways as far as they match any earlier place. Of each window the minimum line hash is its fingerprint, so every
+repeated window shares a fingerprint with its first occurrence. Fingerprint positions are joined; windows at fingerprints
+that occur once are done, the others are compared as wholes.
 """
 
 from __future__ import annotations
@@ -27,22 +28,21 @@ def _windows(text: Column) -> Column:
 
 
 def line_windows(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, pos, n_lines, last, fingerprint, h, g): the window beginning at each line, where there is one."""
+    """(key, pos, n_lines, last, fingerprint, h, g): the runs of one, two and three lines beginning at each line, where there are any."""
     rows = docs.select(F.col(key).alias("key"), _windows(F.col(text).cast("string")).alias("line"))
 
-    def window(x: Column, i: Column) -> Column:
+    def windows(x: Column, i: Column) -> Column:
         one, two = F.get("line", i + 1), F.get("line", i + 2)
-        alone = x["w"] >= MIN_WORDS
-        pair = one.isNotNull() & (x["w"] + one["w"] >= MIN_WORDS)
-        n = F.when(alone, 1).when(pair, 2).when(two.isNotNull(), 3)
-        last = F.when(alone, x["pos"]).when(pair, one["pos"]).otherwise(two["pos"])
-        print_ = F.when(alone, x["h"]).when(pair, F.least(x["h"], one["h"])).otherwise(F.least(x["h"], one["h"], two["h"]))
-        h = F.when(alone, F.xxhash64(x["h"], x["g"])).when(pair, F.xxhash64(x["h"], one["h"], x["g"])).otherwise(F.xxhash64(x["h"], one["h"], two["h"]))
-        g = F.when(alone, x["g"]).when(pair, F.xxhash64(x["g"], one["g"], F.lit(2))).otherwise(F.xxhash64(x["g"], one["g"], two["g"], F.lit(3)))
-        return F.struct(x["pos"].alias("pos"), n.alias("n_lines"), last.alias("last"), print_.alias("fingerprint"), h.alias("h"), g.alias("g"))
 
-    found = rows.select("key", F.explode(F.filter(F.transform("line", window), lambda w: w["n_lines"].isNotNull())).alias("w"))
-    return found.select("key", "w.*")
+        def window(n: int, last: Column, print_: Column, h: Column, g: Column) -> Column:
+            return F.struct(x["pos"].alias("pos"), F.lit(n).alias("n_lines"), last["pos"].alias("last"), print_.alias("fingerprint"), h.alias("h"), g.alias("g"))
+
+        alone = F.when(x["w"] >= MIN_WORDS, window(1, x, x["h"], F.xxhash64(x["h"], x["g"]), x["g"]))
+        pair = F.when(one.isNotNull() & (x["w"] + one["w"] >= MIN_WORDS), window(2, one, F.least(x["h"], one["h"]), F.xxhash64(x["h"], one["h"], x["g"]), F.xxhash64(x["g"], one["g"], F.lit(2))))
+        three = F.when(two.isNotNull(), window(3, two, F.least(x["h"], one["h"], two["h"]), F.xxhash64(x["h"], one["h"], two["h"]), F.xxhash64(x["g"], one["g"], two["g"], F.lit(3))))
+        return F.array_compact(F.array(alone, pair, three))
+
+    return rows.select("key", F.explode(F.flatten(F.transform("line", windows))).alias("w")).select("key", "w.*")
 
 
 def repeated_windows(windows: DataFrame) -> DataFrame:
@@ -58,15 +58,15 @@ def repeated_windows(windows: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with the later repeats of line runs deleted from text, and n_lines, n_deleted added.
 
-    Lines end at a line feed. Lines without words are never part of a run; they go when the lines on both sides of them in
-    one deleted window go. A null text stays null with 0 lines, an empty one has 1 line. Rows with the same key count as
+    Lines end at a line feed. Lines without words are never part of a run; they go when the lines on both sides of them go
+    in one deleted run. A null text stays null with 0 lines, an empty one has 1 line. Rows with the same key count as
     copies only of earlier rows with smaller keys, so keys should be unique: rows of a repeated key lose the same lines.
     A row with a null key neither loses nor causes anything. Other columns stay as they are.
     """
     if {"n_lines", "n_deleted", "deleted_runs"} & set(docs.columns):
         raise ValueError("docs has a column of a name that is added here")
     windows = stored(line_windows(docs.where(F.col(key).isNotNull()), text, key))
-    ranges = repeated_windows(windows).groupBy(F.col("key").alias(key)).agg(F.collect_set(F.struct("pos", "last")).alias("deleted_runs"))  # at most one a line
+    ranges = repeated_windows(windows).groupBy(F.col("key").alias(key)).agg(F.collect_set(F.struct("pos", "last")).alias("deleted_runs"))  # at most three a line
     return docs.join(ranges, key, "left").select(*_rebuilt(docs, text))
 
 

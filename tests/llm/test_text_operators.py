@@ -129,6 +129,42 @@ def test_line_dedup_deletes_later_runs(docs, none):
         dedup_lines(docs.withColumn("n_lines", F.lit(1)))
 
 
+def test_line_dedup_extends_runs_to_their_last_line(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    texts = ["\n".join((long, "a b", "c d", "own")), "\n".join(("head", long, "a b", "c d", "other")), "\n".join((long, "", "a b")), f"x\n{long}\na b\nelse"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in dedup_lines(df).collect()} == {0: texts[0], 1: "head\nother", 2: "", 3: "x\nelse"}
+
+
+def brute_runs(texts):
+    """All runs of every length that occurred before, not only the shortest at each line."""
+    lines = [(t or "").split("\n") for t in texts]
+    seen, out = set(), []
+    for own in lines:
+        worded = [k for k, x in enumerate(own) if any(x.split(" "))]
+        gone = set()
+        for a in range(len(worded)):
+            for b in range(a + 1, len(worded) + 1):
+                run = tuple(own[k] for k in worded[a:b])
+                if len(run) < MIN_LINES and sum(len([w for w in x.split(" ") if w]) for x in run) < MIN_WORDS:
+                    continue
+                if run in seen:
+                    gone |= set(range(worded[a], worded[b - 1] + 1))
+                seen.add(run)
+        out.append("\n".join(x for k, x in enumerate(own) if k not in gone))
+    return out
+
+
+def test_line_dedup_against_all_runs(spark):
+    import random
+
+    dice = random.Random(5)
+    words = [" ".join(f"v{i}" for i in range(n)) for n in (1, 2, 3, 24, 26, 49, 50, 60)] + [""]
+    texts = ["\n".join(dice.choices(words, k=dice.randint(1, 9))) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert [r.text for r in dedup_lines(df).orderBy("doc_id").collect()] == brute_runs(texts)
+
+
 def test_line_dedup_plan_is_native(docs):
     plan = dedup_lines(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

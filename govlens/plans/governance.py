@@ -160,7 +160,7 @@ def new_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _findings(spark, sf_dir)
     label = lambda f: F.when(F.col("file") % 5 != 0, f(F.substring("domain", 1, 1)))
     now = found.where(F.substring("domain", 3, 1) == "O").select("rule_id", "category", label(F.upper).alias("domain"), F.col("file").alias("source_path"), (F.col("file") % 10).alias("target")).distinct()
-    was = found.where((F.substring("domain", 3, 1) == "F") & (F.col("project") % 4 == 0)).select("rule_id", "category", label(F.lower).alias("domain"), F.when(F.col("file") % 3 > 0, F.col("file")).alias("source_path"), (F.col("file") % 10).alias("target")).distinct()
+    was = found.where(F.substring("domain", 3, 1) == "F").select("rule_id", "category", label(F.lower).alias("domain"), F.when(F.col("file") % 3 > 0, F.col("file")).alias("source_path"), (F.col("file") % 10).alias("target")).distinct()
     return history.new_findings(now, was)
 
 

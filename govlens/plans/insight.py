@@ -18,12 +18,6 @@ _EDGES = """edges AS (SELECT c_nationkey AS source, a.r_name AS source_layer, s_
 _SPARSE = "sparse AS (SELECT * FROM edges WHERE (source * 7 + target * 3) % 11 = 0)"
 
 
-def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.edges(spark, sf_dir).where((F.col("source") * 7 + F.col("target") * 3) % 11 == 0)
-
-
-
-
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The allowed pairs: every layer may use the next one; the last layer by name has no policy."""
     names = tables.read(spark, sf_dir, "region").select("r_regionkey", "r_name")
@@ -51,41 +45,41 @@ def layer_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_EDGES}, {_SPARSE}, d AS (SELECT count(*) AS n_edges FROM (SELECT DISTINCT source, target FROM sparse WHERE source <> target)), n AS (SELECT count(*) AS n_nodes FROM (SELECT source FROM sparse UNION SELECT target FROM sparse))
 SELECT n_edges, n_nodes, CASE WHEN n_nodes > 1 THEN round_even(n_edges / (n_nodes * (n_nodes - 1)) * 10000, 0) / 10000 ELSE 0.0::DOUBLE END AS density FROM d, n""")
 def graph_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.density(_sparse(spark, sf_dir))
+    return graph.density(tables.edges(spark, sf_dir))
 
 
 @query(f"WITH {_EDGES}, {_SPARSE} SELECT source_layer, count(DISTINCT target_layer) AS targets, count(DISTINCT (source, target)) AS relations FROM sparse WHERE source_layer <> target_layer GROUP BY 1 HAVING count(DISTINCT target_layer) > 3")
 def layer_fanout_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.fan_out(_sparse(spark, sf_dir), 3)
+    return graph.fan_out(tables.edges(spark, sf_dir), 3)
 
 
 @query(f"""WITH {_EDGES}, {_SPARSE}, o AS (SELECT source AS node, count(DISTINCT target) AS out_degree, sum(observed) AS out_observed FROM sparse GROUP BY 1), i AS (SELECT target AS node, count(DISTINCT source) AS in_degree, sum(observed) AS in_observed FROM sparse GROUP BY 1)
 SELECT node, coalesce(out_degree, 0) AS out_degree, CAST(coalesce(out_observed, 0) AS BIGINT) AS out_observed, coalesce(in_degree, 0) AS in_degree, CAST(coalesce(in_observed, 0) AS BIGINT) AS in_observed FROM o FULL JOIN i USING (node)""")
 def graph_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.degrees(_sparse(spark, sf_dir))
+    return graph.degrees(tables.edges(spark, sf_dir))
 
 
 @query(f"""WITH {_EDGES}, {_SPARSE}, e AS (SELECT DISTINCT source::BIGINT AS s, target::BIGINT AS t FROM sparse)
 SELECT s AS a, NULL::BIGINT AS b, NULL::BIGINT AS c FROM e WHERE s = t UNION ALL SELECT x.s, x.t, NULL FROM e x JOIN e y ON x.t = y.s AND y.t = x.s WHERE x.s < x.t
 UNION ALL SELECT x.s, x.t, y.t FROM e x JOIN e y ON x.t = y.s JOIN e z ON y.t = z.s AND z.t = x.s WHERE x.s < x.t AND x.s < y.t AND x.t <> y.t""")
 def graph_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.short_cycles(_sparse(spark, sf_dir))
+    return graph.short_cycles(tables.edges(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, {_SPARSE}, walk(node, depth) AS (SELECT 0, 0 UNION SELECT target, depth + 1 FROM walk JOIN sparse ON source = node WHERE depth < 4) SELECT node, min(depth) AS depth FROM walk GROUP BY 1""")
 def reachable_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _sparse(spark, sf_dir).select("source", "target").distinct().createOrReplaceTempView("govlens_sparse_edges")
-    return spark.sql("WITH RECURSIVE walk(node, depth) AS (SELECT 0, 0 UNION ALL SELECT DISTINCT target, depth + 1 FROM walk JOIN govlens_sparse_edges ON source = node WHERE depth < 4) SELECT node, min(depth) AS depth FROM walk GROUP BY 1")
+    tables.edges(spark, sf_dir).select("source", "target").distinct().createOrReplaceTempView("govlens_edges")
+    return spark.sql("WITH RECURSIVE walk(node, depth) AS (SELECT 0, 0 UNION ALL SELECT DISTINCT target, depth + 1 FROM walk JOIN govlens_edges ON source = node WHERE depth < 4) SELECT node, min(depth) AS depth FROM walk GROUP BY 1")
 
 
 @query(f"WITH {_EDGES}, {_SPARSE} SELECT source, source_layer, target, target_layer, observed FROM sparse WHERE source = 3 OR target = 3")
 def edge_ego_network(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.ego_network(_sparse(spark, sf_dir), 3).select("source", "source_layer", "target", "target_layer", "observed")
+    return graph.ego_network(tables.edges(spark, sf_dir), 3).select("source", "source_layer", "target", "target_layer", "observed")
 
 
 @query(f"""WITH {_EDGES}, {_SPARSE}, l AS (SELECT source, array_to_string(list_sort(list(DISTINCT target_layer)), ' · ') AS layers FROM sparse GROUP BY 1) SELECT source, layers, row_number() OVER (ORDER BY CASE WHEN layers = '' THEN 1 ELSE 0 END, lower(layers), source) AS position FROM l""")
 def component_layer_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.layer_labels(_sparse(spark, sf_dir))
+    return graph.layer_labels(tables.edges(spark, sf_dir))
 
 
 _PATH = "'repo/' || (['src', 'src/app', 'test', 'node_modules/lib', 'obj/debug', 'docs'])[doc_id % 6 + 1] || '/' || source || '/f' || doc_id || '.' || lang"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,24 +41,28 @@ def entry_hash() -> F.Column:
 
 
 def chain(rows: DataFrame, log: str = "log_id") -> DataFrame:
-    """Build each log's hash chain. A link needs the one before it, so each log is one group of applyInPandas."""
-    import pandas as pd
+    """Build each log's hash chain. A link needs the one before it, so each log is read in order, a batch at a time; only the last hash is carried on."""
+    import pyarrow as pa
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        import hashlib
+    fields = ["sequence", "at", "target", "action", "outcome", "detail"]
 
-        pdf = pdf.sort_values("sequence").reset_index(drop=True)
-        previous, links, hashes = GENESIS, [], []
-        for row in pdf.itertuples(index=False):
-            fields = [str(int(row.sequence)), *("" if v is None or v != v else str(v) for v in (row.at, row.target, row.action, row.outcome, row.detail)), previous]
-            links.append(previous)
-            previous = hashlib.sha256("|".join(fields).encode()).hexdigest().upper()
-            hashes.append(previous)
-        return pdf.assign(previous_hash=links, hash=hashes)
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
 
-    wanted = rows.select(log, "sequence", "at", "target", "action", "outcome", "detail")
+        current, previous, begun = None, GENESIS, False
+        for batch in batches:
+            links, hashes = [], []
+            for name, *own in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
+                if not begun or name != current:
+                    current, previous, begun = name, GENESIS, True
+                links.append(previous)
+                previous = hashlib.sha256("|".join([*("" if v is None else str(v) for v in own), previous]).encode()).hexdigest().upper()
+                hashes.append(previous)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(links, pa.string()), pa.array(hashes, pa.string())], [log, *fields, "previous_hash", "hash"])
+
+    wanted = rows.select(log, F.col("sequence").cast("long").alias("sequence"), *(F.col(c).cast("string").alias(c) for c in fields[1:]))
     kind = wanted.schema[log].dataType.simpleString()
-    return wanted.groupBy(log).applyInPandas(build, f"{log} {kind}, sequence long, at string, target string, action string, outcome string, detail string, previous_hash string, hash string")
+    return wanted.repartition(log).sortWithinPartitions(log, "sequence").mapInArrow(build, f"{log} {kind}, sequence long, at string, target string, action string, outcome string, detail string, previous_hash string, hash string")
 
 
 def verify_chain(entries: DataFrame, log: str = "log_id") -> DataFrame:

@@ -26,6 +26,19 @@ def test_hash_chain(spark):
     assert missing == {1: 1, 2: 0}
 
 
+def test_long_chain_is_built_batch_by_batch(spark):
+    rows = spark.range(2500).select(F.when(F.col("id") % 5 > 0, F.lit(1)).otherwise(F.col("id") % 3 + 2).alias("log_id"), F.col("id").alias("sequence"), *(F.lit("x").alias(c) for c in ("at", "target", "action", "outcome")), F.lit(None).cast("string").alias("detail"))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        built = history.chain(rows)
+        plan = built._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+        assert {r.log_id: (r.entries, r.intact) for r in history.verify_chain(built).collect()} == {1: (2000, True), 2: (167, True), 3: (166, True), 4: (167, True)}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
 def test_previous_report_breaks_ties_by_id(spark):
     rows = spark.createDataFrame([(1, 1, "2024-01-01", 1.0), (3, 1, "2024-01-02", 3.0), (2, 1, "2024-01-02", 2.0)], "report_id long, project long, scanned_at string, total double")
     assert {r.report_id: r.previous_id for r in history.previous_reports(rows).collect()} == {1: None, 2: 1, 3: 2}

@@ -56,7 +56,14 @@ def ego_network(edges: DataFrame, node: int) -> DataFrame:
 def layer_labels(edges: DataFrame) -> DataFrame:
     """The layers each node depends on, sorted, as one string; nodes without a label come last."""
     found = edges.groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("target_layer")), " · ").alias("layers"))
-    return found.withColumn("position", F.row_number().over(Window.orderBy(F.when(F.col("layers") == "", 1).otherwise(0), F.lower("layers"), "source")))
+    parts = ["unlabelled", "label", "block"]  # in order of position; a part holds 65,536 nodes at most
+    rows = found.withColumns({"unlabelled": F.when(F.col("layers") == "", 1).otherwise(0), "label": F.lower("layers"), "block": F.shiftright("source", 16)})
+    counts = rows.groupBy(*parts).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*(F.col(c).alias(f"{c}_of") for c in parts), before.alias("before"))
+    inside = F.row_number().over(Window.partitionBy(*parts).orderBy("source"))
+    dealt = rows.withColumn("inside", inside).join(counts, [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in parts])
+    return dealt.select("source", "layers", (F.col("before") + F.col("inside")).cast("int").alias("position"))
 
 
 def owners(paths: DataFrame, modules: DataFrame) -> DataFrame:

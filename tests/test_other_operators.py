@@ -61,6 +61,15 @@ def test_graph(spark):
     assert [r.module_path for r in graph.outermost(modules).collect()] == ["src"] and graph.outermost(modules.where("module_path <> 'src'")).count() == 2
 
 
+def test_layer_labels_are_numbered_in_parts(spark):
+    e = spark.createDataFrame([(1 << 17, "B"), (3, "B"), (5, "a"), (70_000, "B"), (4, None), (3, "C"), (None, "B")], "source int, target_layer string")
+    found = graph.layer_labels(e)
+    assert [(r.source, r.layers) for r in found.orderBy("position").collect()] == [(5, "a"), (None, "B"), (70_000, "B"), (1 << 17, "B"), (3, "B · C"), (4, "")]
+    assert [r.position for r in found.orderBy("position").collect()] == [1, 2, 3, 4, 5, 6]
+    numbered = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number()" in x]
+    assert numbered and all(", [unlabelled#" in x for x in numbered)
+
+
 def test_security(spark):
     ports = spark.createDataFrame([("a", 5432, True, 25, None), ("b", 5432, False, None, None), ("c", 80, True, 900, None), ("d", 80, False, None, "refused"), ("e", 5432, True, 900, None)], "host string, port int, is_open boolean, latency_ms long, error string")
     found = sorted((r.host, r.ordinal) for r in security.port_findings(ports).collect())

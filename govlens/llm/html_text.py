@@ -2,13 +2,15 @@
 
 Text is gathered in blocks, each under its root-to-leaf tag path. Per path and page: characters and punctuation marks per
 block, not counting text in links. Both ratios are smoothed over neighbouring paths in page order, fused by multiplication,
-and held against a threshold drawn from their spread. The container shared by the paths above it is the article; its blocks
-are the content, but for those under navigation, adverts, forms, comments and the like.
+and held against a threshold drawn from their spread. The element shared by all paths above it is the container, or the
+article element around it where one is marked; its blocks are the content, but for those under navigation, adverts, forms,
+comments and the like.
 """
 
 from __future__ import annotations
 
 import html
+import os
 import re
 from collections.abc import Iterator
 
@@ -183,7 +185,12 @@ def content_container(blocks: list[tuple[tuple[str, ...], str, int, bool]]) -> t
             total += own
             for k in range(len(path)):
                 weight[path[:k]] = weight.get(path[:k], 0) + own
-    return max((p for p, w in weight.items() if w >= 0.75 * total), key=len, default=())
+    main = max((p for p, w in weight.items() if w >= 0.75 * total), key=len, default=())
+    above = [path[:-1] for path, score in zip(order, fused) if score >= bar]
+    article = next((k + 1 for k, name in enumerate(main) if _is_article(name)), 0)
+    above = [path for path in above if path[:article] == main[:article]]
+    shared = os.path.commonprefix(above)
+    return shared[: max((k + 1 for k, name in enumerate(shared) if _is_article(name)), default=len(shared))]
 
 
 def main_text(page: str | None) -> str:

@@ -138,3 +138,12 @@ def test_level_and_kth_largest(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     for k in (1, 17, 4000, 5000):
         assert kth_largest(df, "v", k, bins=16, last=50) == sorted(values, reverse=True)[k - 1]
+
+
+def test_nested_text_keeps_the_rest_of_the_article():
+    text = "<p>" + "A long sentence, with marks; and words, to be read. " * 20 + "</p>"
+    page = f"<body><nav><a href=x>Home</a></nav><article><h1>Title</h1><p>Lead, first.</p><div class=text>{text * 3}</div><p>The end, at last.</p></article><footer>Legal</footer></body>"
+    kept = main_text(page).split("\n\n")
+    assert kept[:2] == ["Title", "Lead, first."] and kept[-1] == "The end, at last." and len(kept) == 6 and "Legal" not in kept
+    page = f"<body><div class=page><div class=a>{text * 5}</div><div class=b>{text}</div></div><div class=x><p>Small</p></div></body>"
+    assert len(main_text(page).split("\n\n")) == 6

@@ -9,7 +9,8 @@ Every Spark partition packs its own documents, in pools bounded by bytes, so not
 3. the shorter tiers: each window is filled to its end in the same way, so its length is exactly a power of two;
 4. what is left stays in the pool for the next documents; at the partition's end it is cut into power-of-two windows.
 
-Sequences are dealt to step groups so that the groups hold about equal numbers of tokens.
+Finished windows wait until they fill several step groups and are then dealt, longest first, to the emptiest group: groups
+of one dealing differ by at most one window.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from govlens.llm.common import arrow_bounds, by_bytes
 from govlens.llm.tokens import encoded
 
 END_ID = 2
+#: Step groups that one dealing fills.
+GROUPS = 8
 #: Sequences of one partition have this many bits; the partition's number is above them.
 LOCAL_BITS = 36
 
@@ -122,14 +125,25 @@ class _Pool:
             self.windows.append((size, pieces))
             left -= size
 
-    def take(self) -> list[tuple[int, int, list[tuple]]]:
-        """The finished windows as (window, step group, pieces), longest first to the emptiest group."""
-        done, self.windows = sorted(self.windows, key=lambda w: -w[0]), []
-        groups = [(0, g) for g in range(max(1, sum(w for w, _ in done) // self.step_tokens))]
+    def take(self, last: bool = False) -> list[tuple[int, int, list[tuple]]]:
+        """Finished windows as (window, step group, pieces), longest first to the emptiest group.
+
+        Windows wait until they fill GROUPS groups and one more, so that the partition's last groups are no remnants.
+        """
+        groups = GROUPS
+        if last:
+            groups = max(1, round(sum(w for w, _ in self.windows) / self.step_tokens))
+        elif sum(w for w, _ in self.windows) < (GROUPS + 1) * self.step_tokens:
+            return []
+        done, tokens = [], 0
+        while self.windows and (last or tokens < GROUPS * self.step_tokens):
+            done.append(self.windows.pop())
+            tokens += done[-1][0]
+        heap = [(0, g) for g in range(groups)]
         out = []
-        for size, pieces in done:
-            tokens, group = heapq.heappop(groups)
-            heapq.heappush(groups, (tokens + size, group))
+        for size, pieces in sorted(done, key=lambda w: -w[0]):
+            load, group = heap[0]
+            heapq.heapreplace(heap, (load + size, group))
             out.append((size, group, pieces))
         return out
 
@@ -139,8 +153,9 @@ def pack_documents(docs: DataFrame, path: str, text: str = "text", key: str = "d
 
     Columns: key, start (ids of its document before it), length, ids_crc32, doc_tokens (the closing id included),
     sequence_id, offset (in the sequence, without gaps), window (the sequence's length), step_group, and ids if asked for.
-    A null or empty text is a document of the closing id alone. Repeated keys are documents of their own. window and
-    floor are powers of two, the largest and the smallest tier.
+    A null or empty text is a document of the closing id alone. Rows of a repeated or null key are documents of their own.
+    An empty table gives no rows. A key column with the name of another result column is refused; further columns are not
+    read. window and floor are powers of two, the largest and the smallest tier.
     """
     if window & (window - 1) or floor & (floor - 1) or not 0 < floor <= window:
         raise ValueError("window and floor must be powers of two, floor not above window")
@@ -150,11 +165,11 @@ def pack_documents(docs: DataFrame, path: str, text: str = "text", key: str = "d
         base = TaskContext.get().partitionId() << LOCAL_BITS
         pool, made, step = _Pool(window, floor, step_tokens), 0, 0
 
-        def emit() -> pa.RecordBatch:
+        def emit(last: bool = False) -> pa.RecordBatch:
             nonlocal made, step
             rows: list[list] = [[] for _ in range(9 + with_ids)]
             groups = 0
-            for size, group, pieces in pool.take():
+            for size, group, pieces in pool.take(last):
                 groups, at = max(groups, group + 1), 0
                 for k, start, ids, total in pieces:
                     n = len(ids) // 4
@@ -174,11 +189,14 @@ def pack_documents(docs: DataFrame, path: str, text: str = "text", key: str = "d
             for k, ids in zip(batch.column("key").to_pylist(), encoded(batch.column("text"), path)):
                 pool.add(k, ids + closing)
             pool.pack()
-            yield emit()
+            while (out := emit()).num_rows:
+                yield out
         pool.finish()
-        yield emit()
+        yield emit(last=True)
 
     names = ["key", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step_group"] + ["ids"] * with_ids
+    if key in names[1:]:
+        raise ValueError(f"the key column has the name of a result column: {key}")
     arrow_bounds(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()

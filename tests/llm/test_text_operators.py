@@ -1,19 +1,22 @@
 """Operators on texts against brute force, on rows with nulls, blanks, repeats, ties and clashing column names."""
 
+import functools
 import hashlib
 import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from govlens.llm.decontamination import contamination
 from govlens.llm.jaccard import jaccard_components
 from govlens.llm.line_dedup import MIN_LINES, MIN_WORDS, dedup_lines
-from govlens.llm.packing import pack_documents
+from govlens.llm.packing import GROUPS, pack_documents
 from govlens.llm.sharding import longest_first, shard_documents
 from govlens.llm.suffix_dedup import remove_repeats
-from govlens.llm.tokens import token_counts
+from govlens.llm.tokens import LONG_WORD, WordCodec, encoded, token_counts
 from pyspark.sql import functions as F
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -41,10 +44,15 @@ def by_id(df):
     return {r["doc_id"]: r for r in df.collect()}
 
 
-def whole_ids(text):
+@functools.cache
+def library():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(TOKENIZER).encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(TOKENIZER)
+
+
+def whole_ids(text):
+    return library().encode(text or "", add_special_tokens=False).ids
 
 
 def test_token_counts_are_the_library_s(docs, none):
@@ -78,6 +86,36 @@ def test_packing_is_a_round_trip(docs, none):
     assert pack_documents(none, TOKENIZER).count() == 0
     with pytest.raises(ValueError):
         pack_documents(docs, TOKENIZER, window=100)
+    with pytest.raises(ValueError):
+        pack_documents(docs.withColumnRenamed("doc_id", "length"), TOKENIZER, key="length")
+
+
+def test_step_groups_are_even(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    rows = [(i, " ".join(words[(i * j) % 10] for j in range(1 + i * 37 % 300))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    windows = pack_documents(df, TOKENIZER, window=256, floor=16, step_tokens=4096).select("sequence_id", "window", "step_group").distinct().collect()
+    tokens = defaultdict(int)
+    for r in windows:
+        tokens[r.step_group] += r.window
+    sizes = [tokens[g] for g in sorted(tokens)]
+    assert len(sizes) > 3 * GROUPS
+    full, rest = sizes[: len(sizes) // GROUPS * GROUPS - GROUPS], sizes[len(sizes) // GROUPS * GROUPS - GROUPS :]
+    assert all(4096 - 256 <= n <= 4096 + 256 for n in full) and all(4096 // 2 <= n <= 4096 * 3 // 2 for n in rest)
+    for at in range(0, len(full), GROUPS):
+        assert max(full[at : at + GROUPS]) - min(full[at : at + GROUPS]) <= 256
+
+
+def test_codec_agrees_with_the_library_on_odd_words(spark):
+    texts = [
+        "ΣΑΣ Σa.Σ aΣ. J̌ ǰ É x≠ a≮ word≠", "<|endoftext|> x<|endoftext|>y <|ENDOFTEXT|> endoftext|> DON'T don't. it's, we'll! 'sa 's. 's' re're",
+        "İstanbul ǅ ﬁ ß ÀÉ é. naïve, straße! 12a a12 a_b A_ ___ x", "ñ ÿ ª º µ ×÷ a× ÷b", " a b c. d\u0085e", "KK Å Å. Ω", "x" * 300 + " " + "ab." * 100, "a\x0bb\x0cc\x1cd\x1de",
+    ]
+    texts.append(" ".join(texts))
+    for batch in (texts, texts[::-1]):
+        found = list(encoded(pa.array([*batch, None]), TOKENIZER))
+        assert [np.frombuffer(x, "<u4").tolist() for x in found] == [*map(whole_ids, batch), []]
+    assert max(map(len, WordCodec.get(TOKENIZER).known)) <= LONG_WORD
 
 
 def test_shards_keep_copies_together_and_are_even(docs, none, spark):

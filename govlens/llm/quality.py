@@ -6,12 +6,16 @@ are sampled without replacement by Gumbel top-k. k is the number of documents wh
 labelled rows that the target model didn't see, and at most 1: what the target makes no less likely than the raw corpus is
 never below the level, however few labels calibrate it.
 
-Buckets count documents, not occurrences, so one repetitive text can't bend a model. A bucket whose target count lies
-within MIN_Z standard deviations of what the raw model expects, or within a factor exp(MIN_RATIO), says nothing (weight 0).
+The n-grams are single tokens and pairs, and single ones and triples of the tokens' shapes (their case and digits, symbols
+as they are, and whether a word repeats the one or two before it). Shapes are few, so few labels tell of them.
+
+Buckets count documents, not occurrences, so one repetitive text can't bend a model. A bucket whose target count lies within
+so many standard deviations of what the raw model expects, or within a factor exp(MIN_RATIO), says nothing (weight 0).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,18 +28,36 @@ from govlens.llm.decontamination import _IS_WORD, grams
 
 #: At most so many labelled rows are used; corpus counts always cover every document.
 MAX_LABELLED = 30_000
-BITS = 18
-MIN_Z, MIN_RATIO, PRIOR = 2.5, 0.7, 0.5
-#: Weights are raised to 1 / TEMPERATURE before sampling.
-TEMPERATURE = 0.2
+#: Runs of tokens and of shapes that are counted.
+TOKEN_ORDERS, SHAPE_ORDERS = (1, 2), (1, 3)
+#: Token buckets are 2**bits: about 32 a document between these bounds. Shapes have 2**SHAPE_BITS of their own.
+LEAST_BITS, MOST_BITS, SHAPE_BITS = 18, 22, 16
+#: Standard deviations that count as noise: of tokens, which are many, and of shapes.
+TOKEN_Z, SHAPE_Z = 2.5, 1.3
+MIN_RATIO, PRIOR = 0.7, 0.5
 
 _CLASS = np.where(_IS_WORD, 1, 2).astype(np.int8)
 _CLASS[[9, 10, 11, 12, 13, 32]] = 0
 _VALUE = mix(np.arange(256).astype(np.uint64) + np.uint64(104729))
-_REPEATED = 0  # the bucket of 4-grams that recur one or two tokens later, as in endless repetition
+_BYTE = np.arange(256)
+#: Bits of a word's shape: small letters (and all that isn't ASCII), capitals, digits.
+_FLAGS = (((_BYTE >= 97) & (_BYTE <= 122) | (_BYTE >= 128)) * 1 + ((_BYTE >= 65) & (_BYTE <= 90)) * 2 + ((_BYTE >= 48) & (_BYTE <= 57)) * 4).astype(np.uint8)
+
+
+def _shapes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, token: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """A hash of each token's shape."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    word = _CLASS[raw[starts]] == 1
+    case = np.bitwise_or.reduceat(_FLAGS[raw], starts) | ((_FLAGS[raw[starts]] & 2) << 2)
+    again = np.zeros(len(token), np.uint64)
+    for k in (2, 1):
+        again[k:][(token[k:] == token[:-k]) & (owner[k:] == owner[:-k]) & word[k:]] = k
+    symbol = spans_hash(_VALUE[raw], starts, np.minimum(ends, starts + 3))
+    return mix(np.where(word, mix(case.astype(np.uint64)), symbol) + again)
 
 
-def features(raw: np.ndarray, offsets: np.ndarray, orders: tuple[int, ...] = (1,), bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+def features(raw: np.ndarray, offsets: np.ndarray, bits: int = LEAST_BITS) -> tuple[np.ndarray, np.ndarray]:
     """(text number, bucket) of each n-gram. Tokens are runs of letters and digits, or of other visible characters."""
     n = len(raw)
     if not n:
@@ -46,65 +68,65 @@ def features(raw: np.ndarray, offsets: np.ndarray, orders: tuple[int, ...] = (1,
     new[offsets] = True
     edges = np.flatnonzero(new)
     seen = kind[edges[:-1]] > 0
-    starts = edges[:-1][seen]
-    token = spans_hash(_VALUE[raw], starts, edges[1:][seen])
+    starts, ends = edges[:-1][seen], edges[1:][seen]
+    token = spans_hash(_VALUE[raw], starts, ends)
     owner = np.searchsorted(offsets, starts, side="right") - 1
     texts, buckets = [], []
-    for k in orders:
-        h = grams(token, k)
-        own = owner[: len(h)]
-        inside = own == owner[k - 1 :] if len(h) else np.zeros(0, bool)
-        texts.append(own[inside])
-        buckets.append(1 + (h[inside] % np.uint64((1 << bits) - 1)).astype(np.int64))
-    four = grams(token, 4)
-    for period in (1, 2):
-        run = np.flatnonzero((four[period:] == four[:-period]) & (owner[3 + period :] == owner[: len(four) - period])) if len(four) > period else np.zeros(0, np.int64)
-        texts.append(owner[run])
-        buckets.append(np.full(len(run), _REPEATED))
+    for values, orders, first, width in ((token, TOKEN_ORDERS, 0, bits), (_shapes(raw, starts, ends, token, owner), SHAPE_ORDERS, 1 << bits, SHAPE_BITS)):
+        for k in orders:
+            h = grams(values, k)
+            own = owner[: len(h)]
+            inside = own == owner[k - 1 :] if len(h) else np.zeros(0, bool)
+            texts.append(own[inside])
+            buckets.append(first + (h[inside] & np.uint64((1 << width) - 1)).astype(np.int64))
     return np.concatenate(texts), np.concatenate(buckets)
 
 
-def bucket_counts(docs: DataFrame, orders: tuple[int, ...] = (1,), bits: int = BITS) -> DataFrame:
+def bucket_counts(docs: DataFrame, bits: int = LEAST_BITS) -> DataFrame:
     """Over all documents (text, is_target): documents and target documents with an n-gram in each bucket; bucket -1: all."""
+    every = (1 << bits) + (1 << SHAPE_BITS)
+    wide = every.bit_length()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, (1 << bits) + 1), np.int64)
+        total = np.zeros((2, every + 1), np.int32)  # documents of one partition
         for batch in by_bytes(batches, "text"):
             target = np.asarray(batch.column("is_target"))
-            text, bucket = features(*utf8(batch.column("text")), orders, bits)
-            pairs = np.unique((text << bits) | bucket)
-            bucket = pairs & ((1 << bits) - 1)
-            total[0, :-1] += np.bincount(bucket, minlength=1 << bits)
-            total[1, :-1] += np.bincount(bucket[target[pairs >> bits]], minlength=1 << bits)
+            text, bucket = features(*utf8(batch.column("text")), bits)
+            pairs = np.unique((text << wide) | bucket)
+            bucket = pairs & ((1 << wide) - 1)
+            np.add.at(total[0], bucket, 1)
+            np.add.at(total[1], bucket[target[pairs >> wide]], 1)
             total[:, -1] += (batch.num_rows, int(target.sum()))
         at = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(np.where(at == 1 << bits, -1, at).astype(np.int32)), pa.array(total[0, at]), pa.array(total[1, at])], ["bucket", "n_raw", "n_target"])
+        for part in np.array_split(at, len(at) // 100_000 + 1):
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(part == every, -1, part).astype(np.int32)), *(pa.array(t[part].astype(np.int64)) for t in total)], ["bucket", "n_raw", "n_target"])
 
     return docs.mapInArrow(count, "bucket int, n_raw long, n_target long").groupBy("bucket").agg(F.sum("n_raw").alias("n_raw"), F.sum("n_target").alias("n_target"))
 
 
-def log_ratios(counts: pa.Table, bits: int = BITS) -> np.ndarray:
-    """ln(target / raw) of each bucket from its counts."""
-    bucket, raw, target = (np.asarray(counts[c].combine_chunks()) for c in ("bucket", "n_raw", "n_target"))
-    out = np.zeros(1 << bits)
-    every = bucket == -1
-    n_raw, n_target = raw[every].sum(), target[every].sum()
-    if not n_target:
+def log_ratios(counts: DataFrame, bits: int = LEAST_BITS) -> np.ndarray:
+    """ln(target / raw) of each bucket from its counts; only those that say something come to the driver."""
+    out = np.zeros((1 << bits) + (1 << SHAPE_BITS), np.float32)
+    totals = counts.where("bucket = -1").first()
+    if totals is None or not totals.n_target:
         return out
-    seen, expected = target[~every], raw[~every] * (n_target / n_raw)
-    ratio = np.log((seen + PRIOR) / (expected + PRIOR))
-    ratio[(np.abs(seen - expected) < MIN_Z * np.sqrt(expected)) | (np.abs(ratio) < MIN_RATIO)] = 0
-    out[bucket[~every]] = ratio
+    share = totals.n_target / totals.n_raw
+    expected = F.col("n_raw") * F.lit(share)
+    ratio = F.log((F.col("n_target") + F.lit(PRIOR)) / (expected + F.lit(PRIOR)))
+    noise = F.when(F.col("bucket") < (1 << bits), F.lit(TOKEN_Z)).otherwise(F.lit(SHAPE_Z)) * F.sqrt(expected * F.lit(1 - share))
+    told = counts.where("bucket >= 0").where((F.abs(F.col("n_target") - expected) >= noise) & (F.abs(ratio) >= MIN_RATIO))
+    found = told.select("bucket", ratio.alias("ratio")).toArrow()  # at most one row a bucket
+    out[np.asarray(found["bucket"].combine_chunks())] = np.asarray(found["ratio"].combine_chunks())
     return out
 
 
-def log_weights(docs: DataFrame, ratios: np.ndarray, orders: tuple[int, ...] = (1,), bits: int = BITS) -> DataFrame:
+def log_weights(docs: DataFrame, ratios: np.ndarray, bits: int = LEAST_BITS) -> DataFrame:
     """(key, log_weight, n_grams) of every document."""
-    sent = docs.sparkSession.sparkContext.broadcast(ratios)  # 2**bits numbers
+    sent = docs.sparkSession.sparkContext.broadcast(ratios)  # 4 bytes a bucket: 17 MB at MOST_BITS
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
-            text, bucket = features(*utf8(batch.column("text")), orders, bits)
+            text, bucket = features(*utf8(batch.column("text")), bits)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.bincount(text, sent.value[bucket], minlength=n).astype(float)), pa.array(np.bincount(text, minlength=n))], ["key", "log_weight", "n_grams"])
 
@@ -147,12 +169,13 @@ def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 4096, last: in
     return sorted((r[0] for r in rows.where(F.col(column).between(lo, hi)).select(column).collect()), reverse=True)[k - 1]
 
 
-def select_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", max_labelled: int = MAX_LABELLED, orders: tuple[int, ...] = (1,), seed: int = 17) -> DataFrame:
+def select_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", max_labelled: int = MAX_LABELLED, seed: int = 17) -> DataFrame:
     """Per document: key, log_weight, n_grams, sample_key, kept.
 
     labels: (key, quality, toxic), nulls count as bad quality and not toxic; of repeated labels the worst counts. Null and
     empty texts have weight 0 (ratio 1). Without target labels every weight is 0 and every document is kept. Documents
-    with equal sample keys at the cut are all kept. Other columns of docs are not read.
+    with equal sample keys at the cut are all kept; rows of a repeated key draw the same lot, and rows without a key draw
+    one too. An empty table gives no rows. Other columns of docs are not read.
     """
     spark = docs.sparkSession
     arrow_bounds(spark)
@@ -160,13 +183,14 @@ def select_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key:
     graded = graded.select("key", (F.col("fine") & ~F.col("toxic")).alias("good"), (F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(3)) == 0).alias("held_out"))
     graded = stored(graded.orderBy(F.xxhash64("key"), "key").limit(max_labelled))
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(32 * rows.count() + 1))))
     fitted = F.broadcast(graded.where("good and not held_out").select("key", F.lit(True).alias("is_target")))  # at most max_labelled keys
-    counts = bucket_counts(rows.join(fitted, "key", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target")), orders).toArrow()
-    scored = stored(log_weights(rows, log_ratios(counts), orders))
-    held = scored.join(F.broadcast(graded.where("held_out")), "key").select("key", "log_weight", "good").limit(max_labelled).toPandas()
+    counts = stored(bucket_counts(rows.join(fitted, "key", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target")), bits))
+    scored = stored(log_weights(rows, log_ratios(counts, bits), bits))
+    held = scored.join(F.broadcast(graded.where("held_out")), "key").groupBy("key", "good").agg(F.min("log_weight").alias("log_weight")).toPandas()  # at most max_labelled keys
     cut = min(0.0, level(held["log_weight"].to_numpy(float), held["good"].to_numpy(bool)))
     draw = (F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 40)) + F.lit(0.5)) / F.lit(float(1 << 40))
-    drawn = scored.withColumn("sample_key", F.col("log_weight") / F.lit(TEMPERATURE) - F.log(-F.log(draw)))
+    drawn = scored.withColumn("sample_key", F.col("log_weight") - F.log(-F.log(draw)))
     k = drawn.where(F.col("log_weight") >= F.lit(cut)).count()
     least = kth_largest(drawn, "sample_key", k)
     return drawn.select(F.col("key").alias(key), "log_weight", "n_grams", "sample_key", (F.col("sample_key") >= F.lit(least)).alias("kept"))

@@ -3,8 +3,13 @@
 Text is gathered in blocks, each under its root-to-leaf tag path. Per path and page: characters and punctuation marks per
 block, not counting text in links. Both ratios are smoothed over neighbouring paths in page order, fused by multiplication,
 and held against a threshold drawn from their spread. The element shared by all paths above it is the container, or the
-article element around it where one is marked; its blocks are the content, but for those under navigation, adverts, forms,
-comments and the like.
+article element around it where one is marked; its blocks are the content, but for paths that are mostly links (where no
+article is marked) and for what is set apart.
+
+Set apart are elements whose tag, role or name says navigation, advert, form, comment and the like. A name is a whole class
+or id; one that denies or mentions (no-comments, with-sidebar) or that names a part of the article (post-header) says
+nothing, names never outweigh an article, main or body tag, and an element that holds most of the page's running text is
+never set apart (where articles are marked, most of theirs), unless it holds navigation or comments.
 """
 
 from __future__ import annotations
@@ -21,67 +26,98 @@ from pyspark.sql import functions as F
 from govlens.llm.common import arrow_bounds, by_bytes
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>", re.S)
-#: Elements whose content is no text of the page; the parser skips to their end.
-_RAW = {"script", "style", "noscript", "template", "svg", "math", "textarea", "iframe", "object", "canvas", "select", "title"}
+#: Elements whose content is no markup of the page: the parser skips to their end, whatever stands before the >.
+_RAW = {"script", "style", "noscript", "textarea", "iframe", "noframes", "title", "xmp"}
+#: Embedded languages, where a slash before the > does close the element.
+_FOREIGN = {"svg", "math"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
 #: Elements that are never part of the main text.
-_APART = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "head", "fieldset"}
+_APART = {"nav", "footer", "menu", "head", "template", "object", "canvas", "select", "button"}
+#: Elements that aren't, unless they hold most of the page's text.
+_ASIDE = {"aside", "form", "dialog", "fieldset"}
 _APART_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
+#: Elements that no name sets apart.
+_BODY = {"html", "body", "main", "article"}
 #: Words of class and id names that mark what is not the article.
 _APART_NAMES = set(
-    "ad ads adv advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments commentlist cookie cookies consent copyright disqus footer "
-    "gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion related "
-    "replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split()
+    "ad ads adv advert adverts advertisement advertising banner banners breadcrumb breadcrumbs cookie cookies consent copyright footer "
+    "gdpr header login masthead modal newsletter notice notices notification pager pagination popup promo promoted promotion related "
+    "share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+_HARD_NAMES = set("comment comments commentlist disqus replies reply respond menu menus nav navbar navigation".split())
+#: Words beside them that turn them into a mention, and the parts of a page whose headers are its own.
+_MENTIONS = set("no not non without with has have hide enable enabled disable disabled".split())
+_OWN, _HEADERS = set("article body content entry main post story".split()), {"header", "banner", "masthead", "notice"}
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_SPLIT = re.compile(r"[^a-z0-9]+")
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 _CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 _SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
+#: An element with this part of the page's running text is not set apart.
+MOST = 0.7
+NONE, SOFT, HARD = 0, 1, 2
+
+
+def _name_says(name: str) -> int:
+    """What one class or id says of its element."""
+    words = {w for w in re.split("[^a-z0-9]+", _CAMEL.sub(" ", name).lower()) if w}
+    if not words.isdisjoint(_MENTIONS):
+        return NONE
+    if not words.isdisjoint(_HARD_NAMES):
+        return HARD
+    found = words & _APART_NAMES
+    return SOFT if found and not (found <= _HEADERS and words & _OWN) else NONE
 
 
-def _marked(tag: str, attributes: str) -> tuple[str, bool]:
-    """The element's name in a path, and whether its names set it apart."""
-    name, apart = tag, tag in _APART
+def _marked(tag: str, attributes: str) -> tuple[str, int]:
+    """The element's name in a path, and whether it is set apart."""
+    name, apart = tag, HARD if tag in _APART else SOFT if tag in _ASIDE else NONE
     if attributes and "=" in attributes:
         for kind, a, b, c in _NAMES.findall(attributes):
-            value = (a or b or c).lower()
+            value = a or b or c
             if kind.lower() == "role":
-                apart |= value.strip() in _APART_ROLES
-            else:
-                apart |= not _APART_NAMES.isdisjoint(_SPLIT.split(value))
-                if kind.lower() == "class":
-                    name += "." + ".".join(value.split())
-    return name, apart and tag not in ("html", "body")
+                if value.strip().lower() in _APART_ROLES:
+                    apart = max(apart, SOFT)
+                continue
+            if kind.lower() == "class":
+                name += "." + ".".join(value.lower().split())
+            if tag not in _BODY:
+                apart = max([apart, *map(_name_says, value.split())])
+    return name, NONE if tag in ("html", "body") else apart
 
 
 def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
     """The page's blocks in order: (tag path, text, characters in links, set apart)."""
-    out: list[tuple[tuple[str, ...], str, int, bool]] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, name in the path, set apart
+    out: list[tuple[tuple[str, ...], str, int, tuple]] = []
+    stack: list[tuple[str, str, int]] = []  # tag, name in the path, 0 or the number of the element that is set apart
+    hard: set[int] = set()
     parts: list[str] = []
-    linked = at = 0
+    linked = at = marks = in_link = 0
+    muted: tuple[str, int] | None = None  # an inline element set apart, and how many elements were open before it
+    depth = 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append((tuple(s[1] for s in stack), text, linked, any(s[2] for s in stack)))
+                out.append((tuple(s[1] for s in stack), text, linked, tuple(s[2] for s in stack if s[2])))
             parts.clear()
         linked = 0
 
     def pop_to(k: int) -> None:
+        nonlocal muted
         flush()
         del stack[k:]
+        if muted and len(stack) < muted[1]:
+            muted = None
 
-    in_link = 0
     position, end = 0, len(page)
     while position < end:
         found = _TOKEN.search(page, position)
         at = found.start() if found else end
-        if at > position:
+        if at > position and not muted:
             text = page[position:at]
             text = html.unescape(text) if "&" in text else text
             parts.append(text)
@@ -97,6 +133,10 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
         if found[1]:
             if tag == "a":
                 in_link = 0
+            if muted and tag == muted[0]:
+                depth -= 1
+                if not depth:
+                    muted = None
             elif tag == "p" and not any(s[0] == "p" for s in stack):
                 flush()
             elif tag not in _INLINE:
@@ -105,18 +145,20 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
                         pop_to(k)
                         break
             continue
-        if tag in _RAW:
-            if found[3].endswith("/"):
+        if tag in _RAW or tag in _FOREIGN:
+            if tag in _FOREIGN and found[3].endswith("/"):
                 continue
-            close = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(page, position)
+            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, position)
             position = close.end() if close else end
             continue
         if tag == "a":
             in_link = 1
         if tag in _INLINE:
-            name, apart = _marked(tag, found[3]) if "=" in found[3] else (tag, False)
-            if not apart:
-                continue
+            if muted:
+                depth += tag == muted[0]
+            elif "=" in found[3] and _marked(tag, found[3])[1]:
+                muted, depth = (tag, len(stack)), 1
+            continue
         if tag in _VOID:
             if tag == "hr":
                 flush()
@@ -140,11 +182,31 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
         flush()
         name, apart = _marked(tag, found[3])
         if tag == "header" and not any(s[0] in ("article", "main") for s in stack):
-            apart = True
-        if not found[3].endswith("/"):
-            stack.append((tag, name, apart))
+            apart = max(apart, SOFT)
+        if apart:
+            marks += 1
+            if apart == HARD:
+                hard.add(marks)
+        stack.append((tag, name, marks if apart else 0))
     flush()
-    return out
+    return _decided(out, hard)
+
+
+def _decided(blocks: list[tuple[tuple[str, ...], str, int, tuple]], hard: set[int]) -> list[tuple[tuple[str, ...], str, int, bool]]:
+    """The blocks with a flag: in an element that is set apart and doesn't hold most of the page's running text."""
+    held: dict[int, int] = {}
+    marked: dict[int, int] = {}  # the same of what lies in an article or main element
+    total = total_marked = 0
+    for path, text, linked, marks in blocks:
+        if hard.isdisjoint(marks):
+            n = max(0, len(text) - linked)
+            own = n if any(map(_is_article, path)) else 0
+            total, total_marked = total + n, total_marked + own
+            for m in marks:
+                held[m] = held.get(m, 0) + n
+                marked[m] = marked.get(m, 0) + own
+    apart = hard | {m for m, n in held.items() if not n or n < MOST * total or marked[m] < MOST * total_marked}
+    return [(path, text, linked, not apart.isdisjoint(marks)) for path, text, linked, marks in blocks]
 
 
 #: Paths through an element that names the article count so many times.
@@ -155,44 +217,57 @@ def _is_article(name: str) -> bool:
     return name.split(".", 1)[0] in ("article", "main")
 
 
-def content_container(blocks: list[tuple[tuple[str, ...], str, int, bool]]) -> tuple[str, ...]:
-    """The path of the element that holds the main text."""
-    order: list[tuple[str, ...]] = []
+def path_scores(blocks: list[tuple[tuple[str, ...], str, int, bool]]) -> tuple[dict[tuple[str, ...], float], float]:
+    """Of each tag path in page order its fused ratios, and the threshold."""
     sums: dict[tuple[str, ...], list[float]] = {}
     for path, text, linked, _ in blocks:
-        if path not in sums:
-            order.append(path)
-            sums[path] = [0, 0, 0]
-        own = sums[path]
+        own = sums.setdefault(path, [0, 0, 0])
         own[0] += max(0, len(text) - linked)
         own[1] += len(_PUNCTUATION.findall(text))
         own[2] += 1
-    length = [sums[p][0] / sums[p][2] for p in order]
-    marks = [(sums[p][1] + 1) / sums[p][2] for p in order]
+    length = [chars / n for chars, _, n in sums.values()]
+    marks = [(marks + 1) / n for _, marks, n in sums.values()]
 
     def smooth(x: list[float]) -> list[float]:
         return [(0.25 * x[max(0, i - 1)] + 0.5 * v + 0.25 * x[min(len(x) - 1, i + 1)]) if len(x) > 1 else v for i, v in enumerate(x)]
 
-    fused = [a * b * (ARTICLE_WEIGHT if any(map(_is_article, p)) else 1) for p, a, b in zip(order, smooth(length), smooth(marks))]
-    mean = sum(fused) / len(fused)
-    spread = (sum((f - mean) ** 2 for f in fused) / len(fused)) ** 0.5
-    bar = min(max(fused), max(0.5 * spread, 0.25 * mean))
+    fused = {p: a * b * (ARTICLE_WEIGHT if any(map(_is_article, p)) else 1) for p, a, b in zip(sums, smooth(length), smooth(marks))}
+    mean = sum(fused.values()) / len(fused)
+    spread = (sum((f - mean) ** 2 for f in fused.values()) / len(fused)) ** 0.5
+    return fused, min(max(fused.values()), max(0.5 * spread, 0.25 * mean))
+
+
+def content_container(blocks: list[tuple[tuple[str, ...], str, int, bool]]) -> tuple[str, ...]:
+    """The path of the element that holds the main text."""
+    fused, bar = path_scores(blocks)
+    chosen = [p for p, score in fused.items() if score >= bar]
+    held = dict.fromkeys(chosen, 0)
+    for path, text, linked, _ in blocks:
+        if path in held:
+            held[path] += max(0, len(text) - linked)
     weight: dict[tuple[str, ...], float] = {}
     total = 0.0
-    for path, score in zip(order, fused):
-        if score >= bar:
-            own = (sums[path][0] + 1) * (ARTICLE_WEIGHT if any(map(_is_article, path)) else 1)
-            total += own
-            for k in range(len(path)):
-                weight[path[:k]] = weight.get(path[:k], 0) + own
+    for path in chosen:
+        own = (held[path] + 1) * (ARTICLE_WEIGHT if any(map(_is_article, path)) else 1)
+        total += own
+        for k in range(len(path)):
+            weight[path[:k]] = weight.get(path[:k], 0) + own
     main = max((p for p, w in weight.items() if w >= 0.75 * total), key=len, default=())
-    above = [path[:-1] for path, score in zip(order, fused) if score >= bar]
     article = next((k + 1 for k, name in enumerate(main) if _is_article(name)), 0)
-    above = [path for path in above if path[:article] == main[:article]]
-    shared = os.path.commonprefix(above)
+    shared = os.path.commonprefix([path[:-1] for path in chosen if path[:-1][:article] == main[:article]])
     return shared[: max((k + 1 for k, name in enumerate(shared) if _is_article(name)), default=len(shared))]
 
 
+def _link_paths(blocks: list[tuple[tuple[str, ...], str, int, bool]]) -> set[tuple[str, ...]]:
+    """Paths whose text is mostly that of links."""
+    sums: dict[tuple[str, ...], list[int]] = {}
+    for path, text, linked, _ in blocks:
+        own = sums.setdefault(path, [0, 0])
+        own[0] += len(text)
+        own[1] += linked
+    return {path for path, (n, linked) in sums.items() if 2 * linked > n}
+
+
 def main_text(page: str | None) -> str:
     """The main text of one page: its blocks, one empty line between them; empty if there is none."""
     if not page:
@@ -201,8 +276,8 @@ def main_text(page: str | None) -> str:
     if not blocks:
         return ""
     root = content_container(blocks)
-    sure = any(_is_article(n) for n in root)
-    return "\n\n".join(text for path, text, linked, _ in blocks if path[: len(root)] == root and (sure or 2 * linked <= len(text)))
+    links = set() if any(map(_is_article, root)) else _link_paths(blocks)
+    return "\n\n".join(text for path, text, _, _ in blocks if path[: len(root)] == root and path not in links)
 
 
 def extract_text(pages: DataFrame, html_column: str = "html", key: str = "page_id", keep: tuple[str, ...] = ("url",)) -> DataFrame:

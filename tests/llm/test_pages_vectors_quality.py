@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from govlens.llm.components import connected_components
 from govlens.llm.embedding_dedup import near_duplicates
-from govlens.llm.html_text import extract_text, main_text
+from govlens.llm.html_text import ARTICLE_WEIGHT, blocks_of, extract_text, main_text, path_scores
 from govlens.llm.quality import kth_largest, level, select_quality
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x}</style><script>var t="</p>";</script></head><body>
@@ -147,3 +147,72 @@ def test_nested_text_keeps_the_rest_of_the_article():
     assert kept[:2] == ["Title", "Lead, first."] and kept[-1] == "The end, at last." and len(kept) == 6 and "Legal" not in kept
     page = f"<body><div class=page><div class=a>{text * 5}</div><div class=b>{text}</div></div><div class=x><p>Small</p></div></body>"
     assert len(main_text(page).split("\n\n")) == 6
+
+
+FIVE = [f"Paragraph number {i}, which has a few words, and some marks." for i in range(5)]
+FIVE_P = "".join(f"<p>{x}</p>" for x in FIVE)
+
+
+@pytest.mark.parametrize(
+    "body,before,after",
+    [
+        (f'<div class="content with-sidebar">{FIVE_P}</div>', [], []),
+        (f'<article class="post no-comments">{FIVE_P}</article>', [], []),
+        (f'<main id="main-share">{FIVE_P}</main>', [], []),
+        (f'<div class="post-header"><h1>Head</h1></div>{FIVE_P}', ["Head"], []),
+        (f"<div>{FIVE_P}<p><a href=x>A long link that is nearly the paragraph</a> ok.</p></div>", [], ["A long link that is nearly the paragraph ok."]),
+        (f'<script src="a.js"/>var x = 1;</script>{FIVE_P}', [], []),
+        (f'<form id="aspnet">{FIVE_P}<aside>Side</aside></form>', [], []),
+        (f'<div>{FIVE_P}</div><div id="comments">{FIVE_P * 4}</div>', [], []),
+        (f'<p>Text <span class="ad">buy <span>now</span> x</span> more, here.</p>{FIVE_P}', ["Text more, here."], []),
+        (f'<div class="menu"><a href=a>A</a></div><ul><li><a href=x>Home page</a></li><li><a href=y>News page</a></li></ul><div>{FIVE_P}</div>', [], []),
+        (f'<div class="ad">{FIVE_P}</div><article><p>Short, this one.</p></article>', ["Short, this one."], None),
+        (f'<div/><p class=x/>One, two.{FIVE_P}<svg viewBox="0"/><textarea>no</textarea>', ["One, two."], []),
+        (f'<div class="siteHeader">Site</div><div class="cookieNotice">Yes, cookies.</div>{FIVE_P}<div class="entry-footer">End</div>', [], []),
+    ],
+)
+def test_names_and_structure_that_set_apart(body, before, after):
+    assert main_text(f"<html><body>{body}</body></html>").split("\n\n") == ([*before, *FIVE, *after] if after is not None else before)
+
+
+def test_path_scores_against_plain_arithmetic():
+    dice = random.Random(11)
+    for _ in range(60):
+        names = ["div", "section", "p", "li", "article", "td"]
+        page = "".join(f"<{t}>{'word, ' * dice.randrange(1, 30)}<a href=x>{'l' * dice.randrange(20)}</a>.</{t}>" for t in dice.choices(names, k=dice.randrange(1, 12)))
+        blocks = [b for b in blocks_of(page) if not b[3]]
+        paths = list(dict.fromkeys(b[0] for b in blocks))
+        mine = [[b for b in blocks if b[0] == p] for p in paths]
+        length = np.array([np.mean([max(0, len(t) - k) for _, t, k, _ in own]) for own in mine])
+        marks = np.array([(sum(t.count(",") + t.count(".") for _, t, _, _ in own) + 1) / len(own) for own in mine])
+        pad = lambda x: np.convolve(np.concatenate((x[:1], x, x[-1:])), [0.25, 0.5, 0.25], "valid") if len(x) > 1 else x
+        weight = np.array([ARTICLE_WEIGHT if "article" in p else 1 for p in paths])
+        expected = pad(length) * pad(marks) * weight
+        fused, bar = path_scores(blocks)
+        assert list(fused) == paths and np.allclose(list(fused.values()), expected)
+        assert np.isclose(bar, min(expected.max(), max(0.5 * expected.std(), 0.25 * expected.mean())))
+
+
+def test_generated_pages():
+    """Articles of random structure among random boilerplate come out whole and alone."""
+    dice = random.Random(3)
+
+    def sentence(n):
+        return " ".join("".join(dice.choices("abcdefghij", k=dice.randrange(2, 9))) for _ in range(n)) + ", and so on."
+
+    for _ in range(150):
+        wanted, body = [], ""
+        for _ in range(dice.randrange(3, 9)):
+            kind, text = dice.choice(["p", "h2", "ul", "quote"]), sentence(dice.randrange(12, 60))
+            if kind == "ul":
+                items = [sentence(9), sentence(9)]
+                wanted += items
+                body += "<ul>" + "".join(f"<li>{x}" for x in items) + "</ul>"
+            else:
+                wanted.append(text)
+                body += {"p": f"<p>{text}</p>", "h2": f"<h2>{text}</h2>", "quote": f"<blockquote><p>{text}</p></blockquote>"}[kind]
+        open_, close = dice.choice([("<article>", "</article>"), ('<div class="post-body">', "</div>"), ('<main><div class="x no-sidebar">', "</div></main>")])
+        around = [f"<nav>{sentence(8)}</nav>", f'<div class="ads box">{sentence(12)}</div>', f"<aside>{sentence(20)}</aside>", f'<div id="sideBar-comments">{sentence(30)}</div>', f"<form>{sentence(5)}</form>", "<script>if (a < b) x();</script>"]
+        before, after = dice.sample(around, 3), dice.sample(around, 3)
+        page = f"<html><head><title>t</title></head><body>{''.join(before)}{open_}{body}{close}{''.join(after)}<footer>{sentence(9)}</footer></body></html>"
+        assert main_text(page).split("\n\n") == wanted, page

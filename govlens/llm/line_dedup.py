@@ -1,19 +1,20 @@
 """Line dedup by winnowing over line hashes, with DataFrame functions only.
 
-A run is a whole number of consecutive lines with at least MIN_WORDS words, or of at least MIN_LINES lines. Every run of
-more than MIN_LINES lines is made of runs of MIN_LINES lines, so runs of one, two and three lines are windows enough: the
-lines of all windows that occurred before (in a smaller key, or earlier in the same text) are those of all repeated runs,
-extended both ways as far as they match any earlier place. Of each window the minimum line hash is its fingerprint, so every
-repeated window shares a fingerprint with its first occurrence. Fingerprint positions are joined; windows at fingerprints
-that occur once are done, the others are compared as wholes.
+A run is a whole number of consecutive lines with at least MIN_WORDS words, or of at least MIN_LINES lines. Of each window
+(a run of at most MIN_LINES lines) the minimum line hash is its fingerprint, so every window that occurs twice has its
+fingerprint twice. Windows at fingerprints that occur once are done. At the others positions are joined: each window with
+the first place that holds the same lines. A match of a text with that place is extended both ways, window by window along
+the same distance between the two, to a run as long as they agree; the lines of all runs are deleted from the later text.
+
+Nothing is lost by looking at first places only: a run is made of windows, each of which has a first place of its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from govlens.llm.common import stored
+from govlens.llm.common import stored, unused
 
 MIN_LINES, MIN_WORDS = 3, 50
 
@@ -45,36 +46,50 @@ def line_windows(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     return rows.select("key", F.explode(F.flatten(F.transform("line", windows))).alias("w")).select("key", "w.*")
 
 
-def repeated_windows(windows: DataFrame) -> DataFrame:
-    """(key, pos, last) of every window that occurred before."""
+def matched_windows(windows: DataFrame) -> DataFrame:
+    """(key, pos, last, source, source_pos): each window that occurred before, with the first place that holds its lines."""
     # what windows are joined with is a table each time, so that the join of a hot fingerprint or run can be split
     shared = stored(windows.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint"))
     candidates = windows.join(shared, "fingerprint").select("key", "pos", "last", "h", "g")
     first = stored(candidates.groupBy("h", "g").agg(F.min(F.struct("key", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g", "first"))
-    later = candidates.join(first, ["h", "g"])
-    return later.where(F.struct("key", "pos") > F.col("first")).select("key", "pos", "last")
+    later = candidates.join(first, ["h", "g"]).where(F.struct("key", "pos") > F.col("first"))
+    return later.select("key", "pos", "last", F.col("first.key").alias("source"), F.col("first.pos").alias("source_pos"))
+
+
+def repeated_runs(matches: DataFrame) -> DataFrame:
+    """(key, source, distance, pos, last): matches of a text with one place, extended both ways to whole runs.
+
+    Matches in the same two texts at the same distance are one run where they overlap or meet.
+    """
+    along = Window.partitionBy("key", "source", "distance").orderBy("pos", "last")
+    before = F.max("last").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    opened = matches.withColumn("distance", F.col("pos") - F.col("source_pos")).withColumn("opens", F.when(F.col("pos") <= before + 1, 0).otherwise(1))
+    numbered = opened.withColumn("run", F.sum("opens").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("key", "source", "distance", "run").agg(F.min("pos").alias("pos"), F.max("last").alias("last")).drop("run")
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with the later repeats of line runs deleted from text, and n_lines, n_deleted added.
+def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", added: tuple[str, str] = ("n_lines", "n_deleted")) -> DataFrame:
+    """docs with the later repeats of line runs deleted from text, and the numbers of all and of deleted lines added.
 
     Lines end at a line feed. Lines without words are never part of a run; they go when the lines on both sides of them go
     in one deleted run. A null text stays null with 0 lines, an empty one has 1 line. Rows with the same key count as
     copies only of earlier rows with smaller keys, so keys should be unique: rows of a repeated key lose the same lines.
-    A row with a null key neither loses nor causes anything. Other columns stay as they are.
+    A row with a null key neither loses nor causes anything. An empty table stays empty. Other columns stay as they are;
+    docs must not have columns of the names in added.
     """
-    if {"n_lines", "n_deleted", "deleted_runs"} & set(docs.columns):
+    if set(added) & set(docs.columns):
         raise ValueError("docs has a column of a name that is added here")
+    runs = unused("deleted_runs", docs.columns)
     windows = stored(line_windows(docs.where(F.col(key).isNotNull()), text, key))
-    ranges = repeated_windows(windows).groupBy(F.col("key").alias(key)).agg(F.collect_set(F.struct("pos", "last")).alias("deleted_runs"))  # at most three a line
-    return docs.join(ranges, key, "left").select(*_rebuilt(docs, text))
+    found = repeated_runs(matched_windows(windows)).groupBy(F.col("key").alias(key)).agg(F.collect_set(F.struct("pos", "last")).alias(runs))  # at most three a line
+    return docs.join(found, key, "left").select(*_rebuilt(docs, text, runs, added))
 
 
-def _rebuilt(docs: DataFrame, text: str) -> list[Column]:
+def _rebuilt(docs: DataFrame, text: str, runs: str, added: tuple[str, str]) -> list[Column]:
     lines = F.split(F.col(text).cast("string"), "\n", -1)
-    gone = F.array_distinct(F.flatten(F.transform("deleted_runs", lambda r: F.sequence(r["pos"], r["last"]))))
+    gone = F.array_distinct(F.flatten(F.transform(runs, lambda r: F.sequence(r["pos"], r["last"]))))
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    kept = F.when(F.col("deleted_runs").isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines")
-    n_deleted = F.when(F.col("deleted_runs").isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_deleted")
+    kept = F.when(F.col(runs).isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long").alias(added[0])
+    n_deleted = F.when(F.col(runs).isNull(), 0).otherwise(F.size(gone)).cast("long").alias(added[1])
     return [*(F.col(f"`{c}`") if c != text else kept.alias(text) for c in docs.columns), n_lines, n_deleted]

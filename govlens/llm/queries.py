@@ -97,8 +97,9 @@ WITH lines AS (SELECT doc_id, text IS NULL AS none, unnest(string_split(text, ch
 worded AS (SELECT doc_id, line, pos, len(list_filter(string_split(line, ' '), lambda x: x <> '')) AS n FROM lines),
 next AS (SELECT doc_id, line, pos, n, lead(line, 1) OVER o AS l1, lead(n, 1) OVER o AS n1, lead(pos, 1) OVER o AS p1, lead(line, 2) OVER o AS l2, lead(pos, 2) OVER o AS p2
          FROM worded WHERE n > 0 WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
-runs AS (SELECT doc_id, pos, CASE WHEN n >= 50 THEN pos WHEN n + n1 >= 50 THEN p1 ELSE p2 END AS last,
-                CASE WHEN n >= 50 THEN line WHEN n + n1 >= 50 THEN line || chr(10) || l1 ELSE line || chr(10) || l1 || chr(10) || l2 END AS run FROM next),
+runs AS (SELECT doc_id, pos, pos AS last, line AS run FROM next WHERE n >= 50
+         UNION ALL SELECT doc_id, pos, p1, line || chr(10) || l1 FROM next WHERE p1 IS NOT NULL AND n + n1 >= 50
+         UNION ALL SELECT doc_id, pos, p2, line || chr(10) || l1 || chr(10) || l2 FROM next WHERE p2 IS NOT NULL),
 ranked AS (SELECT doc_id, pos, last, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS nth FROM runs WHERE last IS NOT NULL),
 gone AS (SELECT DISTINCT doc_id, unnest(generate_series(pos, last)) AS pos FROM ranked WHERE nth > 1),
 kept AS (SELECT doc_id, count(*) AS n_lines, count(g.pos) AS n_deleted, coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL), '') AS body FROM lines l LEFT JOIN gone g USING (doc_id, pos) GROUP BY doc_id)

@@ -8,11 +8,14 @@ The distance of two shingle sets, 1 - |x & y| / |x | y|, is a metric, and linked
    they form its region; a document near a boundary is replicated to the region of each of its shingles. The order puts
    shingles last that are frequent in a sample, which keeps regions small; it has no influence on the result. Regions that
    overlap are joined as one while they are small together.
-3. A parity bitmap of about one bit a shingle bounds a distance from below (differing bits need differing shingles). Members
-   of a region that no bitmap of it comes near are done, and the others meet again in the components of what is left.
-4. There, with whole sets, sampled members are pivots again: each member goes to the nearest one's cell and, since a link moves
-   neither distance by more than RADIUS, also to every cell whose pivot is at most 2 RADIUS further away than the nearest.
-   Cells recur until they are small or stop shrinking, and then all their distances are computed.
+3. A parity bitmap of about one bit a shingle bounds a distance from below (differing bits need differing shingles), and the
+   number of differing bits is a metric too. Sampled members of a region are pivots: a link moves the distance to a pivot by
+   no more than its own, so only members in such a window around each other are compared. Members of a region that no bitmap
+   of it comes near are done, and the others meet again in the components of what is left.
+4. There, with whole sets, sampled members are pivots of Voronoi cells: each member goes to the nearest one's cell and, since
+   a link moves neither distance by more than RADIUS, also to every cell whose pivot is at most 2 RADIUS further away than
+   the nearest. Cells recur until they are small or stop shrinking; then members are compared within RADIUS of each other's
+   distance to the pivots. Members that a pivot has linked to each other need no comparison.
 5. A large region is dealt to several tasks by pairs of chunks of its members.
 6. Links leave a task as a forest, and the components of all forests are the result.
 """
@@ -133,7 +136,8 @@ def _sets(rows: DataFrame, shingle: int) -> DataFrame:
 class Region:
     """Shingle sets side by side, and their exact distances."""
 
-    LEAF, PIVOTS, COLUMNS = 96, 8, 2048
+    #: Members joined at once, pivots of a level, columns of one product, and how often cells may hold a member on average.
+    LEAF, PIVOTS, COLUMNS, SPREAD = 24, 16, 2048, 3
 
     def __init__(self, values: np.ndarray, ends: np.ndarray, percent: int):
         self.size = np.diff(ends)
@@ -147,6 +151,7 @@ class Region:
         self.ends = np.searchsorted(owner, np.arange(len(self.size) + 1))
         self.n_columns = int(shared.sum())
         self.forest = Forest(len(self.size))
+        self.cells = self.compared = 0  # for tests: cells made, and pairs compared within windows
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Sizes of the intersections of sets a with sets b."""
@@ -173,45 +178,105 @@ class Region:
         union = self.size[a][:, None] + self.size[b][None, :] - common
         self.forest.link(a, b, 100 * common >= self.percent * union)
 
-    def join(self, members: np.ndarray) -> None:
-        """Link all members within the radius of each other."""
-        if len(members) <= self.LEAF:
-            self.link(members, members, self.common(members, members))
-            return
-        pivots = members[np.linspace(0, len(members) - 1, self.PIVOTS).astype(int)]
+    def distances(self, members: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+        """Distances of members from pivots; those within the radius are linked."""
         common = self.common(members, pivots)
         self.link(members, pivots, common)
-        distance = 1 - common / (self.size[members][:, None] + self.size[pivots][None, :] - common)
+        return 1 - common / (self.size[members][:, None] + self.size[pivots][None, :] - common)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Link each of a with each of b that is within the radius."""
+        if not len(a) or not len(b):
+            return
+        if len(a) * len(b) <= self.LEAF**2:
+            self.link(a, b, self.common(a, b))
+            return
+        members = np.union1d(a, b)
+        pivots = _spread(members, self.PIVOTS)
+        distance = self.distances(members, pivots)
+        self.cells += len(pivots)
         within = distance <= distance.min(axis=1, keepdims=True) + 2 * self.radius + 1e-6
-        if within.sum(axis=0).max() > 0.8 * len(members):
-            for at in range(0, len(members), self.LEAF * 4):
-                part = members[at : at + self.LEAF * 4]
-                self.link(part, members[at:], self.common(part, members[at:]))
+        at_a, at_b = np.searchsorted(members, a), np.searchsorted(members, b)
+        if within.sum() <= self.SPREAD * len(members) and within.sum(axis=0).max() <= 0.8 * len(members):
+            for k in range(len(pivots)):
+                self.join(a[within[at_a, k]], b[within[at_b, k]])
             return
-        for k in range(len(pivots)):
-            self.join(members[within[:, k]])
+        for left, right in _unlinked(self.forest.root, a, b):
+            x, y = distance[np.searchsorted(members, left)], distance[np.searchsorted(members, right)]
+            for rows, columns in _windows(x[:, 0], y[:, 0], np.full(len(x), self.radius + 1e-6), self.LEAF * 4):
+                near = (np.abs(x[rows][:, None, :] - y[columns][None, :, :]) <= self.radius + 1e-6).all(axis=2)
+                rows, columns = rows[near.any(axis=1)], columns[near.any(axis=0)]
+                self.compared += len(rows) * len(columns)
+                self.link(left[rows], right[columns], self.common(left[rows], right[columns]))
+
+
+def _spread(members: np.ndarray, n: int) -> np.ndarray:
+    return members[np.unique(np.linspace(0, len(members) - 1, n).astype(int))]
+
+
+def _unlinked(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Two products of parts of a and b that hold every pair but those inside the largest component."""
+    roots, counts = np.unique(root[np.concatenate((a, b))], return_counts=True)
+    largest = roots[counts.argmax()]
+    apart = root[a] != largest
+    yield a[apart], b
+    yield a[~apart], b[root[b] != largest]
+
+
+def _windows(x: np.ndarray, y: np.ndarray, reach: np.ndarray, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks (rows, columns) that hold every pair with |x - y| <= the row's reach."""
+    order, columns = np.argsort(x, kind="stable"), np.argsort(y, kind="stable")
+    for at in range(0, len(order), block):
+        rows = order[at : at + block]
+        lo, hi = np.searchsorted(y[columns], (x[rows] - reach[rows]).min()), np.searchsorted(y[columns], (x[rows] + reach[rows]).max(), side="right")
+        if hi > lo:
+            yield rows, columns[lo:hi]
 
 
 class Bitmaps:
     """Parity bitmaps side by side, and which pairs they can't rule out."""
 
+    LEAF, PIVOTS, BLOCK = 32, 4, 64
+
     def __init__(self, n: np.ndarray, bitmaps: list[bytes], percent: int):
         self.n, self.percent = n, percent
         self.width = np.array([len(b) // 8 for b in bitmaps])
-        self.words = {int(w): np.zeros((len(n), w), np.uint64) for w in np.unique(self.width)}
+        wide = int(self.width.max(initial=1))
+        self.words = {}
+        for w in (1 << k for k in range(int(self.width.min(initial=wide)).bit_length() - 1, wide.bit_length())):
+            self.words[w] = np.zeros((len(n), w), np.uint64)
         for i, b in enumerate(bitmaps):
             self.words[len(b) // 8][i] = np.frombuffer(b, np.uint64)
-        for w in sorted(self.words, reverse=True):
-            if w // 2 in self.words:  # halves folded together are the bitmap of half the bits
-                wide = self.width >= w
-                self.words[w // 2][wide] = self.words[w][wide, : w // 2] ^ self.words[w][wide, w // 2 :]
+        for w in sorted(self.words, reverse=True)[:-1]:  # halves folded together are the bitmap of half the bits
+            own = self.width >= w
+            self.words[w // 2][own] = self.words[w][own, : w // 2] ^ self.words[w][own, w // 2 :]
         self.forest = Forest(len(n))
+        self.compared = 0  # for tests: pairs of bitmaps compared within windows
 
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Link each of a with each of b that it may be linked with."""
+        if len(a) * len(b) <= self.LEAF**2:
+            self.link(a, b)
+            return
+        members = np.union1d(a, b)
+        pivots = _spread(members, self.PIVOTS)
+        self.link(pivots, members)
+        least = self.words[min(self.words)]
+        far = np.zeros((len(self.n), len(pivots)), np.int64)  # differing bits of each member and pivot
+        for k, p in enumerate(pivots):
+            far[members, k] = np.bitwise_count(least[members] ^ least[p]).sum(axis=1, dtype=np.int64)
+        reach = (100 - self.percent) * self.n // self.percent  # differing shingles of a link, at most
+        for left, right in _unlinked(self.forest.root, a, b):
+            for rows, columns in _windows(far[left, 0], far[right, 0], reach[left], self.BLOCK):
+                x, y = left[rows], right[columns]
+                self.link(x, y, (np.abs(far[x][:, None, :] - far[y][None, :, :]) <= reach[x][:, None, None]).all(axis=2))
+
+    def link(self, a: np.ndarray, b: np.ndarray, near: np.ndarray | bool = True) -> None:
         n_a, n_b = self.n[a][:, None], self.n[b][None, :]
-        near = 100 * np.minimum(n_a, n_b) >= self.percent * np.maximum(n_a, n_b)
+        near = near & (100 * np.minimum(n_a, n_b) >= self.percent * np.maximum(n_a, n_b))
         near &= self.forest.root[a][:, None] != self.forest.root[b][None, :]
         x, y = np.nonzero(near)
+        self.compared += len(x)
         width = np.minimum(self.width[a[x]], self.width[b[y]])
         for w in np.unique(width):
             own = np.flatnonzero(width == w)
@@ -230,9 +295,7 @@ def _candidates(regions: DataFrame, percent: int) -> DataFrame:
         i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
         maps = Bitmaps(np.asarray(rows["n"]), rows["bitmap"].to_pylist(), percent)
         chunk = np.asarray(rows["chunk"])
-        a, b = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-        for at in range(0, len(a), 64):
-            maps.link(a[at : at + 64], b[at:] if i == j else b)
+        maps.join(np.flatnonzero(chunk == i), np.flatnonzero(chunk == j))
         child, root = maps.forest.edges()
         return pa.table({"a": rows["key"].take(pa.array(child)), "b": rows["key"].take(pa.array(root))})
 
@@ -250,13 +313,8 @@ def _links(regions: DataFrame, percent: int) -> DataFrame:
         ends = np.asarray(lists.offsets).astype(np.int64)
         region = Region(np.asarray(lists.values)[ends[0] : ends[-1]], ends - ends[0], percent)
         i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
-        if i == j:
-            region.join(np.arange(rows.num_rows))
-        else:
-            chunk = np.asarray(rows["chunk"])
-            a, b = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-            for at in range(0, len(a), 256):
-                region.link(a[at : at + 256], b, region.common(a[at : at + 256], b))
+        chunk = np.asarray(rows["chunk"])
+        region.join(np.flatnonzero(chunk == i), np.flatnonzero(chunk == j))
         child, root = region.forest.edges()
         return pa.table({"a": rows["key"].take(pa.array(child)), "b": rows["key"].take(pa.array(root))})
 

@@ -10,9 +10,10 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from govlens.llm.common import mix
 from govlens.llm.decontamination import contamination
-from govlens.llm.jaccard import jaccard_components
-from govlens.llm.line_dedup import MIN_LINES, MIN_WORDS, dedup_lines
+from govlens.llm.jaccard import Bitmaps, Region, _bitmaps, jaccard_components
+from govlens.llm.line_dedup import MIN_LINES, MIN_WORDS, dedup_lines, line_windows, matched_windows, repeated_runs
 from govlens.llm.packing import GROUPS, pack_documents
 from govlens.llm.sharding import longest_first, shard_documents
 from govlens.llm.suffix_dedup import remove_repeats
@@ -136,22 +137,21 @@ def test_shards_keep_copies_together_and_are_even(docs, none, spark):
 
 
 def brute_lines(texts):
+    """The text without the lines of any run that occurred before, by plain comparison of every window with all earlier ones."""
     seen, out = set(), {}
     for i, t in enumerate(texts):
         lines = (t or "").split("\n")
-        worded = [k for k, x in enumerate(lines) if len([w for w in x.split(" ") if w])]
+        worded = [k for k, x in enumerate(lines) if any(x.split(" "))]
         gone = set()
         for a in range(len(worded)):
-            words = n = 0
-            while a + n < len(worded) and n < MIN_LINES and words < MIN_WORDS:
-                words += len([w for w in lines[worded[a + n]].split(" ") if w])
-                n += 1
-            if n < MIN_LINES and words < MIN_WORDS:
-                continue
-            run = tuple(lines[k] for k in worded[a : a + n])
-            if run in seen:
-                gone |= set(range(worded[a], worded[a + n - 1] + 1))
-            seen.add(run)
+            for n in range(1, MIN_LINES + 1):
+                own = worded[a : a + n]
+                run = tuple(lines[k] for k in own)
+                if len(own) < n or n < MIN_LINES and sum(len([w for w in x.split(" ") if w]) for x in run) < MIN_WORDS:
+                    continue
+                if run in seen:
+                    gone |= set(range(own[0], own[-1] + 1))
+                seen.add(run)
         out[i] = None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone) if gone else t
     return out
 
@@ -165,6 +165,18 @@ def test_line_dedup_deletes_later_runs(docs, none):
     assert dedup_lines(none).count() == 0
     with pytest.raises(ValueError):
         dedup_lines(docs.withColumn("n_lines", F.lit(1)))
+    clash = docs.withColumn("n_lines", F.lit(1)).withColumn("deleted_runs", F.lit("x"))
+    assert by_id(dedup_lines(clash, added=("a", "b")))[11 * 3].asDict().items() >= {"text": "head\ntail", "n_lines": 1, "deleted_runs": "x", "b": 6}.items()
+
+
+def test_matches_are_joined_with_first_places_and_extended(spark):
+    run = [f"line {c} of it" for c in "abcdefg"]
+    texts = ["\n".join(["x", *run, "y"]), "\n".join(["p", "q", *run[:5], "z", *run[3:]]), "\n".join(run[2:6])]
+    windows = line_windows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    matches = matched_windows(windows)
+    assert {(r.key, r.pos, r.last, r.source, r.source_pos) for r in matches.where("key = 2").collect()} == {(2, 0, 2, 0, 3), (2, 1, 3, 0, 4)}
+    found = {(r.key, r.source, r.distance, r.pos, r.last) for r in repeated_runs(matches).collect()}
+    assert found == {(1, 0, 1, 2, 6), (1, 0, 4, 8, 11), (2, 0, -3, 0, 3)}  # whole runs, each one longer than a window
 
 
 def test_line_dedup_extends_runs_to_their_last_line(spark):
@@ -238,10 +250,36 @@ def test_jaccard_components_are_exact(docs, none, percent, shingle, chunk, max_s
 
 def test_jaccard_large_region_recurs(spark):
     rows = [(i, " ".join(f"t{k if (k * 7 + i) % 23 else i * 1000 + k}" for k in range(60))) for i in range(260)] + [(1000 + i, " ".join(f"u{k if (k * 5 + i) % 61 else i * 1000 + k}" for k in range(120))) for i in range(120)]
-    found = by_id(jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), percent=85, shingle=1, chunk=50))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = by_id(jaccard_components(df, percent=85, shingle=1, chunk=50))
     sets = [shingles(t, 1) for _, t in rows]
     root = components(len(rows), lambda i, j: 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]))
     assert [found[k].component_id for k, _ in rows] == [rows[r][0] for r in root]
+    assert by_id(jaccard_components(df, percent=85, shingle=1)) == found
+
+
+@pytest.mark.parametrize("percent", [85, 50])
+@pytest.mark.parametrize("parts", [1, 3])
+def test_pivots_decide_within_a_region(percent, parts):
+    """Exact sets and bitmaps of one large region: pivots and windows leave few pairs to compare and lose none."""
+    dice = np.random.default_rng(4)
+    chain = [np.arange(3 * i, 3 * i + 60) for i in range(200)]
+    groups = [np.unique(np.where(dice.random(120) < 0.1, dice.integers(10**6, 10**9, 120), np.arange(120) * 7 + c * 10**4)) for c in range(4) for _ in range(60)]
+    sets = [x.astype(np.uint64) for x in dice.permuted(np.array([*chain, *groups], object))]
+    n = np.array([len(x) for x in sets])
+    plain = [set(x.tolist()) for x in sets]
+    root = components(len(sets), lambda i, j: 100 * len(plain[i] & plain[j]) >= percent * len(plain[i] | plain[j]))
+    values, ends = np.concatenate(sets), np.concatenate(([0], np.cumsum(n)))
+    region = Region(values, ends, percent)
+    maps = Bitmaps(n, _bitmaps(np.repeat(np.arange(len(n)), n), mix(values), n).to_pylist(), percent)
+    for i in range(parts):
+        for j in range(i, parts):
+            a, b = np.arange(len(sets))[i::parts], np.arange(len(sets))[j::parts]
+            region.join(a, b)
+            maps.join(a, b)
+    assert region.forest.root.tolist() == root
+    assert all(len({maps.forest.root[i] for i in range(len(sets)) if root[i] == r}) == 1 for r in set(root))
+    assert region.cells > 0 and region.compared < len(sets) ** 2 and maps.compared < len(sets) ** 2 // 2
 
 
 def brute_bytes(texts, length):

@@ -2,11 +2,13 @@
 
 Two independent codebooks, one for each half of the vectors, form a product grid of cells. Every vector lies in the cell of
 its nearest codewords. Its search visits cells in order of their distance, which is the sum over both halves, as a
-multi-sequence traversal does, until the target recall: the stop is calibrated on worst cases, random vectors at exactly
-the threshold from sampled ones. Candidates met in a cell are verified by cosine in double precision. A pair can be met
-from either side and is counted in one cell only.
+multi-sequence traversal does, until the cells visited hold the target recall: the share of partners expected in a cell
+falls off exponentially with its distance, and how fast, and where a search has to stop, is fitted on worst cases, random
+vectors at exactly the threshold from sampled ones. Candidates met in a cell are verified by cosine in double precision. A
+pair can be met from either side and is counted in one cell only.
 
-Equal vectors collapse before the search, and large cells are dealt to several tasks by pairs of chunks.
+The number of cells grows with the number of vectors. Equal vectors collapse before the search. In a cell only its own
+vectors meet each other and the visitors, and large cells are dealt to several tasks by chunks of both.
 """
 
 from __future__ import annotations
@@ -22,18 +24,29 @@ from govlens.llm.common import arrow_bounds, stored
 from govlens.llm.components import Forest, connected_components
 
 THRESHOLD, RECALL = 0.93, 0.99
-#: Vectors sampled to fit the codebooks, most codewords of one half, and members of a cell that one task compares.
-SAMPLE, MOST_CODES, CHUNK = 20_000, 256, 1024
+#: Vectors sampled to fit the codebooks, vectors wanted in a cell, most codewords of one half, and members of a cell that one
+#: task compares.
+SAMPLE, CELL, MOST_CODES, CHUNK = 20_000, 64, 1024, 1024
 _BATCH = 4096
 
 
 def _unit(column: pa.Array, dimension: int) -> np.ndarray:
-    raw = np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dimension)
+    data = b"".join(column.to_pylist())
+    kind = np.float32 if column and len(data) == 4 * dimension * len(column) else np.float64
+    raw = np.frombuffer(data, kind).reshape(-1, dimension).astype(np.float64)
     return raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))
 
 
+def _scaled(values: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two that bring their largest component near 1, so that no square over- or underflows."""
+    return np.ldexp(values, -np.frexp(np.abs(values).max(axis=1, keepdims=True))[1])
+
+
 class Grid:
-    """The codebooks of both halves, and how far beyond the nearest cell a search goes."""
+    """The codebooks of both halves, and how far a search goes."""
+
+    #: Rates at which the expected share of partners may fall off with a cell's distance.
+    RATES = (4.0, 8.0, 16.0, 32.0, 64.0, 128.0, 256.0)
 
     def __init__(self, vectors: np.ndarray, n_codes: int, threshold: float, recall: float, seed: int = 5):
         rng = np.random.default_rng(seed)
@@ -44,7 +57,20 @@ class Grid:
         aside -= (aside * vectors).sum(axis=1, keepdims=True) * vectors
         aside /= np.maximum(np.sqrt((aside * aside).sum(axis=1, keepdims=True)), 1e-12)
         home = self.home(self.distances(threshold * vectors + np.sqrt(1 - threshold * threshold) * aside))
-        self.reach = float(np.quantile(self.excess(self.distances(vectors), home), recall)) + 1e-9
+        distances = self.distances(vectors)
+        cost = self.excess(distances, home)
+        self.reach = float(cost.max(initial=0)) + 1e-9  # no search goes further than any of the sample had to
+        likely = [float(np.mean(-r * cost - self._log_total(distances, r))) for r in self.RATES]
+        self.rate = self.RATES[int(np.argmax(likely))]
+        # the share that the cells nearer than a partner's hold: at its recall quantile a search may stop
+        self.share = 1.0
+        vector, cell, costs, shares = self._ordered(distances)
+        at_home = np.flatnonzero(cell == home[vector])
+        if len(at_home):
+            self.share = float(np.quantile(shares[at_home], min(1.0, recall), method="higher"))
+
+    def _log_total(self, distances: tuple[np.ndarray, np.ndarray], rate: float) -> np.ndarray:
+        return sum(np.log(np.exp(-rate * x).sum(axis=1)) for x in distances)
 
     @staticmethod
     def _fit(half: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -73,15 +99,15 @@ class Grid:
         at = np.arange(len(cells))
         return distances[0][at, cells // len(self.codes[1])] + distances[1][at, cells % len(self.codes[1])]
 
-    def visits(self, distances: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(vector, cell) of every visit, nearest cells first.
+    def _ordered(self, distances: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+        """(vector, cell, cost, share of the cells before it) of the cells within reach, nearest first.
 
         Codewords of each half are walked in order of distance; the k-th of one half meets no more of the other than the
         one before it, so each vector's frontier only moves back.
         """
         first, second = (np.sort(x, axis=1) for x in distances)
         order = [np.argsort(x, axis=1, kind="stable") for x in distances]
-        vectors, cells, cost = [], [], []
+        vectors, cells, cost = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for k in range(first.shape[1]):
             open_ = np.flatnonzero(first[:, k] <= self.reach)
             if not len(open_):
@@ -93,12 +119,29 @@ class Grid:
             cells.append(order[0][v, k] * len(self.codes[1]) + order[1][v, step])
             cost.append(first[v, k] + second[v, step])
         vectors, cells, cost = (np.concatenate(x) for x in (vectors, cells, cost))
-        by_cost = np.lexsort((cost, vectors))
-        return vectors[by_cost], cells[by_cost]
+        by_cost = np.lexsort((cells, cost, vectors))
+        vectors, cells, cost = vectors[by_cost], cells[by_cost], cost[by_cost]
+        share = np.exp(-self.rate * cost - self._log_total(distances, self.rate)[vectors])
+        total = np.cumsum(share)
+        before = total - share
+        begins = np.searchsorted(vectors, vectors)
+        return vectors, cells, cost, before - before[begins]
+
+    def visits(self, distances: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(vector, cell) of every visit, nearest cells first, and of each vector how far its search goes.
+
+        A search goes on while the cells before hold less than the share that the target recall needs.
+        """
+        vectors, cells, cost, before = self._ordered(distances)
+        wanted = before <= self.share
+        vectors, cells, cost = vectors[wanted], cells[wanted], cost[wanted]
+        far = np.zeros(len(distances[0]))
+        np.maximum.at(far, vectors, cost)
+        return vectors, cells, far + 1e-12
 
 
 def _probes(reps: DataFrame, sent, dimension: int) -> DataFrame:
-    """(label, cell, home, rep, m, vec) for each visit of each vector."""
+    """(label, cell, home, far, rep, m, vec) for each visit of each vector, which goes so far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -107,14 +150,22 @@ def _probes(reps: DataFrame, sent, dimension: int) -> DataFrame:
                 grid: Grid = sent.value
                 distances = grid.distances(_unit(batch.column("vec"), dimension))
                 home = grid.home(distances)
-                vector, cell = grid.visits(distances)
-                own = np.flatnonzero(grid.excess(distances, home) > grid.reach)
-                vector, cell = np.concatenate((vector, own)), np.concatenate((cell, home[own]))
+                vector, cell, far = grid.visits(distances)
                 taken = batch.take(pa.array(vector))
-                yield pa.RecordBatch.from_arrays([taken.column("label"), pa.array(cell), pa.array(home[vector]), taken.column("rep"), taken.column("m"), taken.column("vec")], ["label", "cell", "home", "rep", "m", "vec"])
+                yield pa.RecordBatch.from_arrays([taken.column("label"), pa.array(cell), pa.array(home[vector]), pa.array(far[vector]), taken.column("rep"), taken.column("m"), taken.column("vec")], ["label", "cell", "home", "far", "rep", "m", "vec"])
 
     label = reps.schema["label"].dataType.simpleString()
-    return reps.select("label", "rep", "m", "vec").mapInArrow(run, f"label {label}, cell long, home long, rep long, m long, vec binary")
+    return reps.select("label", "rep", "m", "vec").mapInArrow(run, f"label {label}, cell long, home long, far double, rep long, m long, vec binary")
+
+
+def _dealt(visits: DataFrame, chunk: int) -> DataFrame:
+    """Visits with the pairs of parts (part, i, j) in which they meet: a cell's own vectors in parts before its visitors'."""
+    own = F.col("home") == F.col("cell")
+    sizes = visits.groupBy("label", "cell").agg(F.ceil(F.count_if(own) / F.lit(chunk)).cast("int").alias("own"), F.ceil(F.count_if(~own) / F.lit(chunk)).cast("int").alias("others"))
+    parts = visits.join(sizes.where("own > 0"), ["label", "cell"])
+    parts = parts.withColumn("part", F.when(own, F.pmod(F.xxhash64("rep"), F.col("own"))).otherwise(F.col("own") + F.pmod(F.xxhash64("rep"), F.greatest("others", F.lit(1)))).cast("int"))
+    parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(own, F.col("own") + F.col("others") - 1).otherwise(F.col("own") - 1))))
+    return parts.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("other", "own", "others")
 
 
 def _verify(dealt: DataFrame, sent, dimension: int, threshold: float) -> DataFrame:
@@ -123,26 +174,25 @@ def _verify(dealt: DataFrame, sent, dimension: int, threshold: float) -> DataFra
     def run(rows: pa.Table) -> pa.Table:
         grid: Grid = sent.value
         rows = rows.combine_chunks()
-        rep, home, m, chunk = (np.asarray(rows[c]) for c in ("rep", "home", "m", "chunk"))
+        rep, home, far, m, part = (np.asarray(rows[c]) for c in ("rep", "home", "far", "m", "part"))
         cell, i, j = rows["cell"][0].as_py(), rows["i"][0].as_py(), rows["j"][0].as_py()
         vectors = _unit(rows["vec"], dimension)
         distances = grid.distances(vectors)
         n, forest = np.zeros(len(rep), np.int64), Forest(len(rep))
-        left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+        left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
         for at in range(0, len(left), 256):
             a = left[at : at + 256]
             linked = vectors[a] @ vectors[right].T >= threshold
             if i == j:
                 linked &= a[:, None] < right[None, :]
-            linked &= (home[a] == cell)[:, None] | (home[right] == cell)[None, :]
             x, y = np.nonzero(linked)
             x, y = a[x], right[y]
-            # the one that isn't at home meets the other in its own cell too, if the other visits that
+            # a visitor meets the other in its own cell too, if the other goes that far
             guest = np.where(home[x] == cell, y, x)
             host = np.where(home[x] == cell, x, y)
             both = home[guest] != cell
             again = np.zeros(len(x), bool)
-            again[both] = grid.excess(tuple(d[host[both]] for d in distances), home[guest[both]]) <= grid.reach
+            again[both] = grid.excess(tuple(d[host[both]] for d in distances), home[guest[both]]) <= far[host[both]]
             counted = ~(again & (home[guest] < cell))
             np.add.at(n, x[counted], m[y[counted]])
             np.add.at(n, y[counted], m[x[counted]])
@@ -164,10 +214,11 @@ def near_duplicates(vectors: DataFrame, embedding: str = "embedding", label: str
     """
     spark = vectors.sparkSession
     arrow_bounds(spark)
-    wide = F.col(embedding).cast("array<double>")
+    given = vectors.schema[embedding].dataType.elementType.simpleString()
+    wide = F.col(embedding).cast("array<float>" if given == "float" else "array<double>")
     fine = F.col(key).isNotNull() & F.col(label).isNotNull() & (F.size(wide) > 0) & F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(wide, lambda x: x != 0)
     rows = vectors.select(F.col(key).cast("long").alias("key"), F.col(label).alias("label"), wide.alias("v"), F.coalesce(fine, F.lit(False)).alias("fine"))
-    scaled = F.transform("v", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))
+    scaled = F.transform("v", lambda x: F.when(x == 0, F.lit(0.0).cast(given if given == "float" else "double")).otherwise(x))
     valid = rows.where("fine").select("key", "label", scaled.alias("v"))
     valid = valid.withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64("v", F.lit(11)))
     valid = stored(valid)
@@ -196,9 +247,12 @@ def _lengths(reps: DataFrame) -> list[tuple[int, bool]]:
 
 
 def _search(reps: DataFrame, dimension: int, gridded: bool, threshold: float, recall: float, n_codes: int | None, chunk: int) -> DataFrame:
+    narrow = reps.schema["v"].dataType.elementType.simpleString() == "float"
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.asarray(batch.column("v").flatten(), np.float64).reshape(-1, dimension)
+            values = _scaled(np.asarray(batch.column("v").flatten(), np.float64).reshape(-1, dimension))
+            values = values.astype(np.float32) if narrow else values
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("label", "rep", "m")), pa.array([v.tobytes() for v in values], pa.binary())], ["label", "rep", "m", "vec"])
 
     label = reps.schema["label"].dataType.simpleString()
@@ -206,10 +260,6 @@ def _search(reps: DataFrame, dimension: int, gridded: bool, threshold: float, re
     total = reps.count()
     sample = packed.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("vec").toArrow()
     units = _unit(sample["vec"], dimension)
-    k = n_codes or max(4, min(MOST_CODES, int(np.ceil(total**0.25)))) if gridded and dimension > 1 else 1
-    sent = reps.sparkSession.sparkContext.broadcast(Grid(units, k, threshold, recall))
-    visits = _probes(packed, sent, dimension)
-    sizes = visits.groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("n_chunks"))
-    dealt = visits.join(sizes, ["label", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("n_chunks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1))).withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).drop("other", "n_chunks")
-    return _verify(dealt, sent, dimension, threshold)
+    k = n_codes or max(4, min(MOST_CODES, int(np.ceil((total / CELL) ** 0.5)))) if gridded and dimension > 1 else 1
+    sent = reps.sparkSession.sparkContext.broadcast(Grid(units, k, threshold, recall))  # at most 2 * MOST_CODES half vectors
+    return _verify(_dealt(_probes(packed, sent, dimension), chunk), sent, dimension, threshold)

@@ -77,6 +77,34 @@ def test_near_duplicates_against_brute_force(spark, chunk, codes):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_default_recall_near_the_threshold(spark):
+    """Partners planted just above and below 0.93, in clusters as embeddings have, found with the default settings."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 24))
+    base = centres[rng.integers(0, 40, 3000)] + 0.8 * rng.normal(size=(3000, 24))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    aside = rng.normal(size=base.shape)
+    aside -= (aside * base).sum(axis=1, keepdims=True) * base
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    cosine = rng.choice([0.9295, 0.9305, 0.935, 0.95], 3000)[:, None]
+    every = np.concatenate((base, cosine * base + np.sqrt(1 - cosine**2) * aside))
+    df = spark.createDataFrame([(i, [float(x) for x in v], 1) for i, v in enumerate(every)], "vec_id long, embedding array<double>, label int")
+    unit = every / np.linalg.norm(every, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.93) & ~np.eye(len(unit), dtype=bool)
+    found = np.zeros(len(unit), int)
+    for r in near_duplicates(df).select("vec_id", "n_links").collect():
+        found[r.vec_id] = r.n_links
+    assert (found <= links.sum(axis=1)).all() and found.sum() >= 0.97 * links.sum() > 4000
+
+
+def test_vectors_of_extreme_scale(spark):
+    rows = [(1, [1e-200] * 16, 1), (2, [1e200] * 16, 1), (3, [5e-324] * 16, 1), (4, [1.0] * 8 + [-1.0] * 8, 1), (5, [1e-160] * 8 + [-1e-160] * 8, 1), (6, [1e308] * 16, 1)]
+    found = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"))
+    assert {(r.vec_id, r.n_links, r.component_id) for r in found.collect()} == {(1, 3, 1), (2, 3, 1), (3, 3, 1), (6, 3, 1), (4, 1, 4), (5, 1, 4)}
+    tiny = spark.createDataFrame([(1, [1e-38] * 4, 1), (2, [1e-44] * 4, 1)], "vec_id long, embedding array<float>, label int")
+    assert {(r.vec_id, r.n_links) for r in near_duplicates(tiny).collect()} == {(1, 1), (2, 1)}
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(130)] + [(i, i + 1) for i in range(300, 340)] + [(7, 7)]

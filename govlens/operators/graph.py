@@ -70,8 +70,9 @@ def owners(paths: DataFrame, modules: DataFrame) -> DataFrame:
     """The deepest module that owns each path. Each path is joined by its own prefixes, so this is an equi-join."""
     parts = F.split("path", "/")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    met = paths.withColumn("module_path", F.explode(prefixes)).join(F.broadcast(modules), "module_path", "left")
-    return met.groupBy(*paths.columns).agg(F.max_by("module_path", F.when(F.col("module_name").isNotNull(), F.length("module_path"))).alias("owner"))
+    own = paths.select("path").distinct().withColumn("module_path", F.explode(prefixes)).join(modules.select("module_path").distinct(), "module_path")
+    deepest = own.groupBy("path").agg(F.max_by("module_path", F.length("module_path")).alias("owner"))
+    return paths.join(deepest, "path", "left").select(*paths.columns, "owner")
 
 
 def outermost(roots: DataFrame) -> DataFrame:

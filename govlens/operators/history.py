@@ -7,7 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-GENESIS = "0" * 64
+#: Fixed value: the link of a log's first entry.
+GENESIS = "GENESIS"
 
 
 def previous_reports(reports: DataFrame) -> DataFrame:
@@ -36,7 +37,7 @@ def within(rows: DataFrame, windows: DataFrame, at: str, lo: str, hi: str, on: l
 
 
 def entry_hash() -> F.Column:
-    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("sequence", "at", "target", "action", "outcome", "detail", "previous_hash")]
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("sequence", "at", "probe_id", "target", "action", "outcome", "detail", "previous_hash")]
     return F.upper(F.sha2(F.concat_ws("|", *fields), 256))
 
 
@@ -44,7 +45,7 @@ def chain(rows: DataFrame, log: str = "log_id") -> DataFrame:
     """Build each log's hash chain. A link needs the one before it, so each log is read in order, a batch at a time; only the last hash is carried on."""
     import pyarrow as pa
 
-    fields = ["sequence", "at", "target", "action", "outcome", "detail"]
+    fields = ["sequence", "at", "probe_id", "target", "action", "outcome", "detail"]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -62,7 +63,7 @@ def chain(rows: DataFrame, log: str = "log_id") -> DataFrame:
 
     wanted = rows.select(log, F.col("sequence").cast("long").alias("sequence"), *(F.col(c).cast("string").alias(c) for c in fields[1:]))
     kind = wanted.schema[log].dataType.simpleString()
-    return wanted.repartition(log).sortWithinPartitions(log, "sequence").mapInArrow(build, f"{log} {kind}, sequence long, at string, target string, action string, outcome string, detail string, previous_hash string, hash string")
+    return wanted.repartition(log).sortWithinPartitions(log, "sequence").mapInArrow(build, f"{log} {kind}, sequence long, at string, probe_id string, target string, action string, outcome string, detail string, previous_hash string, hash string")
 
 
 def verify_chain(entries: DataFrame, log: str = "log_id") -> DataFrame:

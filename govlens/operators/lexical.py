@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,16 +81,54 @@ def preceded(lines: DataFrame, group: str, order: str, kind: str, documented: st
     return lines.withColumn("before", before).where(F.col(kind) == documented).groupBy(group).agg(F.count(F.lit(1)).alias("declared"), F.count_if(F.col("before") == documents).alias("documented"))
 
 
+# Folders that are not analysed, in any case, and those of tests and examples.
+EXCLUDED = (
+    ".git", ".vs", ".idea", ".vscode", "bin", "obj", "node_modules", "dist", "build", "__pycache__", ".venv", "venv", "coverage", "testresults", "logs",
+    "packagecache", "generated", "thirdparty", "third-party", "vendor", ".nuget",
+)
+VENDORED = ("thirdparty", "third-party", "vendor")
+GENERATED_FILES = (".designer.cs", ".g.cs", ".generated.cs", ".assemblyinfo.cs")
+TESTS = ("test", "tests", "testdata", "test-data", "spec", "specs")
+EXAMPLES = ("example", "examples", "sample", "samples", "benchmark", "benchmarks")
+
+
+def path_parts(path: Column) -> Column:
+    """Lower-case parts of a path with either slash."""
+    return F.filter(F.split(F.lower(F.translate(path, "\\", "/")), "/"), lambda x: x != "")
+
+
 def exclusion_reason(path: Column) -> Column:
-    """Why a path is not analysed; null if it is."""
-    has = lambda *names: F.exists(F.split(path, "/"), lambda x: x.isin(*names))
-    return F.when(has("bin", "obj", "target", "dist"), "build cache").when(has("node_modules", "vendor", "packages"), "vendored").when(has("generated", "gen"), "generated").when(has("Library", "Temp"), "editor cache")
+    """Why a path is not analysed, by its first excluded folder or its name; null if it is analysed."""
+    parts = path_parts(path)
+    hit = F.get(F.filter(parts, lambda x: x.isin(*EXCLUDED)), F.lit(0))
+    example = F.arrays_overlap(parts, F.array(F.lit("textmesh pro"), F.lit("textmeshpro"))) & F.array_contains(parts, "examples & extras")
+    name = F.element_at(parts, -1)
+    generated = reduce(lambda a, b: a | b, (F.endswith(name, F.lit(x)) for x in GENERATED_FILES))
+    return (
+        F.when(path.isNull() | (F.trim(path) == ""), "InvalidPath").when(hit == "generated", "GeneratedCode").when(hit.isin(*VENDORED), "VendoredCode")
+        .when(hit.isNotNull(), "BuildOrDependencyCache").when(example, "VendoredExample").when(generated, "GeneratedFile")
+    )
+
+
+def with_exclusions(files: DataFrame, path: str = "path") -> DataFrame:
+    """files with reason, also for the caches of game projects: Library and Temp beside Assets and ProjectSettings or Packages."""
+    parts = path_parts(F.col(path))
+    at = F.transform(parts, lambda x, i: F.struct(x.alias("name"), F.array_join(F.slice(parts, 1, i), "/").alias("parent")))
+    seen = files.select(F.explode(at).alias("x")).select("x.*").where(F.col("name").isin("assets", "projectsettings", "packages"))
+    marks = seen.groupBy("parent").agg(F.collect_set("name").alias("names"))
+    roots = marks.where(F.array_contains("names", "assets") & (F.size("names") > 1)).select("parent")
+    caches = files.select(F.col(path).alias("p"), F.explode(F.filter(at, lambda x: x["name"].isin("library", "temp"))).alias("x")).join(roots, F.col("x.parent") == F.col("parent")).select("p").distinct()
+    return files.join(caches, F.col(path) == F.col("p"), "left").withColumn("reason", F.coalesce(exclusion_reason(F.col(path)), F.when(F.col("p").isNotNull(), "UnityGeneratedCache"))).drop("p")
 
 
 def ownership(path: Column) -> Column:
-    reason = exclusion_reason(path)
-    has = lambda *names: F.exists(F.split(path, "/"), lambda x: x.isin(*names))
-    return F.when(reason == "generated", "Generated").when(reason.isNotNull(), "Vendored").when(has("test", "tests"), "Test").when(has("docs", "examples"), "Example").otherwise("FirstParty")
+    """Whose a file is, as far as its path tells."""
+    reason, parts = exclusion_reason(path), path_parts(path)
+    has = lambda names: F.arrays_overlap(parts, F.array(*map(F.lit, names)))
+    return (
+        F.when(reason.isin("GeneratedCode", "GeneratedFile"), "Generated").when(reason.isin("VendoredCode", "VendoredExample"), "Vendored")
+        .when(reason == "BuildOrDependencyCache", "DependencyOrBuildCache").when(has(TESTS), "Test").when(has(EXAMPLES), "Example").otherwise("FirstParty")
+    )
 
 
 def unpinned(version: Column) -> Column:

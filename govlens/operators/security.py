@@ -42,7 +42,7 @@ def tls_findings(signals: DataFrame, now: str) -> DataFrame:
         signals,
         [
             ("broken protocol", F.col("protocol").isin("Ssl2", "Ssl3"), 4), ("old protocol", F.col("protocol").isin("Tls", "Tls10", "Tls11"), 3), ("weak cipher", weak, 4), ("no certificate", left.isNull(), 3),
-            ("expired", left < at, 4), ("expires soon", (left >= at) & (left <= at + F.expr("INTERVAL 30 DAYS")), 2), ("short key", F.col("key_bits") < 2048, 3), ("probe error", F.col("error").isNotNull(), 1),
+            ("expired", left <= at, 4), ("expires soon", (left > at) & (left <= at + F.expr("INTERVAL 30 DAYS")), 2), ("short key", F.col("key_bits") < 2048, 3), ("probe error", F.col("error").isNotNull(), 1),
         ],
         ["host"],
     )

@@ -152,15 +152,15 @@ def legacy_compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("rule_id").agg(n.alias("n_rows"), scores.half_even(impact).alias("impact"), scores.half_even(F.greatest(F.lit(0.0), 1.0 - impact / F.greatest(F.lit(1), n)), 3).alias("compliance"))
 
 
-@query(f"""{_EVALS}, now AS (SELECT DISTINCT rule_id, category, CASE WHEN file % 5 = 0 THEN NULL ELSE upper(domain[1:1]) END AS d, file, file % 10 AS target FROM findings WHERE domain[3:3] = 'O'),
-was AS (SELECT DISTINCT rule_id, category, CASE WHEN file % 5 = 0 THEN NULL ELSE lower(domain[1:1]) END AS d, CASE WHEN file % 3 > 0 THEN file END AS file, file % 10 AS target FROM findings WHERE domain[3:3] = 'F' AND project % 4 = 0)
+@query(f"""{_EVALS}, now AS (SELECT DISTINCT rule_id, category, CASE WHEN file % 5 = 0 THEN NULL ELSE upper(domain[1:1]) END AS d, file, project || '/' || file AS target FROM findings WHERE domain[3:3] = 'O'),
+was AS (SELECT DISTINCT rule_id, category, CASE WHEN file % 5 = 0 THEN NULL ELSE lower(domain[1:1]) END AS d, CASE WHEN file % 3 > 0 THEN file END AS file, project || '/' || file AS target FROM findings WHERE domain[3:3] = 'F')
 SELECT rule_id, category, d AS domain, file AS source_path, target FROM now n WHERE NOT EXISTS (SELECT 1 FROM was w WHERE w.file IS NOT NULL AND w.rule_id = n.rule_id AND w.category = n.category AND lower(w.d) IS NOT DISTINCT FROM lower(n.d) AND w.file = n.file)
-AND NOT EXISTS (SELECT 1 FROM was w WHERE w.file IS NULL AND w.rule_id = n.rule_id AND w.category = n.category AND lower(w.d) IS NOT DISTINCT FROM lower(n.d) AND w.target = n.target AND n.target < 8)""".replace(" AND n.target < 8", ""))
+AND NOT EXISTS (SELECT 1 FROM was w WHERE w.file IS NULL AND w.rule_id = n.rule_id AND w.category = n.category AND lower(w.d) IS NOT DISTINCT FROM lower(n.d) AND w.target = n.target)""")
 def new_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _findings(spark, sf_dir)
     label = lambda f: F.when(F.col("file") % 5 != 0, f(F.substring("domain", 1, 1)))
-    now = found.where(F.substring("domain", 3, 1) == "O").select("rule_id", "category", label(F.upper).alias("domain"), F.col("file").alias("source_path"), (F.col("file") % 10).alias("target")).distinct()
-    was = found.where(F.substring("domain", 3, 1) == "F").select("rule_id", "category", label(F.lower).alias("domain"), F.when(F.col("file") % 3 > 0, F.col("file")).alias("source_path"), (F.col("file") % 10).alias("target")).distinct()
+    now = found.where(F.substring("domain", 3, 1) == "O").select("rule_id", "category", label(F.upper).alias("domain"), F.col("file").alias("source_path"), F.concat_ws("/", "project", "file").alias("target")).distinct()
+    was = found.where(F.substring("domain", 3, 1) == "F").select("rule_id", "category", label(F.lower).alias("domain"), F.when(F.col("file") % 3 > 0, F.col("file")).alias("source_path"), F.concat_ws("/", "project", "file").alias("target")).distinct()
     return history.new_findings(now, was)
 
 

@@ -15,7 +15,6 @@ _R2 = "round_even(({0}) * 100, 0) / 100"
 _EDGES = """edges AS (SELECT c_nationkey AS source, a.r_name AS source_layer, s_nationkey AS target, b.r_name AS target_layer, count(*) AS observed
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
  JOIN nation na ON na.n_nationkey = c_nationkey JOIN region a ON a.r_regionkey = na.n_regionkey JOIN nation nb ON nb.n_nationkey = s_nationkey JOIN region b ON b.r_regionkey = nb.n_regionkey GROUP BY ALL)"""
-_SPARSE = "sparse AS (SELECT * FROM edges WHERE (source * 7 + target * 3) % 11 = 0)"
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,42 +41,45 @@ def layer_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("source_layer").agg(F.count(F.lit(1)).alias("total"), ok.alias("allowed"), half_even(100.0 * ok / F.count(F.lit(1))).alias("isolation"))
 
 
-@query(f"""WITH {_EDGES}, {_SPARSE}, d AS (SELECT count(*) AS n_edges FROM (SELECT DISTINCT source, target FROM sparse WHERE source <> target)), n AS (SELECT count(*) AS n_nodes FROM (SELECT source FROM sparse UNION SELECT target FROM sparse))
+@query(f"""WITH {_EDGES}, d AS (SELECT count(*) AS n_edges FROM (SELECT DISTINCT source, target FROM edges WHERE source <> target)), n AS (SELECT count(*) AS n_nodes FROM (SELECT source FROM edges UNION SELECT target FROM edges))
 SELECT n_edges, n_nodes, CASE WHEN n_nodes > 1 THEN round_even(n_edges / (n_nodes * (n_nodes - 1)) * 10000, 0) / 10000 ELSE 0.0::DOUBLE END AS density FROM d, n""")
 def graph_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.density(tables.edges(spark, sf_dir))
 
 
-@query(f"WITH {_EDGES}, {_SPARSE} SELECT source_layer, count(DISTINCT target_layer) AS targets, count(DISTINCT (source, target)) AS relations FROM sparse WHERE source_layer <> target_layer GROUP BY 1 HAVING count(DISTINCT target_layer) > 3")
+@query(f"WITH {_EDGES} SELECT source_layer, count(DISTINCT target_layer) AS targets, count(DISTINCT (source, target)) AS relations FROM edges WHERE source_layer <> target_layer GROUP BY 1 HAVING count(DISTINCT target_layer) > 3")
 def layer_fanout_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.fan_out(tables.edges(spark, sf_dir), 3)
 
 
-@query(f"""WITH {_EDGES}, {_SPARSE}, o AS (SELECT source AS node, count(DISTINCT target) AS out_degree, sum(observed) AS out_observed FROM sparse GROUP BY 1), i AS (SELECT target AS node, count(DISTINCT source) AS in_degree, sum(observed) AS in_observed FROM sparse GROUP BY 1)
+@query(f"""WITH {_EDGES}, o AS (SELECT source AS node, count(DISTINCT target) AS out_degree, sum(observed) AS out_observed FROM edges GROUP BY 1), i AS (SELECT target AS node, count(DISTINCT source) AS in_degree, sum(observed) AS in_observed FROM edges GROUP BY 1)
 SELECT node, coalesce(out_degree, 0) AS out_degree, CAST(coalesce(out_observed, 0) AS BIGINT) AS out_observed, coalesce(in_degree, 0) AS in_degree, CAST(coalesce(in_observed, 0) AS BIGINT) AS in_observed FROM o FULL JOIN i USING (node)""")
 def graph_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degrees(tables.edges(spark, sf_dir))
 
 
-@query(f"""WITH {_EDGES}, {_SPARSE}, e AS (SELECT DISTINCT source::BIGINT AS s, target::BIGINT AS t FROM sparse)
+@query(f"""WITH {_EDGES}, e AS (SELECT DISTINCT source::BIGINT AS s, target::BIGINT AS t FROM edges)
 SELECT s AS a, NULL::BIGINT AS b, NULL::BIGINT AS c FROM e WHERE s = t UNION ALL SELECT x.s, x.t, NULL FROM e x JOIN e y ON x.t = y.s AND y.t = x.s WHERE x.s < x.t
 UNION ALL SELECT x.s, x.t, y.t FROM e x JOIN e y ON x.t = y.s JOIN e z ON y.t = z.s AND z.t = x.s WHERE x.s < x.t AND x.s < y.t AND x.t <> y.t""")
 def graph_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.short_cycles(tables.edges(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, {_SPARSE}, walk(node, depth) AS (SELECT 0, 0 UNION SELECT target, depth + 1 FROM walk JOIN sparse ON source = node WHERE depth < 4) SELECT node, min(depth) AS depth FROM walk GROUP BY 1""")
+@query(f"""WITH RECURSIVE {_EDGES}, walk(node, depth) AS (SELECT 0, 0 UNION SELECT target, depth + 1 FROM walk JOIN edges ON source = node WHERE depth < 4) SELECT node, min(depth) AS depth FROM walk GROUP BY 1""")
 def reachable_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables.edges(spark, sf_dir).select("source", "target").distinct().createOrReplaceTempView("govlens_edges")
-    return spark.sql("WITH RECURSIVE walk(node, depth) AS (SELECT 0, 0 UNION ALL SELECT DISTINCT target, depth + 1 FROM walk JOIN govlens_edges ON source = node WHERE depth < 4) SELECT node, min(depth) AS depth FROM walk GROUP BY 1")
+    edges = tables.edges(spark, sf_dir).select("source", "target").distinct()
+    walk = """WITH RECURSIVE walk(node, depth) AS
+ (SELECT 0, 0 UNION ALL SELECT DISTINCT target, depth + 1 FROM walk JOIN {edges} ON source = node WHERE depth < 4)
+SELECT node, min(depth) AS depth FROM walk GROUP BY 1"""
+    return spark.sql(walk, edges=edges)
 
 
-@query(f"WITH {_EDGES}, {_SPARSE} SELECT source, source_layer, target, target_layer, observed FROM sparse WHERE source = 3 OR target = 3")
+@query(f"WITH {_EDGES} SELECT source, source_layer, target, target_layer, observed FROM edges WHERE source = 3 OR target = 3")
 def edge_ego_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.ego_network(tables.edges(spark, sf_dir), 3).select("source", "source_layer", "target", "target_layer", "observed")
 
 
-@query(f"""WITH {_EDGES}, {_SPARSE}, l AS (SELECT source, array_to_string(list_sort(list(DISTINCT target_layer)), ' · ') AS layers FROM sparse GROUP BY 1) SELECT source, layers, row_number() OVER (ORDER BY CASE WHEN layers = '' THEN 1 ELSE 0 END, lower(layers), source) AS position FROM l""")
+@query(f"""WITH {_EDGES}, l AS (SELECT source, array_to_string(list_sort(list(DISTINCT target_layer)), ' · ') AS layers FROM edges GROUP BY 1) SELECT source, layers, row_number() OVER (ORDER BY CASE WHEN layers = '' THEN 1 ELSE 0 END, lower(layers), source) AS position FROM l""")
 def component_layer_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.layer_labels(tables.edges(spark, sf_dir))
 
@@ -98,8 +100,14 @@ def nested_root_pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.outermost(catalog.dimension(spark, _MODULES, "module_path string, module_name string").where("module_path <> 'repo'"))
 
 
-@query(f"""WITH p AS (SELECT string_split({_PATH}, '/') AS parts FROM documents), r AS (SELECT CASE WHEN list_has_any(parts, ['bin', 'obj', 'target', 'dist']) THEN 'build cache' WHEN list_has_any(parts, ['node_modules', 'vendor', 'packages']) THEN 'vendored' WHEN list_has_any(parts, ['generated', 'gen']) THEN 'generated' WHEN list_has_any(parts, ['Library', 'Temp']) THEN 'editor cache' END AS reason, parts FROM p)
-SELECT reason, CASE WHEN reason = 'generated' THEN 'Generated' WHEN reason IS NOT NULL THEN 'Vendored' WHEN list_has_any(parts, ['test', 'tests']) THEN 'Test' WHEN list_has_any(parts, ['docs', 'examples']) THEN 'Example' ELSE 'FirstParty' END AS ownership, count(*) AS n FROM r GROUP BY 1, 2""")
+_OF_PATH = f"""p AS (SELECT list_filter(string_split(lower(replace({_PATH}, chr(92), '/')), '/'), lambda x: x <> '') AS parts FROM documents),
+r AS (SELECT parts, list_filter(parts, lambda x: list_contains({list(lexical.EXCLUDED)}, x))[1] AS hit FROM p),
+q AS (SELECT parts, CASE WHEN hit = 'generated' THEN 'GeneratedCode' WHEN hit IN ('thirdparty', 'third-party', 'vendor') THEN 'VendoredCode' WHEN hit IS NOT NULL THEN 'BuildOrDependencyCache' END AS reason FROM r)"""
+
+
+@query(f"""WITH {_OF_PATH}
+SELECT reason, CASE reason WHEN 'GeneratedCode' THEN 'Generated' WHEN 'VendoredCode' THEN 'Vendored' WHEN 'BuildOrDependencyCache' THEN 'DependencyOrBuildCache'
+ ELSE CASE WHEN list_has_any(parts, {list(lexical.TESTS)}) THEN 'Test' WHEN list_has_any(parts, {list(lexical.EXAMPLES)}) THEN 'Example' ELSE 'FirstParty' END END AS ownership, count(*) AS n FROM q GROUP BY 1, 2""")
 def exclusion_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.col("path")
     return tables.files(spark, sf_dir).groupBy(lexical.exclusion_reason(path).alias("reason"), lexical.ownership(path).alias("ownership")).agg(F.count(F.lit(1)).alias("n"))
@@ -173,7 +181,7 @@ _TLS = "SELECT s_suppkey AS host, (['Ssl3', 'Tls', 'Tls12', 'Tls13'])[s_suppkey
 
 
 @query(f"""WITH t AS ({_TLS}) SELECT host, unnest(list_filter([CASE WHEN protocol IN ('Ssl2', 'Ssl3') THEN struct_pack(finding := 'broken protocol', ordinal := 4) END, CASE WHEN protocol IN ('Tls', 'Tls10', 'Tls11') THEN struct_pack(finding := 'old protocol', ordinal := 3) END, CASE WHEN regexp_matches(upper(cipher), 'NULL|EXPORT|RC4|MD5|DES') THEN struct_pack(finding := 'weak cipher', ordinal := 4) END,
- CASE WHEN expires IS NULL THEN struct_pack(finding := 'no certificate', ordinal := 3) END, CASE WHEN expires < TIMESTAMP '2024-01-01' THEN struct_pack(finding := 'expired', ordinal := 4) END, CASE WHEN expires >= TIMESTAMP '2024-01-01' AND expires <= TIMESTAMP '2024-01-31' THEN struct_pack(finding := 'expires soon', ordinal := 2) END,
+ CASE WHEN expires IS NULL THEN struct_pack(finding := 'no certificate', ordinal := 3) END, CASE WHEN expires <= TIMESTAMP '2024-01-01' THEN struct_pack(finding := 'expired', ordinal := 4) END, CASE WHEN expires > TIMESTAMP '2024-01-01' AND expires <= TIMESTAMP '2024-01-31' THEN struct_pack(finding := 'expires soon', ordinal := 2) END,
  CASE WHEN key_bits < 2048 THEN struct_pack(finding := 'short key', ordinal := 3) END, CASE WHEN error IS NOT NULL THEN struct_pack(finding := 'probe error', ordinal := 1) END], lambda x: x IS NOT NULL), recursive := true) FROM t""")
 def tls_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
@@ -265,12 +273,21 @@ def manifest_unpinned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.groupBy("event_type").agg(F.count(F.lit(1)).alias("declared"), F.count_if(lexical.unpinned(F.col("version"))).alias("unpinned"))
 
 
+_EDITED, _REMOVED = 13, 17
 
 
-@query("SELECT user_id AS log_id, count(*) AS entries, 0::BIGINT AS broken_links, 0::BIGINT AS changed, true AS intact FROM events GROUP BY 1")
+@query(f"""WITH e AS (SELECT user_id, event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events), c AS (SELECT *, lag(k) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM e)
+SELECT user_id AS log_id, count(*) AS entries, count(*) FILTER (before = {_REMOVED}) AS broken_links, count(*) FILTER (k = {_EDITED}) AS changed, count(*) FILTER (before = {_REMOVED} OR k = {_EDITED}) = 0 AS intact
+FROM c WHERE k IS DISTINCT FROM {_REMOVED} GROUP BY 1""")
 def audit_hash_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tables.signals(spark, sf_dir).select(F.col("user_id").alias("log_id"), F.col("event_id").alias("sequence"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), F.col("category").alias("target"), F.lit("probe").alias("action"), F.lit("ok").alias("outcome"), F.when(F.col("k") % 2 == 0, F.col("props")).alias("detail"))
-    return history.verify_chain(history.chain(rows))
+    """Stored logs of which entries with one number were edited after hashing and those with another removed."""
+    rows = tables.signals(spark, sf_dir).select(
+        F.col("user_id").alias("log_id"), F.col("event_id").alias("sequence"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), F.col("k").cast("string").alias("probe_id"),
+        F.col("category").alias("target"), F.lit("probe").alias("action"), F.lit("ok").alias("outcome"), F.when(F.col("k") % 2 == 0, F.col("props")).alias("detail"),
+    )
+    kept = history.chain(rows).where(~F.col("probe_id").eqNullSafe(str(_REMOVED)))
+    edited = kept.withColumn("outcome", F.when(F.col("probe_id") == str(_EDITED), F.lit("edited")).otherwise(F.col("outcome")))
+    return history.verify_chain(edited)
 
 
 @query("""WITH w AS (SELECT user_id, min(ts) + INTERVAL 1 DAY AS lo, max(ts) - INTERVAL 1 DAY AS hi FROM events GROUP BY 1) SELECT e.user_id, count(*) AS n, min(event_id) AS first_event, max(event_id) AS last_event FROM events e JOIN w USING (user_id) WHERE ts BETWEEN lo AND hi GROUP BY 1""")

@@ -52,13 +52,13 @@ def requirement_lines(files: DataFrame) -> DataFrame:
 
 
 def config_diagnostics(files: DataFrame) -> DataFrame:
-    """(path, format, valid) of JSON, XML (balanced tags), properties and ini files; null where the format isn't checked here."""
+    """(path, format, valid) of JSON, XML (well-formed), properties and ini files; null where the format isn't checked here."""
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     lines = F.filter(F.split("text", "\r?\n"), lambda x: (F.trim(x) != "") & ~F.trim(x).rlike("^[#;!]"))
     pair = F.forall(lines, lambda x: x.rlike(r"^\s*[^=:\s]+\s*[=:]"))
     ini = F.forall(lines, lambda x: x.rlike(r"^\s*(\[[^\]]+\]|[^=:\s][^=:]*[=:])"))
-    opened, closed = F.regexp_count("text", F.lit(r"<[A-Za-z][^<>]*[^<>/]>|<[A-Za-z]>")), F.regexp_count("text", F.lit(r"</[A-Za-z][^<>]*>"))
-    xml = F.col("text").rlike(r"(?s)^\s*<.*>\s*$") & (opened == closed)
+    parsed = F.from_xml("text", "_corrupt_record string", {"mode": "PERMISSIVE"})  # the text itself where it isn't well-formed
+    xml = parsed["_corrupt_record"].isNull() & (F.trim("text") != "")
     valid = F.when(ext == "json", F.try_parse_json("text").isNotNull()).when(ext == "properties", pair).when(ext.isin("ini", "cfg", "conf"), ini).when(ext.isin("xml", "config", "csproj"), xml)
     return files.select("path", ext.alias("format"), valid.alias("valid"))
 

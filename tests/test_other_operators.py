@@ -17,7 +17,7 @@ def test_new_findings(spark):
 
 
 def test_hash_chain(spark):
-    rows = spark.createDataFrame([(1, i, "t", "x", "a", "ok", None if i % 2 else "d") for i in range(5)] + [(2, 0, "t", "x", "a", "ok", None)], "log_id long, sequence long, at string, target string, action string, outcome string, detail string")
+    rows = spark.createDataFrame([(1, i, "t", "p", "x", "a", "ok", None if i % 2 else "d") for i in range(5)] + [(2, 0, "t", "p", "x", "a", "ok", None)], "log_id long, sequence long, at string, probe_id string, target string, action string, outcome string, detail string")
     stored = history.chain(rows)
     assert {r.log_id: r.intact for r in history.verify_chain(stored).collect()} == {1: True, 2: True}
     changed = stored.withColumn("outcome", F.when(F.col("sequence") == 3, "no").otherwise(F.col("outcome")))
@@ -27,7 +27,7 @@ def test_hash_chain(spark):
 
 
 def test_long_chain_is_built_batch_by_batch(spark):
-    rows = spark.range(2500).select(F.when(F.col("id") % 5 > 0, F.lit(1)).otherwise(F.col("id") % 3 + 2).alias("log_id"), F.col("id").alias("sequence"), *(F.lit("x").alias(c) for c in ("at", "target", "action", "outcome")), F.lit(None).cast("string").alias("detail"))
+    rows = spark.range(2500).select(F.when(F.col("id") % 5 > 0, F.lit(1)).otherwise(F.col("id") % 3 + 2).alias("log_id"), F.col("id").alias("sequence"), *(F.lit("x").alias(c) for c in ("at", "probe_id", "target", "action", "outcome")), F.lit(None).cast("string").alias("detail"))
     size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
     try:
@@ -83,11 +83,25 @@ def test_security(spark):
     assert [r.finding for r in security.governance_findings(security.governance_rollup(none)).collect()] == ["low average or no data"]
 
 
+def test_config_diagnostics_read_xml(spark):
+    rows = [("a.xml", "<a></b>"), ("b.xml", '<a><b x="1"/></a>'), ("c.config", "<a>"), ("d.csproj", ""), ("e.json", "{"), ("f.ini", "[s]\nk=v"), ("g.xml", None), ("h.yaml", "a: 1")]
+    found = {r.path: r.valid for r in files.config_diagnostics(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert found == {"a.xml": False, "b.xml": True, "c.config": False, "d.csproj": False, "e.json": False, "f.ini": True, "g.xml": None, "h.yaml": None}
+
+
+def test_owners_keep_equal_rows(spark):
+    modules = spark.createDataFrame([("src", "a")], "module_path string, module_name string")
+    paths = spark.createDataFrame([("src/x", 1), ("src/x", 1), (None, 2)], "path string, n int")
+    assert sorted((str(r.path), r.n, str(r.owner)) for r in graph.owners(paths, modules).collect()) == [("None", 2, "None"), ("src/x", 1, "src"), ("src/x", 1, "src")]
+
+
 def test_lexical(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     assert one(lexical.line_count(F.lit("a\nb\n"))) == 3 and one(lexical.count_of(F.lit("if x for if"), "if|for")) == 3
-    assert [one(lexical.exclusion_reason(F.lit(p))) for p in ("a/obj/b", "node_modules/x", "a/objects/b", "gen/x")] == ["build cache", "vendored", None, "generated"]
-    assert [one(lexical.ownership(F.lit(p))) for p in ("gen/x", "vendor/x", "tests/x", "docs/x", "src/x")] == ["Generated", "Vendored", "Test", "Example", "FirstParty"]
+    assert [one(lexical.exclusion_reason(F.lit(p))) for p in ("a/OBJ/b", "node_modules/x", "a\\vendor\\b", "a/objects/b", "Generated/x", "a/b.Designer.cs", " ")] == ["BuildOrDependencyCache", "BuildOrDependencyCache", "VendoredCode", None, "GeneratedCode", "GeneratedFile", "InvalidPath"]
+    assert [one(lexical.ownership(F.lit(p))) for p in ("generated/x", "vendor/x", "bin/x", "a/Tests/x", "samples/x", "docs/x")] == ["Generated", "Vendored", "DependencyOrBuildCache", "Test", "Example", "FirstParty"]
+    games = spark.createDataFrame([("g/Assets/a.cs",), ("g/Packages/m.json",), ("g/Library/x.cs",), ("g/Temp/y.cs",), ("app/Library/z.cs",)], "path string")
+    assert {r.path: r.reason for r in lexical.with_exclusions(games).collect()} == {"g/Assets/a.cs": None, "g/Packages/m.json": None, "g/Library/x.cs": "UnityGeneratedCache", "g/Temp/y.cs": "UnityGeneratedCache", "app/Library/z.cs": None}
     assert [one(lexical.unpinned(F.lit(v))) for v in ("1.2.3", "^1.2", "latest", "", "1.x", "git:a", "gita")] == [False, True, True, True, True, True, False]
     rows = spark.createDataFrame([(1, "Alpha", ["z"]), (2, None, ["has ALPHA"]), (3, "b", None)], "id int, name string, evidence array<string>")
     assert sorted(r.id for r in lexical.search(rows, "alpha", ["name"], ["evidence"]).collect()) == [1, 2]
@@ -102,7 +116,7 @@ def test_file_sources(spark, tmp_path):
     (tmp_path / "src/p.csproj").write_text('<Project><ItemGroup><PackageReference Include="P" Version="1.0"/><PackageReference Include="Q" Version="2.0"/></ItemGroup></Project>')
     (tmp_path / "src/a.ini").write_text("[s]\nk = v\n; c\n")
     found = files.scan_files(spark, str(tmp_path), [".json", ".txt", ".csproj", ".ini"]).cache()
-    assert found.count() == 6 and found.where("reason = 'build cache' and text is null").count() == 1
+    assert found.count() == 6 and found.where("reason = 'BuildOrDependencyCache' and text is null").count() == 1
     name = F.element_at(F.split("path", "/"), -1)
     deps = files.json_dependencies(found.where(name.isin("package.json", "bad.json"))).collect()
     assert {(d.section, d.name, d.version) for d in deps if not d.error} == {("dependencies", "a", "^1.0"), ("dependencies", "b", "2.0.0"), ("devDependencies", "c", "latest")} and sum(d.error is not None for d in deps) == 1

@@ -3,7 +3,8 @@
 Of every sliding window of words the minimum k-gram hash is its fingerprint, for documents and items alike, so each shared
 window has a shared fingerprint. Fingerprints are joined; a hit is extended to its whole window, which is then compared by a
 hash of all its words, and neighbouring hits run together. Documents stay where they are while the items' fingerprints are
-few (their number is checked); beyond that the two sides are joined by a shuffle.
+few (their bytes are checked); beyond that the two sides are joined by a shuffle: selected fingerprints first, and only windows
+at those that both sides hold are compared.
 """
 
 from __future__ import annotations
@@ -13,14 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from govlens.llm.common import arrow_bounds, by_bytes, mix, powers, spans_hash, utf8
+from govlens.llm.common import arrow_bounds, by_bytes, mix, powers, spans_hash, stored, utf8
 
 WINDOW, GRAM = 10, 5
-#: Item windows up to this number are sent to every task (24 bytes each); more are joined by a shuffle.
-MAX_SENT = 2_000_000
+#: Up to so many bytes of item windows (two hashes and an item's number each) and of item names (with what Python adds to
+#: each) are sent to every task; more are joined by a shuffle.
+MAX_SENT, WINDOW_BYTES, NAME_BYTES = 48 << 20, 24, 72
 
 _byte = np.arange(256)
 _LOWER = np.where((_byte >= 65) & (_byte <= 90), _byte + 32, _byte)
@@ -106,9 +109,9 @@ class _Index:
 
     BITS = 22
 
-    def __init__(self, length: int, fingerprint: np.ndarray, window_hash: np.ndarray, items: list):
+    def __init__(self, length: int, fingerprint: np.ndarray, window_hash: np.ndarray, items: np.ndarray):
         order = np.argsort(window_hash, kind="stable")
-        self.length, self.hashes, self.items = length, window_hash[order], [items[i] for i in order]
+        self.length, self.hashes, self.items = length, window_hash[order], items[order]
         self.known = np.unique(fingerprint)
         self.bitmap = np.zeros(1 << self.BITS, bool)
         self.bitmap[self.known & np.uint64((1 << self.BITS) - 1)] = True
@@ -149,35 +152,36 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", key: st
     side leaves every document clean. Other columns are not read, so their names are free.
     """
     arrow_bounds(docs.sparkSession)
-    prints = fingerprints(items, item_text, item_key).persist()
-    few = prints.limit(max_sent + 1).count() <= max_sent
-    out = _by_sent_index(docs, prints, text, key) if few else _by_shuffle(docs, prints, text, key)
-    prints.unpersist()
-    return out
+    prints = stored(fingerprints(items, item_text, item_key))
+    names = prints.select(F.col("item").cast("string").alias("item")).distinct().agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("item")), F.lit(0))).first()
+    few = WINDOW_BYTES * prints.count() + NAME_BYTES * names[0] + names[1] <= max_sent
+    return _by_sent_index(docs, prints, text, key) if few else _by_shuffle(docs, prints, text, key)
 
 
 def _by_sent_index(docs: DataFrame, prints: DataFrame, text: str, key: str) -> DataFrame:
-    rows = prints.toArrow()  # at most max_sent rows
+    rows = prints.select(F.col("item").cast("string").alias("item"), "length", "fingerprint", "window_hash").toArrow()  # at most max_sent bytes
     lengths = np.asarray(rows["length"].combine_chunks())
     fingerprint, whole = (np.asarray(rows[c].combine_chunks()).view(np.uint64) for c in ("fingerprint", "window_hash"))
-    names = [str(x) for x in rows["item"].to_pylist()]
-    indexes = [_Index(int(n), fingerprint[at], whole[at], [names[i] for i in at]) for n in np.unique(lengths) for at in [np.flatnonzero(lengths == n)]]
-    sent = docs.sparkSession.sparkContext.broadcast(indexes)
+    coded = pc.dictionary_encode(rows["item"].combine_chunks().fill_null("None"))
+    names, number = coded.dictionary.to_pylist(), np.asarray(coded.indices)
+    indexes = [_Index(int(n), fingerprint[at], whole[at], number[at]) for n in np.unique(lengths) for at in [np.flatnonzero(lengths == n)]]
+    sent = docs.sparkSession.sparkContext.broadcast((names, indexes))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing = _digest([])
+        names, indexes = sent.value
         for batch in by_bytes(batches, "text"):
             word_hash, first = words(*utf8(batch.column("text")))
             cover = np.zeros(len(word_hash) + 1, np.int32)
-            found: dict[int, set[str]] = {}
-            for index in sent.value:
+            found: dict[int, set[int]] = {}
+            for index in indexes:
                 for start, lo, hi in _hits(index, word_hash, first):
                     cover[start] += 1
                     cover[start + index.length] -= 1
-                    found.setdefault(int(np.searchsorted(first, start, side="right")) - 1, set()).update(index.items[lo:hi])
+                    found.setdefault(int(np.searchsorted(first, start, side="right")) - 1, set()).update(index.items[lo:hi].tolist())
             hit = np.concatenate(([0], np.cumsum(np.cumsum(cover[:-1]) > 0)))
             n_hit = hit[first[1:]] - hit[first[:-1]]
-            lists = [sorted(found.get(i, ())) for i in range(batch.num_rows)]
+            lists = [sorted(names[k] for k in found.get(i, ())) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), pa.array(np.diff(first)), pa.array(n_hit.astype(np.int64)), pa.array([len(x) for x in lists], pa.int64()), pa.array([_digest(x) if x else nothing for x in lists]), pa.array(n_hit > 0), pa.array(lists, pa.list_(pa.string()))],
                 ["key", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"],
@@ -192,17 +196,38 @@ def _by_shuffle(docs: DataFrame, prints: DataFrame, text: str, key: str) -> Data
     """The same with both sides' fingerprints joined by a shuffle, for a benchmark of any size."""
     lengths = [r[0] for r in prints.select("length").distinct().collect()]  # 1 to WINDOW
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def values(word_hash: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, fingerprint, hash) of each window of n words that lies in one text."""
+        whole = grams(word_hash, n)
+        print_ = window_minima(grams(word_hash, GRAM), WINDOW - GRAM + 1) if n == WINDOW else whole
+        at = np.flatnonzero(_whole(first, len(whole), n))
+        return at, print_[at], whole[at]
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
             word_hash, first = words(*utf8(batch.column("text")))
             for n in lengths:
-                whole = grams(word_hash, n)
-                value = window_minima(grams(word_hash, GRAM), WINDOW - GRAM + 1) if n == WINDOW else whole
-                at = np.flatnonzero(_whole(first, len(whole), n))
+                at, print_, _ = values(word_hash, first, n)
                 owner = np.searchsorted(first, at, side="right") - 1
-                yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(owner)), pa.array(at - first[owner]), pa.array(np.full(len(at), n, np.int32)), pa.array(value[at].view(np.int64)), pa.array(whole[at].view(np.int64))], ["row", "start", "length", "fingerprint", "window_hash"])
+                order = np.lexsort((print_, owner))
+                owner, print_ = owner[order], print_[order]
+                new = np.ones(len(owner), bool)
+                new[1:] = (owner[1:] != owner[:-1]) | (print_[1:] != print_[:-1])
+                yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(owner[new])), pa.array(print_[new].view(np.int64))], ["row", "fingerprint"])
 
-    from govlens.llm.common import stored
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text"):
+            word_hash, first = words(*utf8(batch.column("text")))
+            met = batch.column("met")
+            ends = np.asarray(met.offsets).astype(np.int64)
+            wanted = np.asarray(met.flatten()).view(np.uint64)
+            holder = np.repeat(np.arange(len(met)), np.diff(ends))
+            for n in lengths:
+                at, print_, whole = values(word_hash, first, n)
+                owner = np.searchsorted(first, at, side="right") - 1
+                both = np.isin(mix(print_ + owner.astype(np.uint64)), mix(wanted + holder.astype(np.uint64)))
+                at, print_, whole, owner = at[both], print_[both], whole[both], owner[both]
+                yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(owner)), pa.array(at - first[owner]), pa.array(np.full(len(at), n, np.int32)), pa.array(print_.view(np.int64)), pa.array(whole.view(np.int64))], ["row", "start", "length", "fingerprint", "window_hash"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
@@ -211,7 +236,9 @@ def _by_shuffle(docs: DataFrame, prints: DataFrame, text: str, key: str) -> Data
 
     rows = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).cast("string").alias("text")))
     kind = rows.schema["key"].dataType.simpleString()
-    windows = rows.select("row", "text").mapInArrow(emit, "row long, start long, length int, fingerprint long, window_hash long")
+    selected = rows.select("row", "text").mapInArrow(select, "row long, fingerprint long")
+    met = selected.join(stored(prints.select("fingerprint").distinct()), "fingerprint").groupBy("row").agg(F.collect_set("fingerprint").alias("met"))  # at most ten a word
+    windows = rows.join(met, "row").select("row", "text", "met").mapInArrow(emit, "row long, start long, length int, fingerprint long, window_hash long")
     hits = windows.join(prints.withColumn("item", F.col("item").cast("string")), ["fingerprint", "window_hash", "length"])
     found = hits.groupBy("row").agg(
         F.array_sort(F.collect_set("item")).alias("items"),

@@ -29,6 +29,8 @@ from govlens.llm.parsing import _BYTE, phrases
 LENGTH = 100
 #: Bytes parsed at once, entries of a bucket, and entries of one key beyond which its suffixes are sorted by Spark.
 PARSE_BYTES, BUCKET, HOT = 2 << 20, 15_000, 3_000
+#: Text whose phrases meet in one partition, and the bits that hold a phrase's length.
+PARTITION_BYTES, _N = 256 << 20, 0xFFFF
 _48 = np.uint64((1 << 48) - 1)
 _SPANS = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
 
@@ -45,7 +47,7 @@ def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
 
 
 def _parse(rows: DataFrame, length: int) -> DataFrame:
-    """(h, c, doc, lo, nt) of each phrase, n + 256 * (trigger's place in it); c null: a repeat [lo, nt) found on the way."""
+    """(h, c, doc, lo, nt) of each phrase, n + 2**16 * (trigger's place in it); c null: a repeat [lo, nt) found on the way."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", PARSE_BYTES):
@@ -67,7 +69,7 @@ def _parse(rows: DataFrame, length: int) -> DataFrame:
             at = np.flatnonzero(~again)
             none = np.concatenate((np.zeros(len(at), bool), np.ones(len(d), bool)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate((h[at], mix(d.view(np.uint64)).view(np.int64) >> 16))), pa.array(np.concatenate((c[at], np.zeros(len(d), np.int64))), mask=none), pa.array(np.concatenate((doc[at], d))), pa.array(np.concatenate((lo[at], s))), pa.array(np.concatenate((n[at] + (trigger[at] << 8), e)))],
+                [pa.array(np.concatenate((h[at], mix(d.view(np.uint64)).view(np.int64) >> 16))), pa.array(np.concatenate((c[at], np.zeros(len(d), np.int64))), mask=none), pa.array(np.concatenate((doc[at], d))), pa.array(np.concatenate((lo[at], s))), pa.array(np.concatenate((n[at] + (trigger[at] << 16), e)))],
                 ["h", "c", "doc", "lo", "nt"],
             )
 
@@ -101,7 +103,7 @@ def _resolve(parsed: DataFrame, length: int) -> DataFrame:
                     carried = rep < 0
                     rep_doc[carried], rep_lo[carried] = last_rep[1], last_rep[2]
                 again = ~new_c & ((doc != rep_doc) | (lo != rep_lo))
-                found.append((doc[again], lo[again], lo[again] + (nt[again] & 255) - 1 + length))
+                found.append((doc[again], lo[again], lo[again] + (nt[again] & _N) - 1 + length))
                 reps = np.flatnonzero(new_c)
             rows = [np.zeros(0, np.int64)] * 4
             if len(reps):
@@ -129,7 +131,7 @@ def _entries(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             columns: list[list] = [[] for _ in range(6)]
             for doc, text, entries in zip(batch.column("key").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("entries").to_pylist()):
                 for e in entries:
-                    for column, value in zip(columns, (e["h"], e["hot"], doc, e["lo"], e["nt"], text[e["lo"] : e["lo"] + (e["nt"] & 255) - 1 + length])):
+                    for column, value in zip(columns, (e["h"], e["hot"], doc, e["lo"], e["nt"], text[e["lo"] : e["lo"] + (e["nt"] & _N) - 1 + length])):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["h", "hot", "doc", "lo", "nt", "bytes"])
 
@@ -140,11 +142,11 @@ def _entries(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 def _suffixes(column: pa.Array, lo: np.ndarray, nt: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(entry, place, bytes before the trigger, hash) of each suffix of each entry, to the depth of length bytes."""
     raw, offsets = utf8(column)
-    n = nt & 255
+    n = nt & _N
     entry = np.repeat(np.arange(len(n)), n)
     step = np.arange(n.sum()) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)
     start = offsets[:-1][entry] + step
-    return entry, lo[entry] + step, (nt >> 8)[entry] - step, spans_hash(_BYTE[raw], start, start + length)
+    return entry, lo[entry] + step, (nt >> 16)[entry] - step, spans_hash(_BYTE[raw], start, start + length)
 
 
 def _bucket_repeats(entries: DataFrame, n_buckets: int, length: int) -> DataFrame:
@@ -178,7 +180,7 @@ def _hot_repeats(entries: DataFrame, length: int) -> DataFrame:
         for batch in by_bytes(batches, "bytes", PARSE_BYTES // 4):
             h, doc, lo, nt = (np.asarray(batch.column(c)) for c in ("h", "doc", "lo", "nt"))
             entry, place, depth, code = _suffixes(batch.column("bytes"), lo, nt, length)
-            yield pa.RecordBatch.from_arrays([pa.array(mix((h[entry] * 256 + depth).view(np.uint64)).view(np.int64)), pa.array(code.view(np.int64)), pa.array(doc[entry]), pa.array(place)], ["at", "code", "doc", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(mix(h[entry].view(np.uint64) ^ mix(depth.view(np.uint64))).view(np.int64)), pa.array(code.view(np.int64)), pa.array(doc[entry]), pa.array(place)], ["at", "code", "doc", "s"])
 
     suffixes = entries.mapInArrow(run, "at long, code long, doc long, s long")
     first = suffixes.groupBy("at", "code").agg(F.min(F.struct("doc", "s")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("at", "code", "first")
@@ -221,11 +223,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     an earlier place. A row with a null key keeps its text and is no source. Other columns are not read.
     """
     spark = docs.sparkSession
+    if length > _N:
+        raise ValueError(f"length must be at most {_N}")
     arrow_bounds(spark)
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     keyed = rows.where("key IS NOT NULL")
     parsed = _parse(keyed.where(F.octet_length("text") >= length), length)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PARTITION_BYTES)
     found = stored(_resolve(parsed.repartition(n, "h").sortWithinPartitions("h", "c", "doc", "lo"), length))
     partial = found.where("h IS NOT NULL")
     per_key = partial.groupBy("h").agg(F.count(F.lit(1)).alias("n"))

@@ -71,3 +71,16 @@ def test_stages_chain(spark, sf_dir):
 def test_main_path_of_line_dedup_is_native(spark, docs, folder):
     plan = stage("line_dedup", spark, docs, folder)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_stages_with_clashing_columns_and_empty_tables(spark, docs, folder, tmp_path):
+    clash = docs
+    for name in ("n_lines", "n_deleted", "deleted_runs", "key", "kept", "region", "component_id", "window", "a.b"):
+        clash = clash.withColumn(name, F.lit(7))
+    labels = [(i, int(i % 3 > 0), 0) for i in range(0, len(TEXTS), 2)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    for name, f in corpus_pipeline.STAGES:
+        out = f(spark, clash, folder)
+        assert 0 < out.count()
+        assert name == "packing" or out.columns == clash.columns
+        assert not f(spark, clash.limit(0), folder).count()

@@ -2,6 +2,7 @@
 
 import functools
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -119,6 +120,32 @@ def test_codec_agrees_with_the_library_on_odd_words(spark):
     assert max(map(len, WordCodec.get(TOKENIZER).known)) <= LONG_WORD
 
 
+def brute_shards(texts, shards):
+    """Longest first over groups of equal texts: each goes to the shard with the fewest bytes."""
+    groups = defaultdict(int)
+    for t in texts:
+        groups[t] += len((t or "").encode()) + 8
+    load = [0] * shards
+    for size in sorted(groups.values(), reverse=True):
+        load[load.index(min(load))] += size
+    return sorted(load)
+
+
+@pytest.mark.parametrize("shards", [2, 5])
+def test_shards_against_longest_first_over_all_groups(spark, shards):
+    """Where every group is an item of its own, the loads are those of the plain method; elsewhere no worse by a bundle."""
+    dice = random.Random(6)
+    few = [chr(97 + i) * dice.randrange(200, 900) for i in range(20)]
+    texts = [dice.choice(few) for _ in range(60)] + [None]
+    loads = lambda rows: sorted(r.n for r in rows.groupBy("shard").agg(F.sum("size").alias("n")).collect())
+    found = loads(shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shards=shards))
+    expected = brute_shards(texts, shards)
+    assert found == expected
+    many = [f"{i} " * dice.randrange(1, 60) for i in range(4000)]
+    found, expected = loads(shard_documents(spark.createDataFrame(list(enumerate(many)), "doc_id long, text string"), shards=shards)), brute_shards(many, shards)
+    assert sum(found) == sum(expected) and max(found) - max(expected) <= 0.002 * max(expected)
+
+
 def test_shards_keep_copies_together_and_are_even(docs, none, spark):
     rows = shard_documents(docs, shards=3).collect()
     assert {r.doc_id for r in rows} == {i * 3 for i in range(len(TEXTS))}
@@ -206,8 +233,6 @@ def brute_runs(texts):
 
 
 def test_line_dedup_against_all_runs(spark):
-    import random
-
     dice = random.Random(5)
     words = [" ".join(f"v{i}" for i in range(n)) for n in (1, 2, 3, 24, 26, 49, 50, 60)] + [""]
     texts = ["\n".join(dice.choices(words, k=dice.randint(1, 9))) for _ in range(120)]
@@ -297,7 +322,7 @@ def brute_bytes(texts, length):
     return out
 
 
-@pytest.mark.parametrize("length,bucket,hot", [(100, 15_000, 3_000), (40, 3, 1)])
+@pytest.mark.parametrize("length,bucket,hot", [(100, 15_000, 3_000), (40, 3, 1), (400, 15_000, 3_000), (400, 3, 1)])
 def test_suffix_dedup_is_exact(docs, none, length, bucket, hot):
     short = docs.withColumn("text", F.substring("text", 1, 3000))
     found = by_id(remove_repeats(short, length=length, bucket=bucket, hot=hot, with_bytes=True))
@@ -335,7 +360,7 @@ def brute_hits(texts, items):
 ITEMS = [(1, " ".join(BASE.split()[20:45])), (2, "of A list"), (10, "one"), (3, None), (4, "..."), (5, " ".join(BASE.split()[30:41])), (6, "ONE, two; three")]
 
 
-@pytest.mark.parametrize("max_sent", [10_000, 0])
+@pytest.mark.parametrize("max_sent", [1 << 20, 0])
 def test_contamination_is_exact(spark, docs, none, max_sent):
     items = spark.createDataFrame([(k, t, "x") for k, t in ITEMS], "item_id long, text string, doc_id string")
     found = by_id(contamination(docs, items, max_sent=max_sent))

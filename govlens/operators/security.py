@@ -48,6 +48,70 @@ def tls_findings(signals: DataFrame, now: str) -> DataFrame:
     )
 
 
+# Algorithm suites that are weak, and the sizes in bytes and MB from which a file and a process stand out.
+WEAK_SUITES, LARGE_FILE, LARGE_PROCESS = ("Basic128", "TripleDes", "Basic128Rsa15"), 100_000_000, 500
+
+
+def hardening_findings(hosts: DataFrame) -> DataFrame:
+    """(host, os_version, firewall, smb1, guest): how a host is set up."""
+    on = lambda c: F.coalesce(F.col(c), F.lit(False))
+    rules = [("end of life", F.contains("os_version", F.lit("Windows 7")), 3), ("firewall off", ~on("firewall"), 3), ("old file sharing", on("smb1"), 4), ("guest account", on("guest"), 2)]
+    return heuristics(hosts, rules, ["host"])
+
+
+def process_findings(processes: DataFrame) -> DataFrame:
+    """(host, name, memory_mb, variable): processes and names of environment variables."""
+    name = F.lower("name")
+    odd = (name == "nc.exe") | (name == "powershell.exe") & (F.col("memory_mb") > LARGE_PROCESS)
+    return heuristics(processes, [("suspicious process", odd, 3), ("secret in environment", F.contains(F.upper("variable"), F.lit("SECRET")), 4)], ["host", "name"])
+
+
+def cloud_findings(resources: DataFrame) -> DataFrame:
+    """(resource, kind, public, encrypted, mfa, admin, open_to_world); kind is bucket, principal or network."""
+    of = lambda kind, c: (F.col("kind") == kind) & c
+    rules = [
+        ("public bucket", of("bucket", F.col("public")), 3), ("unencrypted bucket", of("bucket", ~F.col("encrypted")), 4), ("no second factor", of("principal", ~F.col("mfa")), 3),
+        ("admin role", of("principal", F.col("admin")), 2), ("open to the world", of("network", F.col("open_to_world")), 4),
+    ]
+    return heuristics(resources, rules, ["resource"])
+
+
+def crypto_findings(algorithms: DataFrame) -> DataFrame:
+    """(host, algorithm, weak, error)."""
+    return heuristics(algorithms, [("weak algorithm", F.col("weak"), 3), ("scan error", F.col("error") != "", 1)], ["host", "algorithm"])
+
+
+def file_findings(found: DataFrame) -> DataFrame:
+    """(path, present, sensitive, world_readable, world_writable, secrets, size, error); a missing file has none."""
+    rules = [
+        ("sensitive and readable", F.col("sensitive") & F.col("world_readable"), 4), ("writable by all", F.col("world_writable"), 3), ("holds secrets", F.col("secrets"), 4),
+        ("very large", F.col("size") > LARGE_FILE, 1), ("scan error", F.trim("error") != "", 1),
+    ]
+    return heuristics(found.where("present"), rules, ["path"])
+
+
+def service_findings(endpoints: DataFrame) -> DataFrame:
+    """(service, https, mode, anonymous, suite, metadata, binding): service endpoints of the older kind."""
+    plain = ~F.col("https")
+    rules = [
+        ("no transport security", plain & (F.col("mode") == "None"), 4), ("anonymous clients", F.col("anonymous"), 3), ("weak suite", F.col("suite").isin(*WEAK_SUITES), 3),
+        ("metadata exposed", F.col("metadata"), 1), ("basic binding in clear text", plain & F.contains("binding", F.lit("basicHttpBinding")), 4),
+    ]
+    return heuristics(endpoints, rules, ["service"])
+
+
+def target_of(signals: DataFrame) -> DataFrame:
+    """signals (detector, evidence, metadata) with target and location: the metadata's target, else the evidence's first line."""
+    lines = F.split("evidence", "\n")
+    named = F.try_element_at("metadata", F.lit("target"))
+    first = F.trim(F.get(lines, F.lit(0)))
+    has_name = F.coalesce(F.trim(named) != "", F.lit(False))
+    target = F.when(has_name, named).when(F.coalesce(first != "", F.lit(False)), first).otherwise(F.col("detector"))
+    location = F.get(F.filter(F.slice(lines, 2, 1 << 30), lambda x: F.contains(F.lower(x), F.lit("line"))), F.lit(0))
+    filled = F.coalesce(F.trim("evidence") != "", F.lit(False))
+    return signals.withColumn("target", target).withColumn("location", F.when(~has_name & filled, location))
+
+
 def domain_compliance(findings: DataFrame, domains: DataFrame) -> DataFrame:
     """Per domain; one without findings is fully compliant here, on purpose unlike an unassessed architecture domain."""
     found = findings.groupBy("category").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("ordinal") >= FAILED_FROM).alias("failed"), F.max("ordinal").alias("max_severity"))

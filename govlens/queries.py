@@ -1,6 +1,6 @@
 """All queries over the stored tables, with their SQL twins."""
 
-from govlens.plans import context, governance, insight, sources  # noqa: F401
+from govlens.plans import context, governance, insight, rulebook, sources  # noqa: F401
 from govlens.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

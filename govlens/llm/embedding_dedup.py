@@ -24,7 +24,7 @@ from govlens.llm.common import arrow_bounds, stored
 from govlens.llm.components import Forest, connected_components
 
 THRESHOLD, RECALL = 0.93, 0.99
-#: Vectors sampled to fit the codebooks, vectors wanted in a cell, most codewords of one half, and members of a cell that one
+#: Vectors sampled to fit the codebooks, vectors of one label wanted in a cell, most codewords of one half, and members of a cell that one
 #: task compares.
 SAMPLE, CELL, MOST_CODES, CHUNK = 20_000, 64, 1024, 1024
 _BATCH = 4096
@@ -257,9 +257,9 @@ def _search(reps: DataFrame, dimension: int, gridded: bool, threshold: float, re
 
     label = reps.schema["label"].dataType.simpleString()
     packed = reps.select("label", "rep", "m", "v").mapInArrow(pack, f"label {label}, rep long, m long, vec binary")
-    total = reps.count()
+    total, labels = reps.agg(F.count(F.lit(1)), F.approx_count_distinct("label")).first()
     sample = packed.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("vec").toArrow()
     units = _unit(sample["vec"], dimension)
-    k = n_codes or max(4, min(MOST_CODES, int(np.ceil((total / CELL) ** 0.5)))) if gridded and dimension > 1 else 1
+    k = n_codes or max(4, min(MOST_CODES, int(np.ceil((total / (CELL * max(1, labels))) ** 0.5)))) if gridded and dimension > 1 else 1
     sent = reps.sparkSession.sparkContext.broadcast(Grid(units, k, threshold, recall))  # at most 2 * MOST_CODES half vectors
     return _verify(_dealt(_probes(packed, sent, dimension), chunk), sent, dimension, threshold)

@@ -62,31 +62,45 @@ class Evaluator:
 GOD_LINES, GOD_METHODS = 500, 20
 FACADE_MOST = (10, 20, 30)
 
+# What signals share: linear patterns of the C-like languages and Python; \n is a line's end.
+_DECISIONS = "(^|[^A-Za-z0-9_])(if|for|foreach|while|case|catch|elif|except)[ (:]"
+_LOOPS = "(^|[^A-Za-z0-9_])(for|foreach|while)[ (]"
+_MODIFIED = "(public|private|protected|internal) ((static|async|virtual|override|sealed|final|abstract) )*"
+_METHODS = _MODIFIED + "[A-Za-z][A-Za-z0-9_<>, ?]* [A-Za-z_][A-Za-z0-9_]*[(]|(^|[ \n])def [A-Za-z_][A-Za-z0-9_]*[(]|(^|[ \n])function [A-Za-z_]"
+_PUBLIC = "public ((static|async|virtual|override|sealed|final) )*[A-Za-z][A-Za-z0-9_<>, ?]* [A-Za-z_][A-Za-z0-9_]*[(]|(^|[ \n])def [a-z][A-Za-z0-9_]*[(]"
+_FIELDS = "private ((static|readonly|final|volatile) )*[A-Za-z][A-Za-z0-9_<>?]* [A-Za-z_][A-Za-z0-9_]*( =[^;\n]*)?;"
+_PROPERTIES = "[{][ \n]*get;[ \n]*((private |protected |internal )?(set|init);)?[ \n]*[}]"
+_COMMENTS = "//|/[*]|(^|\n) *#"
+_CATCH = "catch *[({]|(^|[ \n])except[ :]"
+_WRAPPED = "(inner|decorated|wrapped|component|next)"
+_LOG = "(^|[^A-Za-z0-9_])_?(log|logger|Log|LOG|logging)[.]"
+_BEGIN = "(BeginTransaction|BeginTransactionAsync|beginTransaction|begin_transaction)[(]|@Transactional|[.]begin[(]"
+
 EVALUATORS: dict[str, Evaluator] = {
     e.name: e
     for e in (
-        Evaluator("complexity", "class ", {"decisions": "(if|for|while|case|catch) *[(]|&&|[|][|]", "methods": "(void|int|string|bool) [A-Z][A-Za-z]*[(]"}, {"estimated_complexity": lambda q: "1 + decisions", "complexity_per_method": lambda q: q.r2(q.ratio("1 + decisions", "methods"))}, "estimated_complexity"),
-        Evaluator("cohesion", "class ", {"fields": "private [a-z]+ [a-z]+;", "methods": "(void|int|string|bool) [A-Z][A-Za-z]*[(]"}, {"member_count": lambda q: "fields + methods", "method_field_ratio": lambda q: q.r2(q.ratio("methods", "fields"))}, "member_count"),
-        Evaluator("maintainability", "class ", {"decisions": "(if|for|while|case|catch) *[(]", "lines": ";|[}]", "comments": "//"}, {"maintainability_score": lambda q: q.r2(q.clamp(f"{q.d(100)} - decisions * {q.d(2)} - greatest(0, lines - 500) * {q.d(0.02)}", 0, 100)), "comment_density": lambda q: q.r2(q.ratio("comments", "lines"))}, "maintainability_score"),
-        Evaluator("error_handling", "catch *[(]", {"catches": "catch *[(]", "empty": "catch *[(][^)]*[)] *[{] *[}]", "generic": "catch *[(]Exception"}, {"swallowed": lambda q: "empty", "error_handling_coverage": lambda q: q.r2(f"{q.d(100)} * " + q.clamp(f"{q.d(1)} - " + q.ratio("empty", "catches")))}, "error_handling_coverage"),
-        Evaluator("anemic_model", "class [A-Za-z0-9]*Entity", {"properties": "[{] get; set; [}]", "fields": "private [a-z]+ [a-z]+;", "methods": "void [A-Z][A-Za-z]*[(]"}, {"state_members": lambda q: "properties + fields", "behavior_ratio": lambda q: q.r2(q.ratio("methods", "(properties + fields)")), "anemic_index": lambda q: q.r2(f"{q.d(1)} - least({q.ratio('methods', '(properties + fields)')}, {q.d(1)})")}, "anemic_index"),
-        Evaluator("god_class", "class ", {"lines": ";|[}]", "methods": "(void|int|string|bool) [A-Z][A-Za-z]*[(]", "properties": "[{] get; set; [}]"}, {"god_class_severity": lambda q: q.r2(f"greatest({q.d(0)}, least(lines / {q.d(GOD_LINES)}, methods / {q.d(GOD_METHODS)}))"), "too_large": lambda q: q.flag(f"least(lines / {q.d(GOD_LINES)}, methods / {q.d(GOD_METHODS)}) > 1")}, "god_class_severity"),
-        Evaluator("builder", "class [A-Za-z0-9]*Builder", {"builds": "Build[(]", "fluent": "return this;", "mutations": "[a-z]+ = [a-z]+;"}, {"builder_compliance": lambda q: f"CASE WHEN builds > 0 THEN {q.d(100)} ELSE {q.d(0)} END", "mutability_violation": lambda q: q.flag("mutations > 0 AND fluent = 0")}, "builder_compliance"),
-        Evaluator("command", "class [A-Za-z0-9]*Command ", {"methods": "void [A-Z][A-Za-z]*[(]", "forbidden": "new (Sql|Http)[A-Za-z]*[(]", "handled": "Handle[(]"}, {"command_compliance": lambda q: q.r2(f"{q.d(100)} * (" + q.weighted((0.5, q.flag("handled > 0")), (0.25, q.clamp(f"{q.d(1)} - methods / {q.d(5)}")), (0.25, f"{q.d(1)} - least({q.d(1)}, forbidden / {q.d(3)})")) + ")")}, "command_compliance"),
-        Evaluator("decorator", "class [A-Za-z0-9]*Decorator", {"wrapped": "private readonly I[A-Za-z]+ inner", "delegated": "inner[.][A-Z][a-z]+[(]"}, {"decorator_compliance": lambda q: q.r2(f"({q.flag('wrapped > 0')} + {q.flag('delegated > 0')}) / {q.d(2)} * {q.d(100)}")}, "decorator_compliance"),
-        Evaluator("facade", "class [A-Za-z0-9]*Facade", {"dependencies": "private readonly I[A-Za-z]+", "public_methods": "public (void|int|string) [A-Z][A-Za-z]*[(]", "calls": "[a-z]+[.][A-Z][A-Za-z]*[(]"}, {"dependency_ratio": lambda q: q.r2(f"dependencies / {q.d(FACADE_MOST[0])}"), "public_surface_ratio": lambda q: q.r2(f"public_methods / {q.d(FACADE_MOST[1])}"), "orchestration_ratio": lambda q: q.r2(f"calls / {q.d(FACADE_MOST[2])}")}, "public_surface_ratio"),
-        Evaluator("factory", "class [A-Za-z0-9]*Factory", {"abstractions": "return I[A-Z]|: I[A-Z]", "instantiations": "new [A-Z][A-Za-z]*[(]", "leaks": "new Sql[A-Za-z]*[(]"}, {"factory_compliance": lambda q: q.r2(f"{q.d(100)} * (" + q.weighted((0.40, q.flag("abstractions > 0")), (0.25, q.clamp(f"{q.d(1)} - instantiations / {q.d(10)}")), (0.15, q.flag("leaks = 0")), (0.20, q.flag("abstractions >= instantiations"))) + ")")}, "factory_compliance"),
-        Evaluator("mediator", "class [A-Za-z0-9]*Mediator|mediator[.]Send", {"sends": "mediator[.]Send[(]", "handlers": "Handle[(]", "direct": "service[.][A-Z][A-Za-z]*[(]"}, {"usage_ratio": lambda q: q.r2(q.ratio("sends", "(sends + direct)")), "coupling_risk": lambda q: q.r2(q.ratio("direct", "(sends + handlers + direct)"))}, "coupling_risk"),
-        Evaluator("observer", "Subscribe[(]|Publish[(]", {"publishes": "Publish[(]", "subscribes": "[.]Subscribe[(]", "released": "Unsubscribe[(]|Dispose[(]"}, {"unsubscribe_missing": lambda q: q.flag("subscribes > 0 AND released = 0"), "observer_compliance": lambda q: q.r2(f"{q.d(100)} * (" + q.weighted((0.35, q.flag("publishes > 0")), (0.30, q.flag("subscribes = 0 OR released > 0")), (0.15, q.flag("subscribes > 0")), (0.20, q.d(1))) + ")")}, "observer_compliance"),
-        Evaluator("repository_pattern", "class [A-Za-z0-9]*Repository", {"interface": ": I[A-Z][A-Za-z0-9]*Repository", "methods": "(void|int|string|bool) [A-Z][A-Za-z]*[(]", "fields": "private [a-z]+ [a-z]+;", "asyncs": "await ", "external": "HttpClient"}, {"interface_adherence": lambda q: q.flag("interface > 0"), "repository_complexity": lambda q: q.r2(f"least({q.d(1)}, methods / {q.d(30)} + fields / {q.d(50)})"), "repository_compliance": lambda q: q.r2(f"{q.d(100)} * (" + q.weighted((0.30, q.flag("interface > 0")), (0.35, q.flag("asyncs > 0")), (0.15, q.flag("external = 0")), (0.20, f"{q.d(1)} - least({q.d(1)}, methods / {q.d(30)} + fields / {q.d(50)})")) + ")")}, "repository_compliance"),
-        Evaluator("singleton", "class [A-Za-z0-9]*Singleton", {"locks": "lock *[(]|Lazy<", "lazy": "Lazy<", "instance": "static readonly", "private_constructor": "private [A-Z][A-Za-z0-9]*[(][)]"}, {"thread_safety": lambda q: f"CASE WHEN locks > 0 THEN {q.d(100)} ELSE {q.d(0)} END", "singleton_compliance": lambda q: q.r2(f"{q.d(100)} * (" + q.weighted((0.35, q.flag("locks > 0")), (0.25, q.flag("lazy > 0")), (0.30, q.flag("private_constructor > 0")), (0.10, q.flag("instance > 0"))) + ")")}, "singleton_compliance"),
-        Evaluator("strategy", "class [A-Za-z0-9]*Strategy", {"interface": ": I[A-Z][A-Za-z0-9]*Strategy", "dispatch": "switch *[(]", "leaks": "new Sql[A-Za-z]*[(]"}, {"strategy_compliance": lambda q: q.r2(f"{q.d(100)} * (" + q.weighted((0.35, q.flag("interface > 0")), (0.25, q.flag("leaks = 0")), (0.15, q.flag("dispatch = 0")), (0.25, q.d(1))) + ")")}, "strategy_compliance"),
-        Evaluator("logging", "log[.]Log", {"calls": "log[.]Log[A-Z][a-z]+[(]", "structured": "[{][A-Z][a-z]+[}]", "levelled": "Log(Information|Warning|Error|Critical)[(]", "noisy": "LogTrace[(]"}, {"logging_integrity": lambda q: q.r2(f"{q.d(100)} * (" + q.weighted((0.50, q.clamp(q.ratio("structured", "calls"))), (0.25, q.clamp(q.ratio("levelled", "calls"))), (0.25, q.clamp(f"{q.d(1)} - " + q.ratio("noisy", "calls")))) + ")")}, "logging_integrity"),
-        Evaluator("transaction", "BeginTransaction[(]", {"commits": "[.]Commit[(]", "rollbacks": "[.]Rollback[(]", "isolation": "IsolationLevel", "guarded": "using *[(]"}, {"transaction_integrity": lambda q: q.r2(f"{q.d(100)} * (" + q.weighted((0.35, f"CASE WHEN commits > 0 THEN {q.d(1)} ELSE {q.d(0.6)} END"), (0.30, f"CASE WHEN rollbacks > 0 THEN {q.d(1)} ELSE {q.d(0.6)} END"), (0.20, f"CASE WHEN isolation > 0 THEN {q.d(1)} ELSE {q.d(0.85)} END"), (0.15, f"CASE WHEN guarded > 0 THEN {q.d(1)} ELSE {q.d(0.6)} END")) + ")")}, "transaction_integrity"),
-        Evaluator("performance", "class ", {"blocking": "Thread[.]Sleep|[.]Wait[(][)]", "asyncs": "await ", "concatenations": "[+]= *\"", "loops": "(for|foreach|while) *[(]"}, {"performance_index": lambda q: q.r2(q.weighted((0.35, q.clamp(f"{q.d(1)} - {q.d(0.05)} * concatenations - {q.d(0.2)} * {q.flag('loops > 3')}")), (0.30, q.clamp(f"{q.d(1)} - {q.d(0.25)} * blocking")), (0.20, q.flag("asyncs > 0")), (0.15, q.clamp(f"{q.d(1)} - {q.d(0.2)} * blocking"))))}, "performance_index"),
-        Evaluator("architectural_security", "class ", {"secrets": "password *= *\"", "weak_crypto": "(MD5|SHA1|DES)[.]Create", "weak_tls": "Ssl3|Tls11", "unsafe": "unsafe [{]"}, {"findings": lambda q: "secrets + weak_crypto + weak_tls + unsafe"}, "findings"),
-        Evaluator("documentation", "class ", {"declarations": "public (sealed )?(class|void|int|string)", "documented": "/// <summary>"}, {"documentation_coverage": lambda q: q.r2(f"{q.d(100)} * " + q.clamp(q.ratio("documented", "declarations"))), "missing_documentation": lambda q: "greatest(0, declarations - documented)"}, "documentation_coverage"),
-        Evaluator("repository_hygiene", "class ", {"todos": "TODO|FIXME", "lines": ";|[}]"}, {"maintenance_score": lambda q: q.r2(q.clamp(f"{q.d(1)} - {q.d(0.15)} * least({q.d(1)}, todos) - {q.flag('lines > 400')} * {q.d(0.02)}"))}, "maintenance_score"),
+        Evaluator("complexity", "class ", {"decisions": _DECISIONS + "|&&|[|][|]", "methods": _METHODS}, {"estimated_complexity": lambda q: "1 + decisions", "complexity_per_method": lambda q: q.r2(q.ratio("1 + decisions", "methods"))}, "estimated_complexity"),
+        Evaluator("cohesion", "class ", {"fields": _FIELDS, "methods": _METHODS}, {"member_count": lambda q: "fields + methods", "method_field_ratio": lambda q: q.r2(q.ratio("methods", "fields"))}, "member_count"),
+        Evaluator("maintainability", "class ", {"decisions": _DECISIONS, "lines": "\n", "comments": _COMMENTS}, {"maintainability_score": lambda q: q.r2(q.clamp(f"{q.d(100)} - decisions * {q.d(2)} - greatest(0, lines - 500) * {q.d(0.02)}", 0, 100)), "comment_density": lambda q: q.r2(q.ratio("comments", "lines"))}, "maintainability_score"),
+        Evaluator("error_handling", _CATCH, {"catches": _CATCH, "empty": "catch *([(][^)]*[)])?[ \n]*[{][ \n]*[}]|except[^:\n]*:[ \n]+pass", "generic": "catch *[(](final )?(Exception|Throwable)[ )]|catch[ \n]*[{]|except( Exception[^:]*)?:"}, {"swallowed": lambda q: "empty", "error_handling_coverage": lambda q: q.r2(f"{q.d(100)} * " + q.clamp(f"{q.d(1)} - " + q.ratio("empty", "catches")))}, "error_handling_coverage"),
+        Evaluator("anemic_model", "class [A-Za-z0-9]*Entity", {"properties": _PROPERTIES, "fields": _FIELDS, "methods": _METHODS}, {"state_members": lambda q: "properties + fields", "behavior_ratio": lambda q: q.r2(q.ratio("methods", "(properties + fields)")), "anemic_index": lambda q: q.r2(f"{q.d(1)} - least({q.ratio('methods', '(properties + fields)')}, {q.d(1)})")}, "anemic_index"),
+        Evaluator("god_class", "class ", {"lines": "\n", "methods": _METHODS, "properties": _PROPERTIES}, {"god_class_severity": lambda q: q.r2(f"greatest({q.d(0)}, least(lines / {q.d(GOD_LINES)}, methods / {q.d(GOD_METHODS)}))"), "too_large": lambda q: q.flag(f"least(lines / {q.d(GOD_LINES)}, methods / {q.d(GOD_METHODS)}) > 1")}, "god_class_severity"),
+        Evaluator("builder", "class [A-Za-z0-9]*Builder", {"builds": "(Build|BuildAsync|build)[(]", "fluent": "return (this|self)", "mutations": "(this[.]|self[.]|[ \n]_)[A-Za-z_]+ = "}, {"builder_compliance": lambda q: f"CASE WHEN builds > 0 THEN {q.d(100)} ELSE {q.d(0)} END", "mutability_violation": lambda q: q.flag("mutations > 0 AND fluent = 0")}, "builder_compliance"),
+        Evaluator("command", "class [A-Za-z0-9]*Command([^A-Za-z0-9]|$)", {"methods": _METHODS, "forbidden": "new (Sql|Http|Db)[A-Za-z]*[(]|import (requests|sqlite3)", "handled": "(Handle|HandleAsync|handle)[(]"}, {"command_compliance": lambda q: q.r2(f"{q.d(100)} * (" + q.weighted((0.5, q.flag("handled > 0")), (0.25, q.clamp(f"{q.d(1)} - methods / {q.d(5)}")), (0.25, f"{q.d(1)} - least({q.d(1)}, forbidden / {q.d(3)})")) + ")")}, "command_compliance"),
+        Evaluator("decorator", "class [A-Za-z0-9]*Decorator", {"wrapped": "private (readonly |final )I?[A-Z][A-Za-z<>]* _?" + _WRAPPED, "delegated": _WRAPPED + "[.][A-Za-z]+[(]"}, {"decorator_compliance": lambda q: q.r2(f"({q.flag('wrapped > 0')} + {q.flag('delegated > 0')}) / {q.d(2)} * {q.d(100)}")}, "decorator_compliance"),
+        Evaluator("facade", "class [A-Za-z0-9]*Facade", {"dependencies": "private (readonly |final )[A-Z][A-Za-z<>]* ", "public_methods": _PUBLIC, "calls": "[^A-Za-z0-9_.][a-z_][A-Za-z0-9_]*[.][A-Za-z_]+[(]"}, {"dependency_ratio": lambda q: q.r2(f"dependencies / {q.d(FACADE_MOST[0])}"), "public_surface_ratio": lambda q: q.r2(f"public_methods / {q.d(FACADE_MOST[1])}"), "orchestration_ratio": lambda q: q.r2(f"calls / {q.d(FACADE_MOST[2])}")}, "public_surface_ratio"),
+        Evaluator("factory", "class [A-Za-z0-9]*Factory", {"abstractions": "return I[A-Z]|: I[A-Z]", "instantiations": "new [A-Z][A-Za-z0-9]*[(]", "leaks": "new (Sql|Http|Db)[A-Za-z]*[(]"}, {"factory_compliance": lambda q: q.r2(f"{q.d(100)} * (" + q.weighted((0.40, q.flag("abstractions > 0")), (0.25, q.clamp(f"{q.d(1)} - instantiations / {q.d(10)}")), (0.15, q.flag("leaks = 0")), (0.20, q.flag("abstractions >= instantiations"))) + ")")}, "factory_compliance"),
+        Evaluator("mediator", "class [A-Za-z0-9]*Mediator|[Mm]ediator[.][Ss]end", {"sends": "[Mm]ediator[.](Send|SendAsync|send|Publish)[(]", "handlers": "IRequestHandler<|(Handle|HandleAsync|handle)[(]", "direct": "[Ss]ervice[.][A-Za-z]+[(]"}, {"usage_ratio": lambda q: q.r2(q.ratio("sends", "(sends + direct)")), "coupling_risk": lambda q: q.r2(q.ratio("direct", "(sends + handlers + direct)"))}, "coupling_risk"),
+        Evaluator("observer", "[Ss]ubscribe[(]|[Pp]ublish[(]|[A-Za-z] [+]= On[A-Z]", {"publishes": "[.]([Pp]ublish|emit|next)[(]", "subscribes": "[.]([Ss]ubscribe|addListener)[(]|[A-Za-z] [+]= On[A-Z]", "released": "([Uu]nsubscribe|Dispose|removeListener|ngOnDestroy)[(]|[A-Za-z] -= On[A-Z]"}, {"unsubscribe_missing": lambda q: q.flag("subscribes > 0 AND released = 0"), "observer_compliance": lambda q: q.r2(f"{q.d(100)} * (" + q.weighted((0.35, q.flag("publishes > 0")), (0.30, q.flag("subscribes = 0 OR released > 0")), (0.15, q.flag("subscribes > 0")), (0.20, q.d(1))) + ")")}, "observer_compliance"),
+        Evaluator("repository_pattern", "class [A-Za-z0-9]*Repository", {"interface": "(:|implements|,) *(I[A-Z][A-Za-z0-9]*Repository|[A-Z][A-Za-z0-9]*Repository<)", "methods": _METHODS, "fields": _FIELDS, "asyncs": "await |CompletableFuture<", "external": "HttpClient|RestTemplate|requests[.](get|post)|File[.](Read|Write)"}, {"interface_adherence": lambda q: q.flag("interface > 0"), "repository_complexity": lambda q: q.r2(f"least({q.d(1)}, methods / {q.d(30)} + fields / {q.d(50)})"), "repository_compliance": lambda q: q.r2(f"{q.d(100)} * (" + q.weighted((0.30, q.flag("interface > 0")), (0.35, q.flag("asyncs > 0")), (0.15, q.flag("external = 0")), (0.20, f"{q.d(1)} - least({q.d(1)}, methods / {q.d(30)} + fields / {q.d(50)})")) + ")")}, "repository_compliance"),
+        Evaluator("singleton", "class [A-Za-z0-9]*Singleton", {"locks": "lock *[(]|Lazy<|synchronized|threading[.]Lock", "lazy": "Lazy<|== null|is None", "instance": "static (readonly |final |volatile )?[A-Z][A-Za-z0-9<>]* _?[A-Za-z]+|_instance = None", "private_constructor": "private [A-Z][A-Za-z0-9]*[(][)]"}, {"thread_safety": lambda q: f"CASE WHEN locks > 0 THEN {q.d(100)} ELSE {q.d(0)} END", "singleton_compliance": lambda q: q.r2(f"{q.d(100)} * (" + q.weighted((0.35, q.flag("locks > 0")), (0.25, q.flag("lazy > 0")), (0.30, q.flag("private_constructor > 0")), (0.10, q.flag("instance > 0"))) + ")")}, "singleton_compliance"),
+        Evaluator("strategy", "class [A-Za-z0-9]*Strategy", {"interface": "(:|implements|,) *(I[A-Z][A-Za-z0-9]*Strategy|[A-Z][A-Za-z0-9]*Strategy<)", "dispatch": "switch *[(]|else if *[(]|elif ", "leaks": "new (Sql|Http|Db)[A-Za-z]*[(]"}, {"strategy_compliance": lambda q: q.r2(f"{q.d(100)} * (" + q.weighted((0.35, q.flag("interface > 0")), (0.25, q.flag("leaks = 0")), (0.15, q.flag("dispatch = 0")), (0.25, q.d(1))) + ")")}, "strategy_compliance"),
+        Evaluator("logging", _LOG + "[A-Za-z]+[(]", {"calls": _LOG + "(Log[A-Z][a-z]+|trace|debug|info|warn|warning|error|critical)[(]", "structured": _LOG + "[A-Za-z]+[(][^;\n]*([{][A-Za-z]*[}]|%s)", "levelled": _LOG + "(LogInformation|LogWarning|LogError|LogCritical|info|warn|warning|error|critical)[(]", "noisy": _LOG + "(LogTrace|LogDebug|trace|debug)[(]"}, {"logging_integrity": lambda q: q.r2(f"{q.d(100)} * (" + q.weighted((0.50, q.clamp(q.ratio("structured", "calls"))), (0.25, q.clamp(q.ratio("levelled", "calls"))), (0.25, q.clamp(f"{q.d(1)} - " + q.ratio("noisy", "calls")))) + ")")}, "logging_integrity"),
+        Evaluator("transaction", _BEGIN, {"commits": "[.](Commit|CommitAsync|commit)[(]", "rollbacks": "[.](Rollback|RollbackAsync|rollback)[(]", "isolation": "IsolationLevel|isolation *=|isolation_level", "guarded": "using *([(]|var )|with [a-z]"}, {"transaction_integrity": lambda q: q.r2(f"{q.d(100)} * (" + q.weighted((0.35, f"CASE WHEN commits > 0 THEN {q.d(1)} ELSE {q.d(0.6)} END"), (0.30, f"CASE WHEN rollbacks > 0 THEN {q.d(1)} ELSE {q.d(0.6)} END"), (0.20, f"CASE WHEN isolation > 0 THEN {q.d(1)} ELSE {q.d(0.85)} END"), (0.15, f"CASE WHEN guarded > 0 THEN {q.d(1)} ELSE {q.d(0.6)} END")) + ")")}, "transaction_integrity"),
+        Evaluator("performance", "class ", {"blocking": "Thread[.][Ss]leep|[.]Wait[(][)]|[.]Result[^A-Za-z]|time[.]sleep[(]", "asyncs": "await ", "concatenations": "[+]= *\"", "loops": _LOOPS}, {"performance_index": lambda q: q.r2(q.weighted((0.35, q.clamp(f"{q.d(1)} - {q.d(0.05)} * concatenations - {q.d(0.2)} * {q.flag('loops > 3')}")), (0.30, q.clamp(f"{q.d(1)} - {q.d(0.25)} * blocking")), (0.20, q.flag("asyncs > 0")), (0.15, q.clamp(f"{q.d(1)} - {q.d(0.2)} * blocking"))))}, "performance_index"),
+        Evaluator("architectural_security", "class ", {"secrets": "([Pp]assword|[Ss]ecret|[Aa]pi_?[Kk]ey) *= *\"[^\"]", "weak_crypto": "(MD5|SHA1|DES)[.]Create|getInstance[(]\"(MD5|SHA-1|DES)|hashlib[.](md5|sha1)", "weak_tls": "Ssl3|Tls11|SSLv3|TLSv1[^.2-9_]", "unsafe": "(^|[^A-Za-z])unsafe[ \n]*[{]"}, {"findings": lambda q: "secrets + weak_crypto + weak_tls + unsafe"}, "findings"),
+        Evaluator("documentation", "class ", {"declarations": _PUBLIC + "|public (sealed |final |abstract |static )*(class|interface|record|enum) ", "documented": "/// *<summary>|/[*][*]|:[ \n]+\"\"\""}, {"documentation_coverage": lambda q: q.r2(f"{q.d(100)} * " + q.clamp(q.ratio("documented", "declarations"))), "missing_documentation": lambda q: "greatest(0, declarations - documented)"}, "documentation_coverage"),
+        Evaluator("repository_hygiene", "class ", {"todos": "TODO|FIXME|HACK", "lines": "\n"}, {"maintenance_score": lambda q: q.r2(q.clamp(f"{q.d(1)} - {q.d(0.15)} * least({q.d(1)}, todos) - {q.flag('lines > 400')} * {q.d(0.02)}"))}, "maintenance_score"),
     )
 }
 

@@ -9,15 +9,20 @@ from govlens.plans.registry import ORACLES, QUERIES, query
 from govlens.sources import tables
 
 _NAME = "concat('Order', p_partkey - p_partkey % 12, CASE p_partkey % 12 WHEN 0 THEN 'Command' WHEN 1 THEN 'CommandHandler' WHEN 2 THEN 'Repository' WHEN 3 THEN 'Factory' WHEN 4 THEN 'Facade' WHEN 5 THEN 'Decorator' WHEN 6 THEN 'Builder' WHEN 7 THEN 'Mediator' WHEN 8 THEN 'Observer' WHEN 9 THEN 'Singleton' WHEN 10 THEN 'Strategy' ELSE 'Entity' END)"
+# Members of the classes, several of them in each of two styles, on lines of their own: (parts that have it, text).
 _PIECES = [
-    ("3 = 0", "/// <summary>Doc.</summary> "), ("5 = 0", "private readonly IOrders inner; "), ("2 = 0", "private readonly IClock clock; "), ("7 = 1", "static readonly Lazy<int> Instance; "), ("4 = 1", "lock (gate) { } "), ("6 = 3", "private Hidden() { } "),
-    ("5 = 1", "try { run(); } catch (Exception e) { } "), ("5 = 2", "try { run(); } catch (IOException e) { log.LogError(e); } "), ("4 = 2", "return this; "), ("3 = 1", "public int Build() { total = next; } "), ("5 = 3", "void Handle() { inner.Run(); } "), ("4 = 3", "await store.Save(); "),
-    ("7 = 2", "new SqlOrder(); "), ("3 = 2", "return IOrder; new Helper(); "), ("5 = 4", "mediator.Send(query); "), ("6 = 1", "service.Call(); "), ("4 = 0", "bus.Subscribe(x); "), ("7 = 3", "bus.Publish(y); "), ("8 = 0", "Dispose(); "), ("9 = 0", "HttpClient web; "),
-    ("6 = 2", "switch (kind) { } "), ("2 = 1", "log.LogInformation(text {Id}); "), ("9 = 1", "log.LogTrace(x); "), ("5 = 0", "db.BeginTransaction(); "), ("10 = 0", "db.Commit(); "), ("15 = 0", "db.Rollback(); using (db) { } "), ("7 = 4", "Thread.Sleep(1); "), ("8 = 3", "text += \"x\"; for (;;) { } "),
-    ("11 = 0", "password = \"x\"; "), ("13 = 0", "MD5.Create(); "), ("6 = 0", "// TODO later "),
+    ("3 = 0", "    /// <summary>Doc.</summary>\n"), ("5 = 0", "    private readonly IOrders _inner;\n"), ("2 = 0", "    private readonly IClock clock;\n"), ("7 = 1", "    private static readonly Lazy<Item> Instance = new(Load);\n"),
+    ("4 = 1", "        lock (_gate)\n        {\n            count++;\n        }\n"), ("6 = 3", "    private Hidden() { }\n"), ("5 = 1", "        try\n        {\n            Run();\n        }\n        catch (Exception e)\n        {\n        }\n"),
+    ("5 = 2", "        try { Run(); }\n        catch (IOException e) when (e.Fatal)\n        {\n            _logger.LogError(e, \"failed {Id}\", id);\n        }\n"), ("4 = 2", "        return this;\n"), ("3 = 1", "    public Item Build()\n    {\n        this.total = next;\n    }\n"),
+    ("5 = 3", "    public async Task HandleAsync(Order o)\n    {\n        _inner.Run(o);\n    }\n"), ("4 = 3", "        await _store.SaveAsync();\n"), ("7 = 2", "        var c = new SqlConnection(text);\n"), ("3 = 2", "        return new Helper(a, b);\n"),
+    ("5 = 4", "        await _mediator.Send(new Query());\n"), ("6 = 1", "        orderService.Call(1);\n"), ("4 = 0", "        _bus.Subscribe(OnOrder);\n"), ("7 = 3", "        _bus.Publish(new Event());\n"), ("8 = 0", "    public void Dispose() => _bus.Unsubscribe(OnOrder);\n"),
+    ("9 = 0", "    private readonly HttpClient web;\n"), ("6 = 2", "        switch (kind)\n        {\n            case 1: break;\n        }\n"), ("2 = 1", "        _logger.LogInformation(\"order {Id}\", id);\n"), ("9 = 1", "        _logger.LogTrace(\"here\");\n"),
+    ("5 = 0", "        using var t = db.BeginTransaction(IsolationLevel.Snapshot);\n"), ("10 = 0", "        t.Commit();\n"), ("15 = 0", "        t.Rollback();\n"), ("7 = 4", "        Thread.Sleep(100);\n"), ("8 = 3", "        foreach (var x in all)\n        {\n            text += \"x\";\n        }\n"),
+    ("11 = 0", "        var password = \"hunter2\";\n"), ("13 = 0", "        using var h = MD5.Create();\n"), ("6 = 0", "        // TODO: later\n"),
 ]
 _BODY = ", ".join(f"CASE WHEN p_partkey % {c} THEN '{t}' ELSE '' END" for c, t in _PIECES)
-_TEXT = f"concat('public class ', {_NAME}, CASE WHEN p_size % 3 > 0 THEN concat(' : I', {_NAME}) ELSE '' END, ' {{ ', {_BODY}, repeat('private int field; ', p_size % 5), repeat('public int Property {{ get; set; }} ', p_size % 4), repeat('public void Run() {{ if (a && b) {{ stop(); }} }} ', p_size % 30), '}}')".replace("{{", "{").replace("}}", "}")
+_TAIL = "repeat('    private int _field = 0;\n', p_size % 5), repeat('    public int Property { get; private set; }\n', p_size % 4), repeat('    public bool Check(int a)\n    {\n        if (a > 1 && b)\n            return true;\n    }\n', p_size % 30)"
+_TEXT = f"concat('namespace Shop;\n\npublic sealed class ', {_NAME}, CASE WHEN p_size % 3 > 0 THEN concat(' : I', {_NAME}) ELSE '' END, '\n{{\n', {_BODY}, {_TAIL}, '}}\n')".replace("{{", "{").replace("}}", "}")
 _FILES = f"(SELECT concat('src/m', p_size % 6, '/f', p_partkey, '.cs') AS path, concat('m', p_size % 6) AS module, {_TEXT} AS text FROM part)"
 
 

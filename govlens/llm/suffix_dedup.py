@@ -1,15 +1,16 @@
 """Removal of repeated byte strings by prefix-free parsing.
 
 A rolling hash triggers phrases in every text (parsing.py). A phrase with the bytes that follow it is a dictionary entry;
-the texts are sequences of entries. Sorting entries by trigger key and content, and their occurrences by place, is the
-order of the corpus as far as it matters here: suffixes are compared to a fixed depth, and only equal ones need to meet,
-so entries and their suffixes are ordered by hash and not by alphabet.
+the texts are sequences of entries, the parse.
 
 1. Parse: one row per phrase, after equal entries of one batch have met (the later ones are repeats already).
-2. Dictionary: rows sorted by (key, content, place). Every occurrence of an entry but the first is a repeat as a whole.
-3. Suffixes: only where one key has several entries can part of an entry be a repeat. The suffixes of those entries are
-   sorted together, and each that occurs at an earlier place is a repeat. Keys with very many entries are sorted by Spark
-   suffix by suffix; all others in buckets of whole keys.
+2. Order of the parse: its phrases sorted by entry and place in the corpus. Every occurrence of an entry but the first is a
+   repeat as a whole, and the first ones are the dictionary. No string of the length asked for reaches beyond its entry, so
+   the parse needs no deeper order than this.
+3. Order of the dictionary: only where one trigger key has several entries can part of an entry be a repeat. For buckets of
+   whole keys a suffix array of those entries is built, word by word to the length asked for. Suffixes that agree that far
+   lie side by side in it, in the order of the parse: both orders together are the corpus order, and in each run of equal
+   suffixes all but the first are repeats. Keys with very many entries are grouped by Spark, suffix by suffix.
 4. The bytes of all repeats are removed.
 """
 
@@ -139,30 +140,62 @@ def _entries(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return rows.join(lists, "key").select("key", "text", "entries").mapInArrow(run, "h long, hot boolean, doc long, lo long, nt long, bytes binary")
 
 
-def _suffixes(column: pa.Array, lo: np.ndarray, nt: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(entry, place, bytes before the trigger, hash) of each suffix of each entry, to the depth of length bytes."""
+def suffix_array(raw: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, same): suffixes from starts sorted by their first length bytes, ties in the order given; and whether each
+    agrees that far with the one before it.
+
+    Words of eight bytes are compared one after the other, each time only within runs of suffixes that agree so far.
+    """
+    words = np.zeros(len(raw) + length + 8, np.uint64)
+    words[: len(raw)] = raw
+    for width in (1, 2, 4):  # big-endian, so words sort as their bytes do
+        words[:-width] = (words[:-width] << np.uint64(8 * width)) | words[width:]
+    order = np.arange(len(starts))
+    run = np.zeros(len(starts), np.int64)
+    active = np.arange(len(starts))
+    for at in range(0, length, 8):
+        word = words[starts[order[active]] + at]
+        if length - at < 8:
+            word &= ~np.uint64((1 << (8 * (8 - length + at))) - 1)
+        sort = np.lexsort((word, run[active]))
+        order[active] = order[active[sort]]
+        word, own = word[sort], run[active]
+        opens = np.ones(len(active), bool)
+        opens[1:] = (own[1:] != own[:-1]) | (word[1:] != word[:-1])
+        run[active] = active[np.maximum.accumulate(np.where(opens, np.arange(len(active)), 0))]
+        alone = opens & np.concatenate((opens[1:], [True]))
+        active = active[~alone]
+        if not len(active):
+            break
+    same = np.zeros(len(order), bool)
+    same[active] = True
+    same[1:] &= run[1:] == run[:-1]
+    same[:1] = False
+    return order, same
+
+
+def _suffixes(column: pa.Array, lo: np.ndarray, nt: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The bytes of all entries, and (entry, place, bytes before the trigger, where it starts) of each suffix of each entry."""
     raw, offsets = utf8(column)
     n = nt & _N
     entry = np.repeat(np.arange(len(n)), n)
     step = np.arange(n.sum()) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)
-    start = offsets[:-1][entry] + step
-    return entry, lo[entry] + step, (nt >> 16)[entry] - step, spans_hash(_BYTE[raw], start, start + length)
+    return raw, entry, lo[entry] + step, (nt >> 16)[entry] - step, offsets[:-1][entry] + step
 
 
 def _bucket_repeats(entries: DataFrame, n_buckets: int, length: int) -> DataFrame:
     """Repeats (doc, s, e) among the suffixes of all entries of a key, for buckets of whole keys."""
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks()
-        h, doc, lo, nt = (np.asarray(rows[c]) for c in ("h", "doc", "lo", "nt"))
+        rows = rows.combine_chunks().sort_by([("doc", "ascending"), ("lo", "ascending")])  # the order of the parse
+        doc, lo, nt = (np.asarray(rows[c]) for c in ("doc", "lo", "nt"))
         column = rows["bytes"].combine_chunks()
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-        entry, place, depth, code = _suffixes(column, lo, nt, length)
+        raw, entry, place, _, start = _suffixes(column, lo, nt)
         d = doc[entry]
-        order = np.lexsort((place, d, code, depth, h[entry]))
-        same = np.concatenate(([False], np.ones(len(order) - 1, bool))) if len(order) else np.zeros(0, bool)
-        for x in (h[entry], depth, code):
-            same[1:] &= x[order][1:] == x[order][:-1]
+        by_place = np.lexsort((place, d))
+        order, same = suffix_array(raw, start[by_place], length)
+        order = by_place[order]
         first = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
         again = order[same & ((d[order] != d[order][first]) | (place[order] != place[order][first]))]
         again = again[np.lexsort((place[again], d[again]))]
@@ -179,7 +212,8 @@ def _hot_repeats(entries: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "bytes", PARSE_BYTES // 4):
             h, doc, lo, nt = (np.asarray(batch.column(c)) for c in ("h", "doc", "lo", "nt"))
-            entry, place, depth, code = _suffixes(batch.column("bytes"), lo, nt, length)
+            raw, entry, place, depth, start = _suffixes(batch.column("bytes"), lo, nt)
+            code = spans_hash(_BYTE[raw], start, start + length)
             yield pa.RecordBatch.from_arrays([pa.array(mix(h[entry].view(np.uint64) ^ mix(depth.view(np.uint64))).view(np.int64)), pa.array(code.view(np.int64)), pa.array(doc[entry]), pa.array(place)], ["at", "code", "doc", "s"])
 
     suffixes = entries.mapInArrow(run, "at long, code long, doc long, s long")

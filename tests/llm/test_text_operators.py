@@ -17,7 +17,7 @@ from govlens.llm.jaccard import Bitmaps, Region, _bitmaps, jaccard_components
 from govlens.llm.line_dedup import MIN_LINES, MIN_WORDS, dedup_lines, line_windows, matched_windows, repeated_runs
 from govlens.llm.packing import GROUPS, pack_documents
 from govlens.llm.sharding import longest_first, shard_documents
-from govlens.llm.suffix_dedup import remove_repeats
+from govlens.llm.suffix_dedup import remove_repeats, suffix_array
 from govlens.llm.tokens import LONG_WORD, WordCodec, encoded, token_counts
 from pyspark.sql import functions as F
 
@@ -322,6 +322,19 @@ def brute_bytes(texts, length):
     return out
 
 
+@pytest.mark.parametrize("length", [1, 7, 8, 20, 33])
+def test_suffix_array_against_sorting(length):
+    dice = random.Random(length)
+    raw = bytes(dice.choice(b"ab\xc3\xff\x00") for _ in range(3000)) + b"ab" * 200
+    starts = dice.sample(range(len(raw) - length), 2500)
+    order, same = suffix_array(np.frombuffer(raw, np.uint8), np.array(starts), length)
+    expected = sorted(range(len(starts)), key=lambda k: raw[starts[k] : starts[k] + length])
+    assert order.tolist() == expected
+    cut = [raw[starts[k] : starts[k] + length] for k in expected]
+    assert same.tolist() == [k > 0 and cut[k] == cut[k - 1] for k in range(len(cut))]
+    assert suffix_array(np.zeros(0, np.uint8), np.zeros(0, np.int64), length)[0].tolist() == []
+
+
 @pytest.mark.parametrize("length,bucket,hot", [(100, 15_000, 3_000), (40, 3, 1), (400, 15_000, 3_000), (400, 3, 1)])
 def test_suffix_dedup_is_exact(docs, none, length, bucket, hot):
     short = docs.withColumn("text", F.substring("text", 1, 3000))

@@ -30,11 +30,14 @@ from govlens.llm.decontamination import _IS_WORD, grams
 MAX_LABELLED = 30_000
 #: Runs of tokens and of shapes that are counted.
 TOKEN_ORDERS, SHAPE_ORDERS = (1, 2), (1, 3)
-#: Token buckets are 2**bits: about 32 a document between these bounds. Shapes have 2**SHAPE_BITS of their own.
-LEAST_BITS, MOST_BITS, SHAPE_BITS = 18, 22, 16
-#: Standard deviations that count as noise: of tokens, which are many, and of shapes.
-TOKEN_Z, SHAPE_Z = 2.5, 1.3
+#: Tokens and runs of them have 2**bits buckets for each order: about 8 a document between these bounds. Shapes have
+#: 2**SHAPE_BITS.
+LEAST_BITS, MOST_BITS, SHAPE_BITS = 18, 21, 16
+#: Standard deviations that count as noise: of each order of tokens, the more the more there are, and of shapes.
+TOKEN_Z, SHAPE_Z = (2.5, 7.0), 1.3
 MIN_RATIO, PRIOR = 0.7, 0.5
+#: The part of the good held-out documents that the level may lose.
+MOST_LOST = 0.01
 
 _CLASS = np.where(_IS_WORD, 1, 2).astype(np.int8)
 _CLASS[[9, 10, 11, 12, 13, 32]] = 0
@@ -72,19 +75,27 @@ def features(raw: np.ndarray, offsets: np.ndarray, bits: int = LEAST_BITS) -> tu
     token = spans_hash(_VALUE[raw], starts, ends)
     owner = np.searchsorted(offsets, starts, side="right") - 1
     texts, buckets = [], []
-    for values, orders, first, width in ((token, TOKEN_ORDERS, 0, bits), (_shapes(raw, starts, ends, token, owner), SHAPE_ORDERS, 1 << bits, SHAPE_BITS)):
-        for k in orders:
+    kinds = [(token, k, i << bits, bits) for i, k in enumerate(TOKEN_ORDERS)]
+    shapes = _shapes(raw, starts, ends, token, owner)
+    kinds += [(shapes, k, len(TOKEN_ORDERS) << bits, SHAPE_BITS) for k in SHAPE_ORDERS]
+    for values, k, first, width in kinds:
+        if len(values) >= k:
             h = grams(values, k)
             own = owner[: len(h)]
-            inside = own == owner[k - 1 :] if len(h) else np.zeros(0, bool)
+            inside = own == owner[k - 1 :]
             texts.append(own[inside])
             buckets.append(first + (h[inside] & np.uint64((1 << width) - 1)).astype(np.int64))
-    return np.concatenate(texts), np.concatenate(buckets)
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(texts or none), np.concatenate(buckets or none)
+
+
+def n_buckets(bits: int) -> int:
+    return (len(TOKEN_ORDERS) << bits) + (1 << SHAPE_BITS)
 
 
 def bucket_counts(docs: DataFrame, bits: int = LEAST_BITS) -> DataFrame:
     """Over all documents (text, is_target): documents and target documents with an n-gram in each bucket; bucket -1: all."""
-    every = (1 << bits) + (1 << SHAPE_BITS)
+    every = n_buckets(bits)
     wide = every.bit_length()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,14 +117,15 @@ def bucket_counts(docs: DataFrame, bits: int = LEAST_BITS) -> DataFrame:
 
 def log_ratios(counts: DataFrame, bits: int = LEAST_BITS) -> np.ndarray:
     """ln(target / raw) of each bucket from its counts; only those that say something come to the driver."""
-    out = np.zeros((1 << bits) + (1 << SHAPE_BITS), np.float32)
+    out = np.zeros(n_buckets(bits), np.float32)
     totals = counts.where("bucket = -1").first()
     if totals is None or not totals.n_target:
         return out
     share = totals.n_target / totals.n_raw
     expected = F.col("n_raw") * F.lit(share)
     ratio = F.log((F.col("n_target") + F.lit(PRIOR)) / (expected + F.lit(PRIOR)))
-    noise = F.when(F.col("bucket") < (1 << bits), F.lit(TOKEN_Z)).otherwise(F.lit(SHAPE_Z)) * F.sqrt(expected * F.lit(1 - share))
+    z = F.try_element_at(F.array(*map(F.lit, TOKEN_Z)), F.shiftright("bucket", bits) + 1)
+    noise = F.coalesce(z, F.lit(SHAPE_Z)) * F.sqrt(expected * F.lit(1 - share))
     told = counts.where("bucket >= 0").where((F.abs(F.col("n_target") - expected) >= noise) & (F.abs(ratio) >= MIN_RATIO))
     found = told.select("bucket", ratio.alias("ratio")).toArrow()  # at most one row a bucket
     out[np.asarray(found["bucket"].combine_chunks())] = np.asarray(found["ratio"].combine_chunks())
@@ -135,7 +147,7 @@ def log_weights(docs: DataFrame, ratios: np.ndarray, bits: int = LEAST_BITS) ->
 
 
 def level(scores: np.ndarray, good: np.ndarray) -> float:
-    """The middle of the levels that best tell good from bad by balanced accuracy; 0 if one kind is missing."""
+    """The middle of the levels that best tell good from bad by balanced accuracy, and lose MOST_LOST of the good at most; 0 if one kind is missing."""
     if not len(good) or good.all() or not good.any():
         return 0.0
     order = np.argsort(scores, kind="stable")
@@ -143,6 +155,7 @@ def level(scores: np.ndarray, good: np.ndarray) -> float:
     rejected_good = np.concatenate(([0], np.cumsum(g)))
     rejected_bad = np.concatenate(([0], np.cumsum(~g)))
     cuts = np.flatnonzero(np.concatenate(([True], s[1:] > s[:-1])))
+    cuts = cuts[rejected_good[cuts] <= MOST_LOST * g.sum()]
     balance = rejected_bad[cuts] / (~g).sum() - rejected_good[cuts] / g.sum()
     best = cuts[int(np.argmax(balance))]
     return float((s[best] + s[best - 1]) / 2) if best else float(s[0])
@@ -183,7 +196,7 @@ def select_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key:
     graded = graded.select("key", (F.col("fine") & ~F.col("toxic")).alias("good"), (F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(3)) == 0).alias("held_out"))
     graded = stored(graded.orderBy(F.xxhash64("key"), "key").limit(max_labelled))
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(32 * rows.count() + 1))))
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(8 * rows.count() + 1))))
     fitted = F.broadcast(graded.where("good and not held_out").select("key", F.lit(True).alias("is_target")))  # at most max_labelled keys
     counts = stored(bucket_counts(rows.join(fitted, "key", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target")), bits))
     scored = stored(log_weights(rows, log_ratios(counts, bits), bits))

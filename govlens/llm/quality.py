@@ -15,7 +15,6 @@ so many standard deviations of what the raw model expects, or within a factor ex
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +29,9 @@ from govlens.llm.decontamination import _IS_WORD, grams
 MAX_LABELLED = 30_000
 #: Runs of tokens and of shapes that are counted.
 TOKEN_ORDERS, SHAPE_ORDERS = (1, 2), (1, 3)
-#: Tokens and runs of them have 2**bits buckets for each order: about 8 a document between these bounds. Shapes have
-#: 2**SHAPE_BITS.
-LEAST_BITS, MOST_BITS, SHAPE_BITS = 18, 21, 16
+#: Tokens and runs of them have 2**BITS buckets for each order, shapes 2**SHAPE_BITS; a partition's counts are no more than
+#: its buckets.
+BITS, SHAPE_BITS = 20, 16
 #: Standard deviations that count as noise: of each order of tokens, the more the more there are, and of shapes.
 TOKEN_Z, SHAPE_Z = (2.5, 7.0), 1.3
 MIN_RATIO, PRIOR = 0.7, 0.5
@@ -60,7 +59,7 @@ def _shapes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, token: np.nda
     return mix(np.where(word, mix(case.astype(np.uint64)), symbol) + again)
 
 
-def features(raw: np.ndarray, offsets: np.ndarray, bits: int = LEAST_BITS) -> tuple[np.ndarray, np.ndarray]:
+def features(raw: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """(text number, bucket) of each n-gram. Tokens are runs of letters and digits, or of other visible characters."""
     n = len(raw)
     if not n:
@@ -93,7 +92,7 @@ def n_buckets(bits: int) -> int:
     return (len(TOKEN_ORDERS) << bits) + (1 << SHAPE_BITS)
 
 
-def bucket_counts(docs: DataFrame, bits: int = LEAST_BITS) -> DataFrame:
+def bucket_counts(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """Over all documents (text, is_target): documents and target documents with an n-gram in each bucket; bucket -1: all."""
     every = n_buckets(bits)
     wide = every.bit_length()
@@ -115,7 +114,7 @@ def bucket_counts(docs: DataFrame, bits: int = LEAST_BITS) -> DataFrame:
     return docs.mapInArrow(count, "bucket int, n_raw long, n_target long").groupBy("bucket").agg(F.sum("n_raw").alias("n_raw"), F.sum("n_target").alias("n_target"))
 
 
-def log_ratios(counts: DataFrame, bits: int = LEAST_BITS) -> np.ndarray:
+def log_ratios(counts: DataFrame, bits: int = BITS) -> np.ndarray:
     """ln(target / raw) of each bucket from its counts; only those that say something come to the driver."""
     out = np.zeros(n_buckets(bits), np.float32)
     totals = counts.where("bucket = -1").first()
@@ -132,9 +131,9 @@ def log_ratios(counts: DataFrame, bits: int = LEAST_BITS) -> np.ndarray:
     return out
 
 
-def log_weights(docs: DataFrame, ratios: np.ndarray, bits: int = LEAST_BITS) -> DataFrame:
+def log_weights(docs: DataFrame, ratios: np.ndarray, bits: int = BITS) -> DataFrame:
     """(key, log_weight, n_grams) of every document."""
-    sent = docs.sparkSession.sparkContext.broadcast(ratios)  # 4 bytes a bucket: 17 MB at MOST_BITS
+    sent = docs.sparkSession.sparkContext.broadcast(ratios)  # 4 bytes a bucket: 9 MB
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
@@ -196,10 +195,9 @@ def select_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key:
     graded = graded.select("key", (F.col("fine") & ~F.col("toxic")).alias("good"), (F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(3)) == 0).alias("held_out"))
     graded = stored(graded.orderBy(F.xxhash64("key"), "key").limit(max_labelled))
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(8 * rows.count() + 1))))
     fitted = F.broadcast(graded.where("good and not held_out").select("key", F.lit(True).alias("is_target")))  # at most max_labelled keys
-    counts = stored(bucket_counts(rows.join(fitted, "key", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target")), bits))
-    scored = stored(log_weights(rows, log_ratios(counts, bits), bits))
+    counts = stored(bucket_counts(rows.join(fitted, "key", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))))
+    scored = stored(log_weights(rows, log_ratios(counts)))
     held = scored.join(F.broadcast(graded.where("held_out")), "key").groupBy("key", "good").agg(F.min("log_weight").alias("log_weight")).toPandas()  # at most max_labelled keys
     cut = min(0.0, level(held["log_weight"].to_numpy(float), held["good"].to_numpy(bool)))
     draw = (F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 40)) + F.lit(0.5)) / F.lit(float(1 << 40))

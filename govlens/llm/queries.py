@@ -8,9 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from govlens.llm.collocations import collocations
 from govlens.llm.common import table
 from govlens.llm.decontamination import contamination
+from govlens.llm.divergence import source_divergence
 from govlens.llm.embedding_dedup import near_duplicates
+from govlens.llm.exact_packing import pack_exactly
 from govlens.llm.html_text import extract_text
 from govlens.llm.jaccard import jaccard_components
 from govlens.llm.line_dedup import dedup_lines
@@ -20,7 +23,7 @@ from govlens.llm.sharding import shard_documents
 from govlens.llm.suffix_dedup import remove_repeats
 from govlens.llm.tokens import token_counts
 
-TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+TOKENIZER, BYTE_TOKENIZER = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +69,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_dedup, op2_packing, op3_line_dedup, op4_html_text, op5_decontamination, op6_jaccard_join, op7_sharding, op8_suffix_dedup, op9_token_counts, op10_quality)}
+def op11_exact_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_exactly(table(spark, sf_dir, "documents"), BYTE_TOKENIZER)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+_ALL = [
+    *(op1_embedding_dedup, op2_packing, op3_line_dedup, op4_html_text, op5_decontamination, op6_jaccard_join, op7_sharding),
+    *(op8_suffix_dedup, op9_token_counts, op10_quality, op11_exact_packing, op12_source_divergence, op13_collocations),
+]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLES: dict[str, str] = {
@@ -116,4 +135,41 @@ covered AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnes
 named AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op12_source_divergence": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS c FROM t JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+gn AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY 1, 2),
+lc AS (SELECT lang, term, sum(c) AS c FROM c GROUP BY 1, 2),
+ln AS (SELECT lang, sum(c) AS n FROM c GROUP BY 1),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, CAST(1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 5)) // (coalesce(gn.n, 0) + 5 * v.v) AS BIGINT) AS p
+      FROM g JOIN kept k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term LEFT JOIN gn ON gn.lang = g.lang AND gn.source = g.source),
+q AS (SELECT lc.lang, lc.term, CAST(1 + (1000000000::HUGEINT * (lc.c + 5)) // (ln.n + 5 * v.v) AS BIGINT) AS q FROM lc JOIN ln USING (lang) JOIN v USING (lang)),
+summed AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN summed s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, p.p - q.q AS value FROM p JOIN q USING (lang, term) WHERE p.c > 0 AND p.p > q.q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50""",
+    "op13_collocations": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]') AS s FROM documents),
+s AS (SELECT lang, regexp_extract_all(unnest(s), '[^\x20\x09]+') AS w FROM d),
+u AS (SELECT lang, unnest(w) AS phrase FROM s),
+u1 AS (SELECT lang, phrase, count(*) AS f FROM u GROUP BY 1, 2),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM u1 GROUP BY 1),
+u2 AS (SELECT lang, x AS phrase, count(*) AS f FROM (SELECT lang, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS x FROM s WHERE len(w) > 1) GROUP BY 1, 2 HAVING count(*) >= 10),
+u3 AS (SELECT lang, x AS phrase, count(*) AS f FROM (SELECT lang, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS x FROM s WHERE len(w) > 2) GROUP BY 1, 2 HAVING count(*) >= 10),
+three AS (SELECT lang, phrase, f, string_split(phrase, ' ') AS w FROM u3),
+longer AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, f, w[1] || ' ' || w[2] AS phrase FROM three UNION ALL SELECT lang, f, w[2] || ' ' || w[3] FROM three) GROUP BY 1, 2),
+cuts AS (SELECT u2.lang, u2.phrase, u2.f AS a, 1 AS k, string_split(u2.phrase, ' ')[1] AS x, string_split(u2.phrase, ' ')[2] AS y FROM u2 LEFT JOIN longer l ON l.lang = u2.lang AND l.phrase = u2.phrase WHERE l.f IS NULL OR 100 * l.f < 50 * u2.f
+         UNION ALL SELECT lang, phrase, f, 1, w[1], w[2] || ' ' || w[3] FROM three UNION ALL SELECT lang, phrase, f, 2, w[1] || ' ' || w[2], w[3] FROM three),
+parts AS (SELECT * FROM u1 UNION ALL SELECT * FROM u2),
+scored AS (SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r, CAST((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score FROM cuts c JOIN parts x ON x.lang = c.lang AND x.phrase = c.x JOIN parts y ON y.lang = c.lang AND y.phrase = c.y),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM scored),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM lowest WHERE nth = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000""",
 }

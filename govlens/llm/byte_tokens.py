@@ -23,10 +23,22 @@ MAX_UNITS, LONG_UNIT, RUN = 400_000, 48, 512
 _ODD = [a + b for a in (b" ", b"\n") for b in (b" ", b"\n")] + [b"\t", b"\r", b"\x0b", b"\x0c", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"]
 _SEPARATORS = re.compile(rb"[\x1c-\x1f]")
 _RUNS = re.compile(r"\s*\S+|\s+")
+#: Keys that are encoded many at once: a line feed or nothing, then a character that is no white space, and no more of it.
+_JOINED = re.compile(rb"\n?[!-~\xc3-\xdf][^\s\xc2\xe1-\xe3]{0,%d}" % LONG_UNIT)
+#: In front of a key that is text as it stands. Other keys are words, with a line feed or else a space before them in the text.
+_AS_IS = b"  "
+
+
+def _spelled(key: bytes) -> bytes:
+    return key[2:] if key[:2] == _AS_IS else key if key[:1] == b"\n" else b" " + key
+
+
+def _key(unit: bytes) -> bytes:
+    return unit[1:] if unit[:1] == b" " and _JOINED.fullmatch(unit, 1) and unit[1:2] != b"\n" else _AS_IS + unit
 
 
 class ByteCodec:
-    """Encodes texts with one byte-level file. Units are keyed as they stand in the text, with the white space before them."""
+    """Encodes texts with one byte-level file, unit by unit."""
 
     _made: dict[str, "ByteCodec"] = {}
 
@@ -55,15 +67,16 @@ class ByteCodec:
         return cls._made[path]
 
     def units(self, text: bytes) -> list[bytes]:
-        """The text cut into units that are encoded alone; one unit where no cut is known to be safe."""
+        """The keys of the units that a text is cut into; one key where no cut is known to be safe."""
         if not text:
             return []
         if not self.known_kind or any(t in text for t in self.special) or _SEPARATORS.search(text):
-            return [text]
+            return [_AS_IS + text]
         if text[:1] in b" \n" or text[-1:] in b" \n" or any(t in text for t in _ODD):
-            return [u.encode() for u in _RUNS.findall(text.decode())]
-        first, *rest = text.replace(b"\n", b" \n").split(b" ")
-        return [first, *[u if u[:1] == b"\n" else b" " + u for u in rest]]
+            return [_key(u.encode()) for u in _RUNS.findall(text.decode())]
+        found = text.replace(b"\n", b" \n").split(b" ")
+        found[0] = _AS_IS + found[0]
+        return found
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """For each text its ids as little-endian unsigned 32-bit numbers."""
@@ -76,26 +89,35 @@ class ByteCodec:
             self.known.pop(unit, None)
 
     def _learn(self, new: set[bytes]) -> list[bytes]:
+        """Put the ids of all these keys into known; the long ones among them, to be forgotten."""
         if len(self.known) > MAX_UNITS:
             self.older, self.known = self.known, {}
-        new.difference_update(self.known)
-        again = new & self.older.keys()
-        self.known.update((u, self.older[u]) for u in again)
-        new -= again
-        joined = [u for u in new if len(u) <= LONG_UNIT and u[:1] in b" \n" and u.count(b" ") + u.count(b"\n") == 1 and u[1:].decode()[:1].strip() and not any(t in u for t in self.special)]
+        known, older = self.known, self.older
+        fresh = []
+        for key in new:
+            if key not in known:
+                if key in older:
+                    known[key] = older[key]
+                else:
+                    fresh.append(key)
+        rest, joined = [], []
+        for key in fresh:
+            (joined if _JOINED.fullmatch(key) else rest).append(key)
         for at in range(0, len(joined), RUN):
             part = joined[at : at + RUN]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([b"".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            whole = b"".join([k if k[:1] == b"\n" else b" " + k for k in part])
+            ids = np.asarray(self.tokenizer.encode_batch_fast([whole.decode()], add_special_tokens=False)[0].ids, "<u4")
             starts = (4 * np.flatnonzero(self.opens[ids])).tolist()
             if len(starts) == len(part):
                 data = ids.tobytes()
-                self.known.update((u, data[s:e]) for u, s, e in zip(part, starts, [*starts[1:], len(data)]))
-        rest = [u for u in new if u not in self.known]
+                known.update(zip(part, [data[s:e] for s, e in zip(starts, [*starts[1:], len(data)])]))
+            else:
+                rest += part
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
-            for unit, found in zip(part, self.tokenizer.encode_batch_fast([u.decode() for u in part], add_special_tokens=False)):
-                self.known[unit] = np.asarray(found.ids, "<u4").tobytes()
-        return [u for u in rest if len(u) > LONG_UNIT]
+            for key, found in zip(part, self.tokenizer.encode_batch_fast([_spelled(k).decode() for k in part], add_special_tokens=False)):
+                known[key] = np.asarray(found.ids, "<u4").tobytes()
+        return [k for k in rest if len(k) > LONG_UNIT]
 
 
 def encoded(column: pa.Array, path: str) -> Iterator[bytes]:

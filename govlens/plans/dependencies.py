@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from govlens.operators import cycles
+from govlens.operators import cycles, modules
 from govlens.plans.registry import query
 from govlens.sources import tables
 
@@ -42,3 +42,76 @@ def circular_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = supplier_edges(spark, sf_dir)
     facts = cycles.cycle_facts(edges, cycles.strong_components(edges))
     return facts.withColumn("violated", F.col("cycles") > 0)  # the book's threshold is none
+
+
+_AT = "concat('repo/n', s_nationkey, '/', element_at(array('orders-api', 'shop.domain', 'web-client', 'tests', 'kit', 'io.worker'), CAST(s_suppkey % 6 AS INT) + 1), s_suppkey)"
+_LIB = "concat('lib', CAST((s_suppkey * {a} + {b}) % 60 AS STRING))"
+_A, _B, _C = (_LIB.format(a=a, b=b) for a, b in ((3, 0), (7, 1), (11, 5)))
+#: A manifest for each supplier, in four formats; some are broken, and what they declare repeats here and there.
+_MANIFEST_NAME = "CASE s_suppkey % 4 WHEN 0 THEN 'package.json' WHEN 1 THEN 'pom.xml' WHEN 2 THEN concat('P', s_suppkey, '.csproj') ELSE 'requirements.txt' END"
+_MANIFEST_TEXT = f"""CASE WHEN s_suppkey % 17 = 3 THEN '<{{' ELSE CASE s_suppkey % 4
+ WHEN 0 THEN concat('{{"name": "', CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE s_name END, '", "dependencies": {{"', {_A}, '": "^1.', s_nationkey, '.0", "', CASE WHEN s_suppkey % 5 = 0 THEN 'react' ELSE {_B} END, '": "workspace:*"}}, "devDependencies": {{"', {_C}, '": "1.0.', s_nationkey, '"}}}}')
+ WHEN 1 THEN concat('<project><artifactId>art-', s_suppkey, '</artifactId>', CASE WHEN s_suppkey % 3 = 0 THEN '<packaging>war</packaging>' ELSE '' END, '<dependencies><dependency><groupId>', {_A}, '</groupId><artifactId>a</artifactId><version>', s_nationkey, '.1</version></dependency></dependencies></project>')
+ WHEN 2 THEN concat('<Project Sdk="Microsoft.NET.Sdk', CASE WHEN s_suppkey % 3 = 0 THEN '.Web' ELSE '' END, '"><PropertyGroup><OutputType>', CASE WHEN s_suppkey % 5 = 0 THEN 'Exe' ELSE 'Library' END, '</OutputType></PropertyGroup><ItemGroup><PackageReference Include="', {_A}, '" Version="2.', s_nationkey, '.0"/><PackageReference Include="', {_B}, '" Version="3.0.0"/></ItemGroup></Project>')
+ ELSE concat('# needs', chr(10), {_A}, '>=1.', s_nationkey, chr(10), {_B}, chr(10), '-r other.txt', chr(10), {_C}, '==2.0 # pinned') END END"""
+_FILE_TEXT = "CASE l_suppkey % 4 WHEN 0 THEN concat('import x from ', chr(39), 'lib', CAST(l_partkey % 60 AS STRING), chr(39), ';') WHEN 1 THEN concat('import lib', CAST(l_partkey % 60 AS STRING), '.Kit;') WHEN 2 THEN concat('using lib', CAST(l_partkey % 60 AS STRING), '.Deep;') ELSE concat('from lib', CAST(l_partkey % 60 AS STRING), '.x import y') END"
+_FILE_EXT = "CASE l_suppkey % 4 WHEN 0 THEN 'ts' WHEN 1 THEN 'java' WHEN 2 THEN 'cs' ELSE 'py' END"
+
+
+def repository_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest for each supplier and a source file below it for each line item."""
+    supplier, line = tables.read(spark, sf_dir, "supplier"), tables.read(spark, sf_dir, "lineitem")
+    at = supplier.selectExpr("s_suppkey", f"{_AT} AS folder")
+    written = supplier.selectExpr(f"concat({_AT}, '/', {_MANIFEST_NAME}) AS path", f"{_MANIFEST_TEXT} AS text")
+    rows = line.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey").distinct().join(at, F.col("l_suppkey") == F.col("s_suppkey"))
+    return written.unionByName(rows.selectExpr(f"concat(folder, '/src/f', l_orderkey, '_', l_linenumber, '_', l_partkey, '.', {_FILE_EXT}) AS path", f"{_FILE_TEXT} AS text"))
+
+
+_REPOSITORY = f"""WITH m AS (SELECT *, {_AT.replace("element_at(array(", "list_extract(list_value(")} AS folder, {_MANIFEST_NAME} AS file, {_MANIFEST_TEXT} AS text, s_suppkey % 17 = 3 AND s_suppkey % 4 <> 3 AS broken,
+ CASE s_suppkey % 4 WHEN 0 THEN 'npm' WHEN 1 THEN 'maven' WHEN 2 THEN 'dotnet' ELSE 'pip' END AS format FROM supplier),
+named AS (SELECT *, {_A} AS a, {_B} AS b, {_C} AS c, folder || '/' || file AS path FROM m WHERE s_suppkey % 17 <> 3),
+declared AS (SELECT path, folder, format, 'dependencies' AS section, a AS name, '^1.' || s_nationkey || '.0' AS spec FROM named WHERE format = 'npm'
+ UNION ALL SELECT path, folder, format, 'dependencies', CASE WHEN s_suppkey % 5 = 0 THEN 'react' ELSE b END, NULL FROM named WHERE format = 'npm'
+ UNION ALL SELECT path, folder, format, 'devDependencies', c, '1.0.' || s_nationkey FROM named WHERE format = 'npm'
+ UNION ALL SELECT path, folder, format, 'references', a || ':a', s_nationkey || '.1' FROM named WHERE format = 'maven'
+ UNION ALL SELECT path, folder, format, 'references', a, '2.' || s_nationkey || '.0' FROM named WHERE format = 'dotnet' UNION ALL SELECT path, folder, format, 'references', b, '3.0.0' FROM named WHERE format = 'dotnet'
+ UNION ALL SELECT path, folder, format, 'requirements', a, '>=1.' || s_nationkey FROM named WHERE format = 'pip' UNION ALL SELECT path, folder, format, 'requirements', b, NULL FROM named WHERE format = 'pip'
+ UNION ALL SELECT path, folder, format, 'requirements', c, '==2.0' FROM named WHERE format = 'pip'),
+used AS (SELECT DISTINCT folder, 'lib' || l_partkey % 60 AS name FROM lineitem JOIN m ON l_suppkey = s_suppkey),
+held AS (SELECT folder, count(DISTINCT (l_orderkey, l_linenumber, l_partkey)) AS n FROM lineitem JOIN m ON l_suppkey = s_suppkey GROUP BY 1)"""
+
+
+def _manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    files = repository_files(spark, sf_dir)
+    return files, modules.manifests(files)
+
+
+@query(_REPOSITORY + " SELECT path, format, section, name, spec FROM declared")
+def declared_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modules.declared_references(_manifests(spark, sf_dir)[1]).drop("folder")
+
+
+@query(_REPOSITORY + """ SELECT format, count(*) AS manifests, count(*) FILTER (broken) AS parse_failures, CAST((SELECT count(*) FROM declared d WHERE d.format = m.format) AS BIGINT) AS "references", CAST((SELECT count(spec) FROM declared d WHERE d.format = m.format) AS BIGINT) AS versions FROM m GROUP BY format""")
+def manifest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modules.manifest_counts(_manifests(spark, sf_dir)[1])
+
+
+@query(
+    _REPOSITORY
+    + """, facts AS (SELECT * FROM m WHERE format <> 'pip')
+SELECT f.folder, CASE WHEN broken THEN regexp_replace(file, '[.][^.]*$', '') WHEN format = 'maven' THEN 'art-' || s_suppkey WHEN format = 'npm' AND s_suppkey % 3 > 0 THEN s_name ELSE regexp_replace(file, '[.][^.]*$', '') END AS name,
+ f.folder || '/' || file AS project_file, CASE s_suppkey % 6 WHEN 1 THEN 'Domain' WHEN 2 THEN 'Presentation' WHEN 5 THEN 'Infrastructure' ELSE 'Unknown' END AS type,
+ CASE WHEN broken THEN 'Unknown' WHEN format = 'dotnet' THEN CASE WHEN s_suppkey % 3 = 0 THEN 'WebApplication' WHEN s_suppkey % 5 = 0 THEN 'Executable' ELSE 'ClassLibrary' END
+      WHEN format = 'maven' THEN CASE WHEN s_suppkey % 3 = 0 THEN 'WebApplication' ELSE 'JavaProject' END WHEN s_suppkey % 5 = 0 THEN 'FrontendApplication' ELSE 'NodePackage' END AS kind,
+ CASE WHEN broken THEN NULL WHEN format = 'dotnet' THEN CASE WHEN s_suppkey % 3 = 0 THEN 'ASP.NET Core' ELSE '.NET' END WHEN format = 'maven' THEN 'Java' WHEN s_suppkey % 5 = 0 THEN 'React' ELSE 'Node.js' END AS framework,
+ CASE WHEN broken THEN '' WHEN format = 'dotnet' THEN CASE WHEN s_suppkey % 3 = 0 THEN 'ASP.NET Core' ELSE '.NET' END WHEN format = 'maven' THEN 'Java' WHEN s_suppkey % 5 = 0 THEN 'React' ELSE 'Node.js' END AS frameworks,
+ CASE WHEN coalesce(n, 0) = 0 THEN '' ELSE CASE format WHEN 'npm' THEN 'TypeScript' WHEN 'maven' THEN 'Java' ELSE 'C#' END END AS languages, coalesce(n, 0) + 1 AS n_files
+FROM facts f LEFT JOIN held h ON h.folder = f.folder"""
+)
+def project_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modules.project_modules(*_manifests(spark, sf_dir))
+
+
+@query(_REPOSITORY + """ SELECT d.path, d.format, d.name FROM declared d WHERE d.folder IN (SELECT folder FROM held) AND NOT EXISTS (SELECT 1 FROM used u WHERE u.folder = d.folder AND u.name = regexp_extract(d.name, '^[^:]+'))""")
+def unused_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return modules.unused_references(*_manifests(spark, sf_dir)).drop("folder")

@@ -66,3 +66,67 @@ def test_colouring_finds_the_same_components(spark, limit):
     rnd = random.Random(3)
     edges = [("a", rnd.randrange(9), rnd.randrange(9)) for _ in range(12)] + [("b", i, (i + 1) % 4) for i in range(4)] + [("p", 7, 1), ("p", 6, 6)]
     assert rows_of(cycles.strong_components(table(spark, edges), task_edges=limit)) == plain(edges)
+
+
+FILES = [
+    ("repo/client/package.json", '{"name": "@sample/client-app", "dependencies": {"react": "^18.2.0", "left-pad": "1.3.0", "@scope/kit": "workspace:*"}, "devDependencies": {"x": 5, "vue": " ~3.1 "}}'),
+    ("repo/client/src/a.tsx", "import React from 'react';\nimport { k } from \"@scope/kit/deep\";\nimport './local';\n"),
+    ("repo/api/pom.xml", '<project xmlns="http://m"><parent><artifactId>parent</artifactId></parent><artifactId> sample-api </artifactId><packaging>war</packaging><dependencies><dependency><groupId>org.kit</groupId><artifactId>kit</artifactId><version>1.2</version></dependency></dependencies></project>'),
+    ("repo/api/src/B.java", "package a;\nimport static org.kit.B.c;\n"),
+    ("repo/Core/Shop.Domain.csproj", '<Project Sdk="Microsoft.NET.Sdk"><PropertyGroup><TargetFramework>net9.0</TargetFramework></PropertyGroup><ItemGroup><PackageReference Include="Polly" Version="8.0.0"/><PackageReference Include="Serilog"/></ItemGroup></Project>'),
+    ("repo/Core/package.json", '{"dependencies": {}}'),
+    ("repo/Core/D.cs", "using Polly.Retry;\nusing System;\n"),
+    ("repo/Core/tests/unit/U.csproj", '<Project Sdk="Microsoft.NET.Sdk"><ItemGroup><PackageReference Include="xunit.core" Version="2.0"/></ItemGroup></Project>'),
+    ("repo/Core/tests/unit/t.cs", None),
+    ("repo/web/W.csproj", '<Project Sdk="Microsoft.NET.Sdk.Web"></Project>'),
+    ("repo/web/pages/p.razor", "x"),
+    ("repo/bad/package.json", '{"dependencies": ["a"]}'),
+    ("repo/bad2/package.json", "{"),
+    ("repo/bad3/pom.xml", "<project>"),
+    ("repo/py/requirements.txt", "requests[socks]>=2.1 # why\n# no\n-r other.txt\nscikit-learn\npkg @ https://x\nflask==1.0; python_version<'3'\n"),
+    ("repo/py/m.py", "import requests\nfrom flask.app import x\nfrom . import y\n"),
+    ("repo/readme.md", "no manifest"),
+]
+
+
+@pytest.fixture(scope="module")
+def repository(spark):
+    from govlens.operators import modules
+
+    files = spark.createDataFrame(FILES, "path string, text string")
+    return files, modules.manifests(files).cache()
+
+
+def test_modules_are_named_and_typed_by_their_manifests(repository):
+    from govlens.operators import modules
+
+    files, found = repository
+    rows = {r.folder: (r.name, r.type, r.kind, r.framework, r.frameworks, r.languages, r.n_files) for r in modules.project_modules(files, found).collect()}
+    assert rows == {
+        "repo/client": ("@sample/client-app", "Client", "FrontendApplication", "Multi-Framework", "React, Vue", "TypeScript", 2),
+        "repo/api": ("sample-api", "Api", "WebApplication", "Java", "Java", "Java", 2),
+        "repo/Core": ("Shop.Domain", "Domain", "ClassLibrary", ".NET", ".NET", "C#", 3),
+        "repo/Core/tests/unit": ("U", "Test", "Test", ".NET", ".NET", "C#", 2),
+        "repo/web": ("W", "Presentation", "WebApplication", "Multi-Framework", "ASP.NET Core, Blazor", "", 2),
+        "repo/bad": ("package", "Unknown", "Unknown", None, "", "", 1), "repo/bad2": ("package", "Unknown", "Unknown", None, "", "", 1), "repo/bad3": ("pom", "Unknown", "Unknown", None, "", "", 1),
+    }
+
+
+def test_references_are_declared_counted_and_unused(repository):
+    from govlens.operators import modules
+
+    files, found = repository
+    assert {(r.path.split("/")[1], r.name, r.spec) for r in modules.declared_references(found).collect()} == {
+        ("client", "react", "^18.2.0"), ("client", "left-pad", "1.3.0"), ("client", "@scope/kit", None), ("client", "vue", "~3.1"), ("api", "org.kit:kit", "1.2"), ("Core", "Polly", "8.0.0"), ("Core", "Serilog", None),
+        ("Core", "xunit.core", "2.0"), ("py", "requests", ">=2.1"), ("py", "scikit-learn", None), ("py", "flask", "==1.0"),
+    }
+    assert {tuple(r) for r in modules.manifest_counts(found).collect()} == {("npm", 4, 2, 4, 3), ("maven", 2, 1, 1, 1), ("dotnet", 3, 0, 3, 2), ("pip", 1, 0, 3, 2)}
+    assert {(r.folder, r.name) for r in modules.unused_references(files, found).collect()} == {("repo/client", "left-pad"), ("repo/client", "vue"), ("repo/Core", "Serilog"), ("repo/Core/tests/unit", "xunit.core"), ("repo/py", "scikit-learn")}
+
+
+@pytest.mark.parametrize("name, kind", [("tests", "Test"), ("shop.http.errors", "Infrastructure"), ("shop.errors", "Contracts"), ("orders.api", "Api"), ("a.io.b", "Infrastructure"), ("my-web", "Presentation"), ("zzz", "Unknown")])
+def test_types_by_name(spark, name, kind):
+    from govlens.operators.modules import type_of_name
+    from pyspark.sql import functions as F
+
+    assert spark.range(1).select(type_of_name(F.lit(name))).first()[0] == kind

@@ -81,22 +81,25 @@ class ByteCodec:
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """For each text its ids as little-endian unsigned 32-bit numbers."""
         cut = [self.units(t) for t in texts]
-        found = [list(map(self.known.get, units)) for units in cut]
-        passing = self._learn({u for units, ids in zip(cut, found) if None in ids for u, x in zip(units, ids) if x is None})
-        known = self.known
-        for units, ids in zip(cut, found):
-            yield b"".join([known[u] if x is None else x for u, x in zip(units, ids)] if None in ids else ids)
+        passing = self._learn(set().union(*cut) if cut else set())
+        look = self.known.__getitem__
+        for units in cut:
+            yield b"".join(map(look, units))
         for unit in passing:
-            known.pop(unit, None)
+            self.known.pop(unit, None)
 
     def _learn(self, new: set[bytes]) -> list[bytes]:
-        """Put the ids of keys that aren't known into known; the long ones among them, to be forgotten."""
+        """Put the ids of all these keys into known; the long ones among them, to be forgotten."""
         if len(self.known) > MAX_UNITS:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
-        again = new & older.keys()
-        known.update([(key, older[key]) for key in again])
-        fresh = new - again
+        fresh = []
+        for key in new:
+            if key not in known:
+                if key in older:
+                    known[key] = older[key]
+                else:
+                    fresh.append(key)
         rest, joined = [], []
         for key in fresh:
             (joined if _JOINED.fullmatch(key) else rest).append(key)

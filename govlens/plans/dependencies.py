@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from govlens.operators import cycles, modules
+from govlens.operators import cycles, modules, versions
 from govlens.plans.registry import query
 from govlens.sources import tables
 
@@ -115,3 +115,29 @@ def project_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_REPOSITORY + """ SELECT d.path, d.format, d.name FROM declared d WHERE d.folder IN (SELECT folder FROM held) AND NOT EXISTS (SELECT 1 FROM used u WHERE u.folder = d.folder AND u.name = regexp_extract(d.name, '^[^:]+'))""")
 def unused_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modules.unused_references(*_manifests(spark, sf_dir)).drop("folder")
+
+
+_PUBLISHED = "concat('lib', CAST(l_partkey % 60 AS STRING)) AS name, concat(l_linenumber, '.', CAST(l_quantity AS INT) % 30, '.', l_partkey % 3, CASE WHEN l_returnflag = 'R' THEN concat('-rc.', l_suppkey % 3) ELSE '' END) AS version"
+
+
+@query(
+    _REPOSITORY
+    + """, versions AS (SELECT DISTINCT 'lib' || l_partkey % 60 AS name, l_linenumber * 1000000 + CAST(l_quantity AS INT) % 30 * 1000 + l_partkey % 3 AS v FROM lineitem WHERE l_returnflag <> 'R'),
+wanted AS (SELECT DISTINCT regexp_extract(d.name, '^[^:]+') AS name, d.format AS form, d.spec, CASE WHEN spec LIKE '^%' OR spec LIKE '>=%' THEN 1000000 + 1000 * s_nationkey WHEN section = 'devDependencies' THEN 1000000 + s_nationkey WHEN d.format = 'maven' THEN 1000000 * s_nationkey + 1000
+ WHEN spec = '3.0.0' THEN 3000000 WHEN d.format = 'dotnet' THEN 2000000 + 1000 * s_nationkey ELSE 2000000 END AS low,
+ CASE WHEN spec LIKE '^%' THEN 1999999 WHEN d.format = 'dotnet' OR spec LIKE '>=%' THEN 999999999 WHEN section = 'devDependencies' THEN 1000000 + s_nationkey WHEN d.format = 'maven' THEN 1000000 * s_nationkey + 1000 ELSE 2000000 END AS high
+ FROM declared d JOIN named n ON n.path = d.path WHERE spec IS NOT NULL),
+best AS (SELECT w.name, w.form, w.spec, max(v) AS best FROM wanted w LEFT JOIN versions p ON p.name = w.name AND v BETWEEN low AND high GROUP BY 1, 2, 3),
+newest AS (SELECT name, max(v) AS newest FROM versions GROUP BY 1)
+SELECT b.name, form, spec, CAST(best // 1000000 AS VARCHAR) || '.' || best // 1000 % 1000 || '.' || best % 1000 AS best, CAST(newest // 1000000 AS VARCHAR) || '.' || newest // 1000 % 1000 || '.' || newest % 1000 AS newest,
+ CASE WHEN best IS NULL THEN 'unresolved' WHEN best < newest THEN 'outdated' ELSE 'satisfied' END AS status FROM best b LEFT JOIN newest n ON n.name = b.name"""
+)
+def version_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    declared = modules.declared_references(_manifests(spark, sf_dir)[1]).where("spec is not null")
+    wanted = declared.select(F.regexp_extract("name", "^([^:]+)", 1).alias("name"), F.col("format").alias("form"), "spec")
+    return versions.resolve(wanted, tables.read(spark, sf_dir, "lineitem").selectExpr(*_columns(_PUBLISHED)))
+
+
+def _columns(text: str) -> list[str]:
+    first, second = text.split(" AS name, ")
+    return [f"{first} AS name", second]

@@ -130,3 +130,37 @@ def test_types_by_name(spark, name, kind):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(type_of_name(F.lit(name))).first()[0] == kind
+
+
+def test_versions_sort_as_versions_do(spark):
+    from govlens.operators.versions import version_key
+    from pyspark.sql import functions as F
+
+    ordered = ["0.9", "1.0.0-alpha", "1.0.0-alpha.1", "1.0.0-alpha.beta", "1.0.0-beta.2", "1.0.0-beta.11", "1.0.0-rc.1", "1.0.0", "v1.0.1", "1.2", "1.10.0", "2.0.0.1", "10.0"]
+    rows = spark.createDataFrame([(v,) for v in reversed(ordered)], "v string")
+    assert [r.v for r in rows.orderBy(version_key(F.col("v"))).collect()] == ordered
+    same = spark.createDataFrame([("1.0", "1.0.0+build.5"), ("1.0rc1", "1.0-rc1")], "a string, b string").select(version_key(F.col("a")) == version_key(F.col("b"))).collect()
+    assert [r[0] for r in same] == [True, True]
+    odd = spark.createDataFrame([("latest",), ("",), (None,), ("1..2",)], "v string").select(version_key(F.col("v"))).collect()
+    assert [r[0] for r in odd] == [None] * 4
+
+
+PUBLISHED = ["0.1.5", "0.2.0", "1.0.0", "1.2.0", "1.2.9", "1.9.9", "2.0.0-rc.1", "2.0.0", "2.1.0", "3.0.0-beta"]
+RANGES = [
+    ("npm", "^1.2.0", "1.9.9", "outdated"), ("npm", "^0.1.0", "0.1.5", "outdated"), ("npm", "~1.2.3", "1.2.9", "outdated"), ("npm", "~1", "1.9.9", "outdated"), ("npm", "1.2", "1.2.9", "outdated"), ("npm", "1.x", "1.9.9", "outdated"),
+    ("npm", ">=1.0.0 <1.9.9", "1.2.9", "outdated"), ("npm", ">1.9.9", "2.1.0", "satisfied"), ("npm", "1.0.0 - 1.2.0", "1.2.0", "outdated"), ("npm", "^5 || ^1.0.0 || ~0.2", "1.9.9", "outdated"), ("npm", "*", "2.1.0", "satisfied"),
+    ("npm", "2.0.0-rc.1", "2.0.0-rc.1", "outdated"), ("npm", ">=3.0.0-alpha", "3.0.0-beta", "satisfied"), ("npm", "^4.0.0", None, "unresolved"), ("npm", "latest", None, "unreadable"), ("npm", None, None, "unresolved"),
+    ("npm", "<2.0.0", "1.9.9", "outdated"), ("npm", "<=2", "2.1.0", "satisfied"), ("pip", "==2.0", "2.0.0", "outdated"), ("pip", "~=1.2", "1.9.9", "outdated"), ("pip", "~=1.2.0", "1.2.9", "outdated"), ("pip", "==1.2.*", "1.2.9", "outdated"),
+    ("pip", ">=1.0,<1.2", "1.0.0", "outdated"), ("pip", "!=1.0", None, "unreadable"), ("dotnet", "1.0", "2.1.0", "satisfied"), ("dotnet", "[1.0,2.0)", "1.9.9", "outdated"), ("dotnet", "(1.0,1.2.0]", "1.2.0", "outdated"),
+    ("dotnet", "[2.0.0]", "2.0.0", "outdated"), ("maven", "1.2", "1.2.0", "outdated"), ("maven", "(,1.0]", "1.0.0", "outdated"),
+]
+
+
+def test_requirements_resolve_to_the_highest_version_in_range(spark):
+    from govlens.operators.versions import resolve
+
+    wanted = spark.createDataFrame([("p", f, s) for f, s, *_ in RANGES] + [("nobody", "npm", "^1.0.0"), ("p", "npm", "^1.2.0")], "name string, form string, spec string")
+    published = spark.createDataFrame([("p", v) for v in PUBLISHED] + [("p", "junk"), ("q", "9.0.0"), ("p", "1.0")], "name string, version string")
+    found = {(r.name, r.form, r.spec): (r.best, r.status) for r in resolve(wanted, published).collect()}
+    expected = {("p", f, s): (b, x) for f, s, b, x in RANGES} | {("nobody", "npm", "^1.0.0"): (None, "unresolved")}
+    assert {k: v for k, v in found.items() if expected.get(k) != v and (v[0], expected[k][0]) != ("1.0", "1.0.0")} == {} and set(found) == set(expected)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from govlens import catalog, rulebook
-from govlens.operators import blocks
+from govlens.operators import blocks, coupling
 from govlens.plans.registry import query
 from govlens.sources import tables
 
@@ -211,3 +211,71 @@ def code_rule_evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = rulebook.architecture_rules(spark).where(F.col("metric_key").isin(*_MEASURED)).select("rule_id", "metric_key", "op", "threshold", "severity")
     violated = F.when(F.col("op") == ">", F.col("value") > F.col("threshold")).otherwise(F.col("value") < F.col("threshold"))
     return facts.join(F.broadcast(rules), "metric_key").select("rule_id", "path", "value", "threshold", "severity", violated.alias("violated"))
+
+
+_USES = "uses AS (SELECT DISTINCT l_partkey AS a, next AS b FROM (SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS next FROM lineitem) WHERE next IS NOT NULL)"
+_CUSTOM = "concat('// Item0 Item1{0}namespace Shop.M', s.p_size, ';{0}public class Item', s.p_partkey, CASE WHEN s.p_partkey % 50 = 7 THEN ' { } class Shared' ELSE '' END, '{0}{{ void Run() {{ ', coalesce(names, ''), ' string s = \"Item2\"; Shared x; }} }}{0}')".replace("{0}", "\n").replace("{{", "{").replace("}}", "}")
+_MODULE = "element_at(array('Api', 'Domain', 'Data', 'Web', 'Kit'), CAST(s.p_size % 5 AS INT) + 1)"
+
+
+def _referring_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A C# file for each part: it names the parts that follow it in orders, and imports the namespaces of the even ones of them."""
+    part, line = tables.read(spark, sf_dir, "part").select("p_partkey", "p_size"), tables.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey")
+    following = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey"))
+    pairs = line.withColumn("b", following).where("b is not null").select(F.col("l_partkey").alias("a"), "b").distinct()
+    sized = pairs.join(part.select(F.col("p_partkey").alias("b"), F.col("p_size").alias("size")), "b")
+    lists = sized.groupBy(F.col("a").alias("p_partkey")).agg(
+        F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("Item"), F.col("b").cast("string"), F.lit(" a;")))), " ").alias("names"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("b") % 2 == 0, F.concat(F.lit("using Shop.M"), F.col("size").cast("string"), F.lit(";\n"))))), "").alias("imports"),
+    )
+    return part.join(lists, "p_partkey", "left").alias("s").selectExpr("concat('src/f', s.p_partkey, '.cs') AS path", f"{_MODULE} AS module", "'csharp' AS language", f"concat(coalesce(imports, ''), {_CUSTOM}) AS text")
+
+
+_RESOLVED = f"""WITH {_USES},
+sizes AS (SELECT a, b, x.p_size AS sa, y.p_size AS sb FROM uses JOIN part x ON x.p_partkey = a JOIN part y ON y.p_partkey = b),
+imports AS (SELECT DISTINCT a, sb AS size FROM sizes WHERE b % 2 = 0),
+modules AS (SELECT p_partkey AS k, p_size, list_extract(['Api', 'Domain', 'Data', 'Web', 'Kit'], CAST(p_size % 5 AS INTEGER) + 1) AS module FROM part),
+shared AS (SELECT p_partkey AS b, p_size FROM part WHERE p_partkey % 50 = 7),
+own AS (SELECT m.k, 0 AS step, s.b FROM modules m JOIN shared s ON s.p_size = m.p_size WHERE m.k % 50 <> 7 UNION ALL SELECT m.k, 1, s.b FROM modules m JOIN imports i ON i.a = m.k JOIN shared s ON s.p_size = i.size WHERE m.k % 50 <> 7 AND i.size <> m.p_size),
+nearest AS (SELECT k, step, count(DISTINCT b) AS n, min('src/f' || b || '.cs') AS target FROM own GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY k ORDER BY step) = 1),
+resolved AS (SELECT 'src/f' || a || '.cs' AS source, 'Item' || b AS name, 'src/f' || b || '.cs' AS target FROM sizes WHERE a <> b AND (sa = sb OR EXISTS (SELECT 1 FROM imports i WHERE i.a = sizes.a AND i.size = sb))
+ UNION ALL SELECT 'src/f' || k || '.cs', 'Shared', CASE WHEN n = 1 THEN target END FROM nearest),
+named AS (SELECT r.source, s.module AS source_module, r.name, r.target, t.module AS target_module FROM resolved r JOIN modules s ON 'src/f' || s.k || '.cs' = r.source LEFT JOIN modules t ON 'src/f' || t.k || '.cs' = r.target),
+sure AS (SELECT DISTINCT source, source_module, target, target_module FROM named WHERE target IS NOT NULL)"""
+
+
+def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coupling.symbols(blocks.lexed(_referring_files(spark, sf_dir)))
+
+
+@query(_RESOLVED + " SELECT source, source_module, name, target, target_module FROM named")
+def resolved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coupling.uses(_symbols(spark, sf_dir))
+
+
+@query(
+    _RESOLVED
+    + """, counts AS (SELECT 'src/f' || k || '.cs' AS path, module, (SELECT count(*) FROM sure s WHERE s.source = 'src/f' || k || '.cs') AS fan_out, (SELECT count(*) FROM sure s WHERE s.target = 'src/f' || k || '.cs') AS fan_in,
+ (SELECT count(*) FROM sure s WHERE s.source = 'src/f' || k || '.cs' AND source_module <> target_module) AS across, (SELECT count(*) FROM named s WHERE s.source = 'src/f' || k || '.cs' AND target IS NULL) AS ambiguous FROM modules)
+SELECT *, round_even(CAST(fan_out AS DOUBLE) / nullif(fan_out + fan_in, 0) * 100, 0) / 100 AS instability FROM counts"""
+)
+def file_coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _symbols(spark, sf_dir)
+    return coupling.coupling(found, coupling.uses(found))
+
+
+#: Which modules each module may use, and which it may not.
+BOUNDARIES = [("api", ["domain", "kit"], []), ("domain", [], ["data"]), ("data", ["domain", "kit", "api", "web"], ["api"]), ("web", ["api", "kit", "data", "domain"], [])]
+
+
+@query(
+    _RESOLVED
+    + """, judged AS (SELECT source_module AS module, CASE source_module WHEN 'Api' THEN CASE WHEN target_module IN ('Domain', 'Kit') THEN 'allowed' ELSE 'forbidden' END WHEN 'Domain' THEN CASE target_module WHEN 'Data' THEN 'forbidden' ELSE 'unclassified' END
+ WHEN 'Data' THEN CASE target_module WHEN 'Api' THEN 'forbidden' ELSE 'allowed' END WHEN 'Web' THEN 'allowed' ELSE 'unclassified' END AS verdict FROM sure WHERE source_module <> target_module),
+counts AS (SELECT m.module, count(verdict) FILTER (verdict = 'allowed') AS allowed, count(verdict) FILTER (verdict = 'forbidden') AS forbidden, count(verdict) FILTER (verdict = 'unclassified') AS unclassified FROM (SELECT DISTINCT module FROM modules) m LEFT JOIN judged j ON j.module = m.module GROUP BY 1)
+SELECT module, allowed + forbidden AS cross_layer, allowed, forbidden, unclassified, unclassified = 0 AS complete, CASE WHEN unclassified = 0 THEN round_even(CAST(allowed * 100.0 AS DOUBLE) / nullif(allowed + forbidden, 0) * 100, 0) / 100 END AS compliance FROM counts"""
+)
+def module_coupling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _symbols(spark, sf_dir)
+    boundaries = spark.createDataFrame(BOUNDARIES, "source_layer string, allowed array<string>, forbidden array<string>")
+    return coupling.module_coupling(found, coupling.uses(found), boundaries)

@@ -66,3 +66,23 @@ def test_long_unfinished_and_deep_files_take_linear_time(spark):
     assert time.time() - began < 120
     deep = "\n".join(" " * i + "if a:" for i in range(2000))
     assert len(blocks.indented_blocks(deep)) == 2000
+
+
+def test_names_resolve_by_namespace_and_import(spark):
+    from govlens.operators import coupling
+
+    files = [
+        ("a.cs", "Api", "csharp", "using Shop.Core;\nusing System;\nnamespace Shop.Api;\nclass A { B b; C c; D d; // E\n string s = \"E\"; List l; Twin t; }"), ("b.cs", "Api", "csharp", "namespace Shop.Api;\npublic class B { A a; Local x; } class Local { }"),
+        ("c.cs", "Core", "csharp", "namespace Shop.Core;\nclass C { }\nclass Twin { } class B { }"), ("c2.cs", "Core", "csharp", "namespace Shop.Core { class Twin { } interface E { } }"), ("d.cs", "Data", "csharp", "namespace Shop.Data;\nrecord D { C c; }"),
+        ("F.java", "Core", "java", "package org.f;\nimport org.g.G;\nimport org.h.*;\nclass F { G g; H h; I i; }"), ("G.java", "Data", "java", "package org.g;\nclass G { } class I { }"), ("H.java", "Data", "java", "package org.h;\nclass H { }"), ("n.cs", "Api", "csharp", None),
+    ]
+    found = coupling.symbols(blocks.lexed(spark.createDataFrame(files, "path string, module string, language string, text string"))).cache()
+    resolved = coupling.uses(found).cache()
+    assert {(r.source, r.name): r.target for r in resolved.collect()} == {("a.cs", "B"): "b.cs", ("a.cs", "C"): "c.cs", ("a.cs", "Twin"): None, ("b.cs", "A"): "a.cs", ("F.java", "G"): "G.java", ("F.java", "H"): "H.java"}
+    rows = {r.path: (r.fan_out, r.fan_in, r.across, r.ambiguous, r.instability) for r in coupling.coupling(found, resolved).collect()}
+    assert rows == {
+        "a.cs": (2, 1, 1, 1, 0.67), "b.cs": (1, 1, 0, 0, 0.5), "c.cs": (0, 1, 0, 0, 0.0), "c2.cs": (0, 0, 0, 0, None), "d.cs": (0, 0, 0, 0, None), "F.java": (2, 0, 2, 0, 1.0), "G.java": (0, 1, 0, 0, 0.0), "H.java": (0, 1, 0, 0, 0.0),
+    }
+    policy = spark.createDataFrame([("api", ["core"], []), ("core", [], ["data"]), ("web", [], [])], "source_layer string, allowed array<string>, forbidden array<string>")
+    judged = {r.module: tuple(r)[1:] for r in coupling.module_coupling(found, resolved, policy).collect()}
+    assert judged == {"Api": (1, 1, 0, 0, True, 100.0), "Core": (2, 0, 2, 0, True, 0.0), "Data": (0, 0, 0, 0, True, None)}

@@ -76,6 +76,8 @@ def owners(paths: DataFrame, modules: DataFrame) -> DataFrame:
 
 
 def outermost(roots: DataFrame) -> DataFrame:
-    """Roots that lie in no other root; a sibling with the same beginning is no parent."""
-    outer = roots.select(F.col("module_path").alias("outer_path"))
-    return roots.join(F.broadcast(outer), F.startswith("module_path", F.concat("outer_path", F.lit("/"))), "left_anti")
+    """Roots that lie in no other root; a sibling with the same beginning is no parent. Each root is joined by its own proper prefixes."""
+    parts = F.split("module_path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    inside = roots.where(F.size(parts) > 1).select("module_path", F.explode(above).alias("outer_path")).join(roots.select(F.col("module_path").alias("outer_path")).distinct(), "outer_path", "left_semi")
+    return roots.join(inside.select("module_path").distinct(), "module_path", "left_anti").select(*roots.columns)

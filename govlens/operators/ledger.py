@@ -66,8 +66,10 @@ def look_ahead(text: Column, needle: str, length: int) -> Column:
 
 def merged_layers(rows: DataFrame) -> DataFrame:
     """Per layer its distinct files, sorted, and the least confidence that any of its rows has."""
-    files = F.array_sort(F.array_distinct(F.flatten(F.collect_list("files"))))
-    return rows.groupBy("layer").agg(files.alias("files"), F.min("confidence").alias("confidence"))
+    least = rows.groupBy("layer").agg(F.min("confidence").alias("confidence"))
+    named = rows.select("layer", F.explode("files").alias("file")).distinct().groupBy("layer").agg(F.array_sort(F.collect_list("file")).alias("files"))  # copies are gone before files are gathered
+    none = F.array().cast(rows.schema["files"].dataType)
+    return least.join(named, "layer", "left").select("layer", F.coalesce("files", none).alias("files"), "confidence")
 
 
 def first_of(rows: DataFrame, key: str, *order: str) -> DataFrame:

@@ -65,8 +65,9 @@ def not_evaluated(evaluations: DataFrame, rules: DataFrame, facts: DataFrame) ->
     """Rules without a completed check, each with the first reason that holds."""
     done = evaluations.where(F.col("status").isin(*CHECKED)).select("rule_id").distinct()
     tried = evaluations.groupBy("rule_id").agg(F.bool_or(F.col("status") == "InsufficientEvidence").alias("insufficient"))
-    emitted = facts.groupBy(F.lower("metric_key").alias("key")).agg(F.collect_set("scope").alias("scopes"))
-    left = rules.join(done, "rule_id", "left_anti").join(tried, "rule_id", "left").join(F.broadcast(emitted), F.lower("metric_key") == F.col("key"), "left")
+    keys = rules.select(F.lower("metric_key").alias("key")).distinct()  # as few as there are rules; what others measure is dropped before it is grouped
+    emitted = facts.select(F.lower("metric_key").alias("key"), "scope").join(F.broadcast(keys), "key", "left_semi").groupBy("key").agg(F.collect_set("scope").alias("scopes"))
+    left = rules.join(done, "rule_id", "left_anti").join(tried, "rule_id", "left").join(emitted, F.lower("metric_key") == F.col("key"), "left")
     reason = (
         F.when(~F.col("enabled"), "disabled by policy")
         .when(F.col("unsupported").isNotNull(), F.concat(F.lit("unsupported: "), F.col("unsupported")))

@@ -5,8 +5,9 @@ from __future__ import annotations
 import html
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Rows a rendering takes at most; it says so when there are more.
 MOST_ROWS = 200
@@ -37,6 +38,23 @@ def append_history(results: DataFrame, path: str, by: str = "project") -> None:
     results.write.mode("append").partitionBy(by).parquet(path)
 
 
+def write_snapshot(report: DataFrame, path: str, report_id: str) -> None:
+    """Store one whole report under its id: all at once when the job commits, and in place of an earlier snapshot of that id alone."""
+    rows = report.withColumn("report_id", F.lit(report_id))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("report_id").parquet(path)
+
+
+def read_snapshot(spark: SparkSession, path: str, report_id: str) -> DataFrame:
+    """The report of this id, from its own folder alone; no rows if there is none."""
+    text = spark.read.option("basePath", path).schema(_with_text_id(spark.read.parquet(path).schema)).parquet(path)
+    return text.where(F.col("report_id") == report_id).drop("report_id")
+
+
+def _with_text_id(schema: StructType) -> StructType:
+    """The schema with report_id as a string, whatever the ids of the folders look like."""
+    return StructType([StructField(f.name, StringType()) if f.name == "report_id" else f for f in schema.fields])
+
+
 def _rows(df: DataFrame) -> tuple[list[str], list[tuple], bool]:
     rows = df.limit(MOST_ROWS + 1).collect()
     return df.columns, [tuple("" if v is None else str(v) for v in r) for r in rows[:MOST_ROWS]], len(rows) > MOST_ROWS

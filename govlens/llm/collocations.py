@@ -1,23 +1,23 @@
 """Phrase collocations from compressed position bitmaps, in the manner of SPAM.
 
-Texts are cut into pieces that no phrase crosses. A task lays the pieces of a language out in containers of SPAN positions, with a
-free position between pieces. A word's bitmap has its positions, and only those containers in which the word occurs exist,
-which is the compression. In each container phrases are extended depth-first: a phrase's bitmap, shifted by one and ANDed
-with the next word's, has the ends of the longer phrase, and its population count is how often it occurs there. The words
-tried are those that follow the phrase's last word in the container; the AND tells which of them follow the phrase.
+Texts are cut into pieces that no phrase crosses. A task lays the words of a language out in a row of positions, with a free position
+between pieces. A word's bitmap has a bit for each of its positions, in containers of SPAN positions; only containers with a bit
+exist, which is the compression. Phrases are extended depth-first, some prefixes at a time: a prefix's containers are shifted by
+one (the last bit goes on to the next container) and ANDed with those of the words that have the same container. What is left has
+the ends of the longer phrase, and its population count says how often it occurs there.
 
 Counts are added up in the task, and then over all tasks. There is a round for each length, and a phrase is extended only if all
 its parts are frequent (others can't be part of a frequent phrase). Which ones those are is told by a table of FILTER_BITS
 bits of hashes, the same size for every corpus: a collision costs a superfluous count, never a phrase.
 
-A piece of over SPAN words is cut into windows that overlap; a phrase counts where it begins. So no bitmap grows with the text.
+Rows of more than SHARD positions are cut into shards that overlap by as much as a phrase may need; a phrase counts where it begins.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,85 +25,162 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from govlens.llm.common import arrow_bounds, by_bytes, stored
+from govlens.llm.common import arrow_bounds, by_bytes, stored, utf8
 
-#: Positions of one container. Phrases that one task counts before it hands them on. Words whose frequency it remembers.
-SPAN, FLUSH, REMEMBERED = 1024, 300_000, 400_000
+#: Positions of one container and of one shard. Prefix containers that are extended at once.
+SPAN_BITS, SHARD, AT_ONCE = 4, 1 << 18, 1 << 15
+SPAN = 1 << SPAN_BITS
+#: Words that one task counts before it hands them on; phrases; words of a language that have a number, and positions that may add to them.
+FLUSH, PHRASES, NUMBERED, AT_MOST = 300_000, 2_000_000, 300_000, 500_000
+#: Bits of a word's number in a phrase's code.
+CODE_BITS = 21
 FILTER_BITS = 1 << 26
+#: Fixed value: makes the hash of two words differ from that of the same words the other way round.
+_FACTOR = 10_368_889
 #: Parts into which a language is split before its best phrases are ranked.
 RANK_PARTS = 32
 
 _lower = bytearray(bytes(range(256)).lower())
 _ENDS = b".,;:!?\n\x0b\x0c\r"
-_WORDS, _PIECES = bytes(_lower).translate(bytes.maketrans(_ENDS + b"\t", b" " * 11)), bytes(_lower).translate(bytes.maketrans(_ENDS + b"\t", b"\n" * 10 + b" "))
+_WORDS = bytes(_lower).translate(bytes.maketrans(_ENDS + b"\t", b" " * 11))
+_PIECES = np.frombuffer(bytes(_lower).translate(bytes.maketrans(_ENDS + b"\t", b"\n" * 10 + b" ")), np.uint8)
 _COUNTED = "lang string, phrase string, n long"
 
 
-class Container:
-    """Some pieces laid out in one row of positions: bitmaps of their words, and which words follow which."""
-
-    def __init__(self):
-        self.bitmaps: dict[bytes, int] = {}
-        self.follows: dict[bytes, set[bytes]] = {}
-        self.starts, self.size = 0, 0
-
-    def put(self, words: list[bytes | None], counted: int) -> None:
-        """Lay out one piece (None: a word that ends phrases); phrases that begin in its first words are counted."""
-        bitmaps, follows, before = self.bitmaps, self.follows, None
-        bit = 1 << self.size
-        self.starts |= (1 << (self.size + counted)) - bit
-        for word in words:
-            if word is not None:
-                bitmaps[word] = bitmaps.get(word, 0) | bit
-                if before is not None:
-                    if before in follows:
-                        follows[before].add(word)
-                    else:
-                        follows[before] = {word}
-            before = word
-            bit <<= 1
-        self.size += len(words) + 1
-
-    def count(self, length: int, into: Counter, frequent: Callable[[bytes], bool] | None) -> None:
-        """Add the occurrences of all phrases of so many words; pairs that aren't frequent are not extended (None: all are)."""
-        bitmaps, follows = self.bitmaps, self.follows
-        if frequent is not None:
-            follows = {a: [b for b in after if frequent(a + b" " + b)] for a, after in follows.items()}
-
-        def extend(phrase: bytes, last: bytes, ends: int, missing: int) -> None:
-            shifted = ends << 1
-            for word in follows.get(last, ()):
-                hits = shifted & bitmaps[word]
-                if hits and missing == 1:
-                    into[phrase + b" " + word] += hits.bit_count()
-                elif hits:
-                    extend(phrase + b" " + word, word, hits, missing - 1)
-
-        for word, ends in bitmaps.items():
-            if ends := ends & self.starts:
-                extend(word, word, ends, length - 1)
-
-
-class Frequent:
-    """Tells which phrases of a language may be frequent, from a table of bits; remembers words."""
-
-    def __init__(self, bits: bytes, lang: bytes):
-        self.bits, self.seed = bits, zlib.crc32(lang + b" ")
-        self.words: dict[bytes, bytes | None] = {}
-
-    def __call__(self, phrase: bytes) -> bool:
-        at = zlib.crc32(phrase, self.seed) & (FILTER_BITS - 1)
-        return self.bits[at >> 3] >> (at & 7) & 1 == 1
-
-    def only(self, words: list[bytes]) -> list[bytes | None]:
-        """The words, with None for those that are not frequent."""
-        known = self.words
-        if len(known) > REMEMBERED:
-            known.clear()
-        for word in words:
-            if word not in known:
-                known[word] = word if self(word) else None
-        return [known[w] for w in words]
+class Bitmaps:
+    """The bitmaps of the words at some positions (0 is no word), as rows (word, container, bits) in order of containers."""
+
+    def __init__(self, words: np.ndarray, positions: np.ndarray, end: int):
+        known = np.flatnonzero(words)
+        self.word, self.container, self.bits = _packed(words[known], positions[known])
+        order = np.argsort(self.container, kind="stable")
+        self.word, self.container, self.bits = self.word[order], self.container[order], self.bits[order]
+        self.first = np.searchsorted(self.container, np.arange((end >> SPAN_BITS) + 3))
+
+    def extended(self, code: np.ndarray, container: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All phrases that are a word longer: (code of the prefix, word, container, bits of the ends)."""
+        over, inside = bits >> (SPAN - 1), (bits << 1) & (2**SPAN - 1)
+        stay, go = np.flatnonzero(inside), np.flatnonzero(over)
+        code, container = np.concatenate((code[stay], code[go])), np.concatenate((container[stay], container[go] + 1))
+        bits = np.concatenate((inside[stay], over[go]))
+        first, n = self.first[container], self.first[container + 1] - self.first[container]
+        row = np.repeat(np.arange(len(code)), n)
+        with_ = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[row]
+        both = bits[row] & self.bits[with_]
+        hit = np.flatnonzero(both)
+        row = row[hit]
+        return code[row], self.word[with_[hit]], container[row], both[hit]
+
+
+def _packed(words: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, container, bits), in order of words, from pairs of words and positions in order of positions."""
+    key = (words << 40) | positions
+    key.sort()
+    place = key >> SPAN_BITS
+    opens = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(key) else np.zeros(0, np.int64)
+    bits = np.bitwise_or.reduceat(np.int64(1) << (key & (SPAN - 1)), opens) if len(opens) else opens
+    place = place[opens]
+    return place >> (40 - SPAN_BITS), place & ((1 << (40 - SPAN_BITS)) - 1), bits
+
+
+class Language:
+    """The numbers and hashes of a language's frequent words, and how often its phrases were found so far."""
+
+    def __init__(self, lang: str):
+        self.lang, self.seed = lang, zlib.crc32(lang.encode() + b" ")
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.hashes = [0]
+        self.codes: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.size = 0
+
+    def number(self, words: list[str], bits: np.ndarray) -> np.ndarray:
+        """The numbers of words, 0 for those that are not frequent."""
+        numbers, out = self.numbers, np.zeros(len(words), np.int64)
+        for i, word in enumerate(words):
+            found = numbers.get(word)
+            if found is None:
+                h = zlib.crc32(word.encode(), self.seed)
+                if not bits[(h & (FILTER_BITS - 1)) >> 3] >> (h & 7) & 1:
+                    continue
+                found = numbers[word] = len(self.hashes)
+                self.hashes.append(h)
+            out[i] = found
+        return out
+
+    def add(self, codes: np.ndarray, counts: np.ndarray) -> None:
+        self.codes.append(codes)
+        self.counts.append(counts)
+        self.size += len(codes)
+
+    def merge(self) -> None:
+        """Add up equal phrases."""
+        if self.codes:
+            codes = np.concatenate(self.codes)
+            order = np.argsort(codes)
+            codes, counts = codes[order], np.concatenate(self.counts)[order]
+            opens = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))) if len(codes) else np.zeros(0, np.int64)
+            self.codes, self.counts = [codes[opens]], [np.add.reduceat(counts, opens) if len(opens) else counts]
+            self.size = len(opens)
+
+    def rows(self, length: int) -> pa.RecordBatch:
+        """What was found, as words, and forget it."""
+        self.merge()
+        codes, counts = (self.codes[0], self.counts[0]) if self.codes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        spelled = pa.array([None, *self.numbers], pa.string())
+        words = [spelled.take(pa.array((codes >> (CODE_BITS * k)) & (2**CODE_BITS - 1))) for k in range(length - 1, -1, -1)]
+        phrases = pc.binary_join_element_wise(*words, " ")
+        out = pa.RecordBatch.from_arrays([pa.array([self.lang] * len(codes), pa.string()), phrases, pa.array(counts)], ["lang", "phrase", "n"])
+        self.forget()
+        return out
+
+
+def find_phrases(words: np.ndarray, positions: np.ndarray, length: int, found: Language, pairs: np.ndarray | None, counted: int) -> None:
+    """Add all phrases of so many words that begin at the first counted positions; a pair that pairs (a table of bits) doesn't have is not extended."""
+    hashes = np.array(found.hashes, np.int64)
+    for at in range(0, counted, SHARD):
+        to = min(counted, at + SHARD)
+        seen = slice(at, min(len(words), to + length - 1))
+        base = positions[at]
+        bitmaps = Bitmaps(words[seen], positions[seen] - base, int(positions[seen][-1] - base))
+        begins = at + np.flatnonzero(words[at:to])
+        prefix, container, bits = _packed(words[begins], positions[begins] - base)
+        for some in range(0, len(prefix), AT_ONCE):
+            part = slice(some, some + AT_ONCE)
+            code, where, ends = prefix[part], container[part], bits[part]
+            for _ in range(length - 1):
+                row_code, word, where, ends = bitmaps.extended(code, where, ends)
+                if pairs is not None:
+                    before = row_code & (2**CODE_BITS - 1)
+                    h = ((hashes[before] & 0xFFFFFF) * _FACTOR + hashes[word]) & (FILTER_BITS - 1)
+                    kept = np.flatnonzero(pairs[h >> 3] >> (h & 7).astype(np.uint8) & 1)
+                    row_code, word, where, ends = row_code[kept], word[kept], where[kept], ends[kept]
+                code = (row_code << CODE_BITS) | word
+            found.add(code, np.bitwise_count(ends).astype(np.int64))
+
+
+def laid_out(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """All words of some texts in order, the text of each, and its position: one further than the last, two where a piece ended between."""
+    raw, offsets = utf8(column)
+    folded = _PIECES[raw]
+    inside = np.zeros(len(raw) + 2, bool)
+    inside[1:-1] = (folded != 32) & (folded != 10)
+    first, last = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
+    edges = offsets[1:-1]
+    edges = edges[(edges > 0) & (edges < len(raw))]
+    first[edges] = inside[1:-1][edges]
+    last[edges - 1] = inside[1:-1][edges - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    bounds = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(ends - starts, out=bounds[1:])
+    words = pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(folded[inside[1:-1]])])
+    text = np.searchsorted(offsets, starts, side="right") - 1
+    piece = np.cumsum(folded == 10)[starts] + text
+    moved = np.concatenate(([0], piece[1:] != piece[:-1])) if len(starts) else np.zeros(0, np.int64)
+    return words, text, np.arange(len(starts)) + np.cumsum(moved)
 
 
 def _rows(counts: dict[bytes, Counter]) -> pa.RecordBatch:
@@ -112,18 +189,14 @@ def _rows(counts: dict[bytes, Counter]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n"])
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, bytes]]:
-    for batch in by_bytes(batches, "text"):
-        yield from zip(pc.cast(batch.column("lang"), pa.binary()).to_pylist(), pc.cast(batch.column("text"), pa.large_binary()).to_pylist())
-
-
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[bytes, Counter] = {}
-    for lang, text in _texts(batches):
-        counts.setdefault(lang, Counter()).update(text.translate(_WORDS).split())
-        if sum(map(len, counts.values())) > FLUSH:
-            yield _rows(counts)
-            counts = {}
+    for batch in by_bytes(batches, "text"):
+        for lang, text in zip(pc.cast(batch.column("lang"), pa.binary()).to_pylist(), pc.cast(batch.column("text"), pa.large_binary()).to_pylist()):
+            counts.setdefault(lang, Counter()).update(text.translate(_WORDS).split())
+            if sum(map(len, counts.values())) > FLUSH:
+                yield _rows(counts)
+                counts = {}
     yield _rows(counts)
 
 
@@ -131,39 +204,41 @@ def _phrases(length: int, words, pairs):
     """Count phrases of so many words; words and pairs are broadcast tables of bits (pairs: None where length is 2)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[bytes, Counter] = {}
-        filters: dict[bytes, tuple[Frequent, Frequent | None]] = {}
-        containers: dict[bytes, Container] = {}
-
-        def close(lang: bytes) -> None:
-            containers.pop(lang).count(length, counts.setdefault(lang, Counter()), filters[lang][1])
-
-        for lang, text in _texts(batches):
-            if lang not in filters:
-                filters[lang] = (Frequent(words.value, lang), Frequent(pairs.value, lang) if pairs else None)
-            for piece in text.translate(_PIECES).split(b"\n"):
-                found = piece.split()
-                if len(found) < length:
+        frequent = np.frombuffer(words.value, np.uint8)
+        extend = np.frombuffer(pairs.value, np.uint8) if pairs else None
+        languages: dict[str, Language] = {}
+        for batch in by_bytes(batches, "text", 4 << 20):
+            found, text, positions = laid_out(batch.column("text"))
+            named = batch.column("lang").dictionary_encode()
+            of = named.indices.to_numpy()[text]
+            for i, name in enumerate(named.dictionary.to_pylist()):
+                own = np.flatnonzero(of == i)
+                if not len(own):
                     continue
-                found = filters[lang][0].only(found)
-                for at in range(0, len(found), SPAN):
-                    part = found[at : at + SPAN + length - 1]
-                    if lang in containers and containers[lang].size + len(part) > SPAN:
-                        close(lang)
-                    containers.setdefault(lang, Container()).put(part, min(SPAN, len(part)))
-            if sum(map(len, counts.values())) > FLUSH:
-                yield _rows(counts)
-                counts = {}
-        for lang in list(containers):
-            close(lang)
-        yield _rows(counts)
+                language = languages.setdefault(name, Language(name))
+                for at in range(0, len(own), AT_MOST):  # a text may be long
+                    some = own[at : at + AT_MOST + length - 1]
+                    distinct = found.take(pa.array(some)).dictionary_encode()
+                    numbers = language.number(distinct.dictionary.to_pylist(), frequent)[distinct.indices.to_numpy()]
+                    # texts of other languages leave gaps between positions, which end phrases just as well
+                    find_phrases(numbers, positions[some], length, language, extend, min(AT_MOST, len(own) - at))
+                    if sum(x.size for x in languages.values()) > 2 * PHRASES:
+                        for x in languages.values():
+                            x.merge()
+                    for x in languages.values():
+                        if x.size > PHRASES or len(x.hashes) > NUMBERED:
+                            yield x.rows(length)
+        for x in languages.values():
+            yield x.rows(length)
 
     return count
 
 
 def frequent_bits(phrases: DataFrame) -> bytes:
-    """A table of FILTER_BITS bits with the hash of each (lang, phrase) set."""
-    at = F.crc32(F.concat_ws(" ", "lang", "phrase").cast("binary")).bitwiseAND(F.lit(FILTER_BITS - 1))
+    """A table of FILTER_BITS bits with the hash of each (lang, phrase) of one or two words set."""
+    h = lambda word: F.crc32(F.concat_ws(" ", "lang", word).cast("binary"))
+    w = F.split("phrase", " ", -1)
+    at = F.when(F.size(w) == 1, h(w[0])).otherwise((h(w[0]).bitwiseAND(F.lit(0xFFFFFF))) * _FACTOR + h(F.get(w, 1))).bitwiseAND(F.lit(FILTER_BITS - 1))
     parts = phrases.select(at.alias("at")).groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 31 as int))")).alias("bits"))
     found = parts.toArrow()
     table = np.zeros(FILTER_BITS // 32, "<u4")

@@ -11,7 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 from govlens.llm.byte_tokens import ByteCodec
-from govlens.llm.collocations import SPAN, Container, collocations
+from govlens.llm.collocations import collocations, find_phrases, laid_out
 from govlens.llm.divergence import batch_runs, run_lengths, share, source_divergence
 from govlens.llm.exact_packing import Complements, best_fit, pack_exactly, plan, segments
 from hypothesis import given, settings
@@ -20,7 +20,7 @@ from hypothesis import strategies as st
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 WORDS = [f"w{i}" for i in range(40)]
 _random = random.Random(5)
-LONG = " ".join(_random.choice(WORDS) for _ in range(3 * SPAN + 7))  # one piece without marks
+LONG = " ".join(_random.choice(WORDS) for _ in range(3079))  # one piece without marks
 TEXTS = [
     None, "", "   \n\t ", "one", "one two", "One, two. ONE two; three", "a b c a b c. a b c", LONG, "é ü é ü é ü ü é", "x1y2 z3 İ ſ", "tab\tand\x0bmore\x0cends\rhere\x1cthere",
     "don't stop<|endoftext|>now ", " lead  two   three\n\n\nfour \n five\n six \n\n", "nbsp  x  y z 　 w", "a\nb\nc d\n", "é naïve ΣΑΣ 12 345 !!! --x", "y" * 5000, "word " * 3000,
@@ -210,14 +210,32 @@ def test_collocations_are_what_plain_counting_gives(docs):
     assert collocations(docs.limit(0)).count() == 0
 
 
-def test_bitmaps_count_phrases_that_begin_in_the_window_and_extend_only_frequent_pairs():
-    words = "a b a b a a b".encode().split()
-    container = Container()
-    container.put(words, len(words))
-    container.put([b"b", b"a", None, b"b", b"c"], 1)
-    counts = Counter()
-    container.count(2, counts, None)
-    assert counts == {b"a b": 3, b"b a": 3, b"a a": 1}
-    counts = Counter()
-    container.count(3, counts, {b"a b", b"b a"}.__contains__)
-    assert counts == {b"a b a": 2, b"b a b": 1}
+def test_bitmaps_find_phrases_across_containers_and_shards(monkeypatch):
+    from govlens.llm import collocations as module
+
+    rnd = random.Random(8)
+    for shard, at_once, span in ((1 << 18, 1 << 15, 4), (7, 3, 2), (2, 1, 3), (1, 5, 1)):
+        monkeypatch.setattr(module, "SHARD", shard)
+        monkeypatch.setattr(module, "AT_ONCE", at_once)
+        monkeypatch.setattr(module, "SPAN_BITS", span)
+        monkeypatch.setattr(module, "SPAN", 1 << span)
+        words = np.array([rnd.randrange(5) for _ in range(200)], np.int64)
+        positions = np.cumsum([rnd.choice((1, 1, 1, 2)) for _ in words])
+        place = dict(zip(positions.tolist(), words.tolist()))
+        for length in (2, 3):
+            language = module.Language("x")
+            language.hashes = [0, 11, 22, 33, 44]
+            find_phrases(words, positions, length, language, None, len(words))
+            language.merge()
+            expected = Counter()
+            for p in place:
+                run = [place.get(p + i, 0) for i in range(length)]
+                if all(run):
+                    expected[functools.reduce(lambda a, b: (a << module.CODE_BITS) | b, run)] += 1
+            assert dict(zip(language.codes[0].tolist(), language.counts[0].tolist())) == expected
+
+
+def test_words_are_laid_out_with_a_gap_between_pieces():
+    words, text, positions = laid_out(pa.array(["A b. c", None, "d", "", "e\tf!!g \u00e9"]))
+    assert words.to_pylist() == ["a", "b", "c", "d", "e", "f", "g", "\u00e9"] and text.tolist() == [0, 0, 0, 2, 4, 4, 4, 4] and positions.tolist() == [0, 1, 3, 5, 7, 8, 10, 11]
+    assert [len(x) for x in laid_out(pa.array([], pa.string()))] == [0, 0, 0]

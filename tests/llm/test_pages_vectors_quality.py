@@ -1,6 +1,7 @@
 """Pages, embeddings and quality: brute force, held-out accuracy, nulls and empty tables."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -208,15 +209,16 @@ def test_path_scores_against_plain_arithmetic():
     for _ in range(60):
         names = ["div", "section", "p", "li", "article", "td"]
         page = "".join(f"<{t}>{'word, ' * dice.randrange(1, 30)}<a href=x>{'l' * dice.randrange(20)}</a>.</{t}>" for t in dice.choices(names, k=dice.randrange(1, 12)))
-        blocks = [b for b in blocks_of(page) if not b[3]]
+        tree, blocks = blocks_of(page)
+        blocks = [b for b in blocks if not b[3]]
         paths = list(dict.fromkeys(b[0] for b in blocks))
         mine = [[b for b in blocks if b[0] == p] for p in paths]
         length = np.array([np.mean([max(0, len(t) - k) for _, t, k, _ in own]) for own in mine])
         marks = np.array([(sum(t.count(",") + t.count(".") for _, t, _, _ in own) + 1) / len(own) for own in mine])
         pad = lambda x: np.convolve(np.concatenate((x[:1], x, x[-1:])), [0.25, 0.5, 0.25], "valid") if len(x) > 1 else x
-        weight = np.array([ARTICLE_WEIGHT if "article" in p else 1 for p in paths])
+        weight = np.array([ARTICLE_WEIGHT if tree.article[p] else 1 for p in paths])
         expected = pad(length) * pad(marks) * weight
-        fused, bar = path_scores(blocks)
+        fused, bar = path_scores(tree, blocks)
         assert list(fused) == paths and np.allclose(list(fused.values()), expected)
         assert np.isclose(bar, min(expected.max(), max(0.5 * expected.std(), 0.25 * expected.mean())))
 
@@ -244,3 +246,48 @@ def test_generated_pages():
         before, after = dice.sample(around, 3), dice.sample(around, 3)
         page = f"<html><head><title>t</title></head><body>{''.join(before)}{open_}{body}{close}{''.join(after)}<footer>{sentence(9)}</footer></body></html>"
         assert main_text(page).split("\n\n") == wanted, page
+
+
+@pytest.mark.parametrize(
+    "kept",
+    [
+        '<p data-class="ad">Kept, one.</p>', '<p data-id="share-x">Kept, one.</p>', '<p title="see class=ad here">Kept, one.</p>', '<p class="related-work">Kept, one.</p>', '<p id="share-price">Kept, one.</p>', '<p class="notice-period">Kept, one.</p>',
+        '<div class="ad-hoc">Kept, one.</div>', '<div id="header-files">Kept, one.</div>', '<section id="login-flow">Kept, one.</section>', '<h2 id="comments">Kept, one.</h2>', '<p><code class="language-menu">Kept, one.</code></p>', '<section id="discussion"><p>Kept, one.</p></section>',
+    ],
+)
+def test_what_only_looks_set_apart_stays(kept):
+    assert main_text(f"<body><article><h1>Head</h1>{FIVE_P}{kept}</article></body>").split("\n\n") == ["Head", *FIVE, "Kept, one."]
+
+
+READERS = "".join(f'<div class=item><b class=author>user{i}</b> <time>May {i}</time><p>I think, as a reader, that this is so; number {i}.</p></div>' for i in range(5))
+
+
+@pytest.mark.parametrize(
+    "gone",
+    [
+        f'<section id="discussion">{READERS}</section>', f'<div id="feedback">{READERS}</div>', '<ol class="thread"><li><span class="username">a</span> Nice, that.</li></ol>', '<div class="alert">Mind, this.</div>', "<div hidden>Not, shown.</div>", '<p style="color: red; display: none">Not, shown.</p>',
+        '<div aria-hidden="true">Not, shown.</div>', f"<div>{READERS * 3}</div>", '<p class="related-posts">More, here.</p>', '<div class="share-buttons">Share, it.</div>',
+    ],
+)
+def test_comments_notices_and_hidden_elements_go(gone):
+    page = f"<body><article><h1>Head</h1>{FIVE_P}</article>{gone}</body>"
+    assert main_text(page).split("\n\n") == ["Head", *FIVE]
+    assert main_text(f"<body><div><h1>Head</h1>{FIVE_P}</div>{gone}</body>").split("\n\n") == ["Head", *FIVE]
+
+
+def test_listings_of_posts_are_no_comments():
+    post = "<div class=post><h2>Title, of one</h2><time>May</time><p>Some text of a post, with marks; and words, to be read by all.</p></div>"
+    assert main_text(f"<body><nav>x</nav><div class=posts>{post * 4}</div></body>").count("Some text of a post") == 4
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>" * 90_000 + "deep, text" + "</div>" * 90_000, "<div>a, b" * 60_000, "<a " * 150_000, '<a href="' * 60_000, "<p><td>" * 60_000 + "<div>" * 30_000, "</x>" * 120_000 + "<div>" * 60_000 + "</p>" * 60_000, "<li>" * 100_000, "<ul><li>" * 60_000, "<table><tr><td>" * 40_000, "<b class=ad>" * 60_000,
+        "<!--" * 120_000, "<div class='a b'>" * 40_000 + "x, y" + "<p>" * 40_000, "&" * 300_000, "<" * 300_000, "<x'" * 100_000 + ">",
+    ],
+)
+def test_deep_and_broken_pages_take_linear_time(page):
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 12

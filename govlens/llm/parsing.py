@@ -9,6 +9,8 @@ from govlens.llm.common import mix, spans_hash
 #: Bytes of the rolling hash, and of the key at a trigger.
 ROLL, KEY = 8, 32
 _BYTE = mix(np.arange(256).astype(np.uint64) + np.uint64(15485863))
+#: Other values of bytes, for a second hash of a phrase's content.
+_CHECK = mix(np.arange(256).astype(np.uint64) + np.uint64(982451653))
 
 
 def rolling(raw: np.ndarray) -> np.ndarray:
@@ -36,9 +38,9 @@ def triggers(raw: np.ndarray, span: int) -> np.ndarray:
 
 
 def phrases(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Cut each text of at least length bytes into phrases: (text, start, n, trigger, key, content).
+    """Cut each text of at least length bytes into phrases: (text, start, n, trigger, key, content, check).
 
-    A phrase is the n positions that share a trigger, which lies so many bytes after its start. Its content hash covers the bytes [start, start + n - 1 + length),
+    A phrase is the n positions that share a trigger, which lies so many bytes after its start. Its content hashes (content and check, 128 bits together) cover the bytes [start, start + n - 1 + length),
     so equal contents hold equal strings of length bytes at every position; equal strings of that length always lie in
     phrases of equal key, as both their triggers and the KEY bytes there are inside them.
     """
@@ -50,7 +52,7 @@ def phrases(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
     long = np.flatnonzero(ends > starts)
     empty = np.zeros(0, np.int64)
     if not len(long):
-        return empty, empty, empty, empty, empty.view(np.uint64), empty.view(np.uint64)
+        return empty, empty, empty, empty, *[empty.view(np.uint64)] * 3
     at = triggers(raw, span)
     new = np.zeros(len(raw) + 1, bool)
     new[1:-1] = at[1:] != at[:-1]
@@ -67,4 +69,5 @@ def phrases(raw: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarr
     trigger = at[first]
     key = spans_hash(value, trigger, trigger + KEY)
     content = mix(spans_hash(value, first, stop - 1 + length) + mix((trigger - first).astype(np.uint64)))
-    return text, first - offsets[text], n, trigger - first, key, content
+    check = mix(spans_hash(_CHECK[raw], first, stop - 1 + length) ^ n.astype(np.uint64))
+    return text, first - offsets[text], n, trigger - first, key, content, check

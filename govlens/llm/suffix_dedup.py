@@ -48,18 +48,18 @@ def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
 
 
 def _parse(rows: DataFrame, length: int) -> DataFrame:
-    """(h, c, doc, lo, nt) of each phrase, n + 2**16 * (trigger's place in it); c null: a repeat [lo, nt) found on the way."""
+    """(h, c, c2, doc, lo, nt) of each phrase, n + 2**16 * (trigger's place in it); c null: a repeat [lo, nt) found on the way."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", PARSE_BYTES):
             raw, offsets = utf8(batch.column("text"))
-            text, lo, n, trigger, key, content = phrases(raw, offsets, length)
+            text, lo, n, trigger, key, content, check = phrases(raw, offsets, length)
             if not len(text):
                 continue
             doc = np.asarray(batch.column("key"))[text]
-            h, c = (key & _48).view(np.int64), (content & _48).view(np.int64)
-            order = np.lexsort((lo, doc, c, h))
-            same = np.concatenate(([False], (h[order][1:] == h[order][:-1]) & (c[order][1:] == c[order][:-1])))
+            h, c, c2 = (key & _48).view(np.int64), content.view(np.int64), check.view(np.int64)
+            order = np.lexsort((lo, doc, c2, c, h))
+            same = np.concatenate(([False], np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (h, c, c2)])))
             first = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
             f, o = order[first], order
             again = np.zeros(len(h), bool)
@@ -70,18 +70,18 @@ def _parse(rows: DataFrame, length: int) -> DataFrame:
             at = np.flatnonzero(~again)
             none = np.concatenate((np.zeros(len(at), bool), np.ones(len(d), bool)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate((h[at], mix(d.view(np.uint64)).view(np.int64) >> 16))), pa.array(np.concatenate((c[at], np.zeros(len(d), np.int64))), mask=none), pa.array(np.concatenate((doc[at], d))), pa.array(np.concatenate((lo[at], s))), pa.array(np.concatenate((n[at] + (trigger[at] << 16), e)))],
-                ["h", "c", "doc", "lo", "nt"],
+                [pa.array(np.concatenate((h[at], mix(d.view(np.uint64)).view(np.int64) >> 16))), pa.array(np.concatenate((c[at], np.zeros(len(d), np.int64))), mask=none), pa.array(np.concatenate((c2[at], np.zeros(len(d), np.int64)))), pa.array(np.concatenate((doc[at], d))), pa.array(np.concatenate((lo[at], s))), pa.array(np.concatenate((n[at] + (trigger[at] << 16), e)))],
+                ["h", "c", "c2", "doc", "lo", "nt"],
             )
 
-    return rows.mapInArrow(run, "h long, c long, doc long, lo long, nt long")
+    return rows.mapInArrow(run, "h long, c long, c2 long, doc long, lo long, nt long")
 
 
 def _resolve(parsed: DataFrame, length: int) -> DataFrame:
-    """From rows sorted by h, c, doc, lo: repeats (doc, lo, nt = end, h null) and first occurrences of entries whose key has others."""
+    """From rows sorted by h, c, c2, doc, lo: repeats (doc, lo, nt = end, h null) and first occurrences of entries whose key has others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_h = last_c = None
+        last_h = last_c = last_c2 = None
         last_rep: tuple | None = None  # the entry's first occurrence
         pending = False  # that occurrence is the first of its key and not yet given out
         for batch in batches:
@@ -92,12 +92,13 @@ def _resolve(parsed: DataFrame, length: int) -> DataFrame:
             found = [(doc[done], lo[done], nt[done])]
             if done.all():
                 reps = np.zeros(0, np.int64)
-                h, c = h[:0], h[:0]
+                h, c, c2 = h[:0], h[:0], h[:0]
             else:
                 c = np.asarray(batch.column("c").fill_null(0))[~done]
+                c2 = np.asarray(batch.column("c2"))[~done]
                 h, doc, lo, nt = h[~done], doc[~done], lo[~done], nt[~done]
                 new_h = np.concatenate(([h[0] != last_h], h[1:] != h[:-1]))
-                new_c = new_h | np.concatenate(([c[0] != last_c], c[1:] != c[:-1]))
+                new_c = new_h | np.concatenate(([c[0] != last_c or c2[0] != last_c2], (c[1:] != c[:-1]) | (c2[1:] != c2[:-1])))
                 rep = np.maximum.accumulate(np.where(new_c, np.arange(len(h)), -1))
                 rep_doc, rep_lo = doc[rep], lo[rep]
                 if rep[0] < 0:
@@ -116,7 +117,7 @@ def _resolve(parsed: DataFrame, length: int) -> DataFrame:
                     rows = [np.concatenate(([v], r)) for v, r in zip(last_rep, rows)]
                 pending = bool(opens[-1])
                 last_rep = tuple(int(x[reps[-1]]) for x in (h, doc, lo, nt))
-                last_h, last_c = h[-1], c[-1]
+                last_h, last_c, last_c2 = h[-1], c[-1], c2[-1]
             spans = [np.concatenate(x) for x in zip(*found)]
             none = np.concatenate((np.zeros(len(rows[0]), bool), np.ones(len(spans[0]), bool)))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((rows[0], np.zeros(len(spans[0]), np.int64))), mask=none), *(pa.array(np.concatenate((r, s))) for r, s in zip(rows[1:], spans))], ["h", "doc", "lo", "nt"])
@@ -265,7 +266,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     parsed = _parse(keyed.where(F.octet_length("text") >= length), length)
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PARTITION_BYTES)
-    found = stored(_resolve(parsed.repartition(n, "h").sortWithinPartitions("h", "c", "doc", "lo"), length))
+    found = stored(_resolve(parsed.repartition(n, "h").sortWithinPartitions("h", "c", "c2", "doc", "lo"), length))
     partial = found.where("h IS NOT NULL")
     per_key = partial.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     n_entries = partial.count()

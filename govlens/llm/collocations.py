@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 from govlens.llm.common import arrow_bounds, by_bytes, stored, utf8
 
 #: Positions of one container and of one shard. Prefix containers that are extended at once.
-SPAN_BITS, SHARD, AT_ONCE = 4, 1 << 18, 1 << 15
+SPAN_BITS, SHARD, AT_ONCE = 4, 1 << 17, 1 << 14
 SPAN = 1 << SPAN_BITS
 #: Words that one task counts before it hands them on; phrases; words of a language that have a number, and positions that may add to them.
-FLUSH, PHRASES, NUMBERED, AT_MOST = 300_000, 2_000_000, 300_000, 500_000
+FLUSH, PHRASES, NUMBERED, AT_MOST = 200_000, 800_000, 200_000, 500_000
+#: Text that is laid out at once, in bytes, and rows that are handed on at once.
+LAID_BYTES, ROWS = 2 << 20, 100_000
 #: Bits of a word's number in a phrase's code.
 CODE_BITS = 21
 FILTER_BITS = 1 << 26
@@ -126,16 +128,17 @@ class Language:
             self.codes, self.counts = [codes[opens]], [np.add.reduceat(counts, opens) if len(opens) else counts]
             self.size = len(opens)
 
-    def rows(self, length: int) -> pa.RecordBatch:
+    def rows(self, length: int) -> Iterator[pa.RecordBatch]:
         """What was found, as words, and forget it."""
         self.merge()
-        codes, counts = (self.codes[0], self.counts[0]) if self.codes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         spelled = pa.array([None, *self.numbers], pa.string())
-        words = [spelled.take(pa.array((codes >> (CODE_BITS * k)) & (2**CODE_BITS - 1))) for k in range(length - 1, -1, -1)]
-        phrases = pc.binary_join_element_wise(*words, " ")
-        out = pa.RecordBatch.from_arrays([pa.array([self.lang] * len(codes), pa.string()), phrases, pa.array(counts)], ["lang", "phrase", "n"])
+        for codes, counts in zip(self.codes, self.counts):
+            for at in range(0, len(codes), ROWS):
+                some = codes[at : at + ROWS]
+                words = [spelled.take(pa.array((some >> (CODE_BITS * k)) & (2**CODE_BITS - 1))) for k in range(length - 1, -1, -1)]
+                columns = [pa.array([self.lang] * len(some), pa.string()), pc.binary_join_element_wise(*words, " "), pa.array(counts[at : at + ROWS])]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "n"])
         self.forget()
-        return out
 
 
 def find_phrases(words: np.ndarray, positions: np.ndarray, length: int, found: Language, pairs: np.ndarray | None, counted: int) -> None:
@@ -207,7 +210,7 @@ def _phrases(length: int, words, pairs):
         frequent = np.frombuffer(words.value, np.uint8)
         extend = np.frombuffer(pairs.value, np.uint8) if pairs else None
         languages: dict[str, Language] = {}
-        for batch in by_bytes(batches, "text", 4 << 20):
+        for batch in by_bytes(batches, "text", LAID_BYTES):
             found, text, positions = laid_out(batch.column("text"))
             named = batch.column("lang").dictionary_encode()
             of = named.indices.to_numpy()[text]
@@ -222,14 +225,12 @@ def _phrases(length: int, words, pairs):
                     numbers = language.number(distinct.dictionary.to_pylist(), frequent)[distinct.indices.to_numpy()]
                     # texts of other languages leave gaps between positions, which end phrases just as well
                     find_phrases(numbers, positions[some], length, language, extend, min(AT_MOST, len(own) - at))
-                    if sum(x.size for x in languages.values()) > 2 * PHRASES:
-                        for x in languages.values():
-                            x.merge()
-                    for x in languages.values():
-                        if x.size > PHRASES or len(x.hashes) > NUMBERED:
-                            yield x.rows(length)
+                    if language.size > 2 * PHRASES:
+                        language.merge()
+                    if language.size > PHRASES and len(language.codes) == 1 or len(language.hashes) > NUMBERED:
+                        yield from language.rows(length)
         for x in languages.values():
-            yield x.rows(length)
+            yield from x.rows(length)
 
     return count
 

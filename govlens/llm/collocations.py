@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 from govlens.llm.common import arrow_bounds, by_bytes, stored, utf8
 
 #: Positions of one container and of one shard. Prefix containers that are extended at once.
-SPAN_BITS, SHARD, AT_ONCE = 4, 1 << 17, 1 << 14
+SPAN_BITS, SHARD, AT_ONCE = 4, 1 << 16, 1 << 13
 SPAN = 1 << SPAN_BITS
 #: Words that one task counts before it hands them on; phrases; words of a language that have a number, and positions that may add to them.
-FLUSH, PHRASES, NUMBERED, AT_MOST = 200_000, 800_000, 200_000, 500_000
+FLUSH, PHRASES, NUMBERED, AT_MOST = 200_000, 500_000, 150_000, 500_000
 #: Text that is laid out at once, in bytes, and rows that are handed on at once.
-LAID_BYTES, ROWS = 2 << 20, 100_000
+LAID_BYTES, ROWS = 1 << 20, 100_000
 #: Bits of a word's number in a phrase's code.
 CODE_BITS = 21
 FILTER_BITS = 1 << 26
@@ -229,6 +229,9 @@ def _phrases(length: int, words, pairs):
                         language.merge()
                     if language.size > PHRASES and len(language.codes) == 1 or len(language.hashes) > NUMBERED:
                         yield from language.rows(length)
+                    if sum(x.size for x in languages.values()) > 4 * PHRASES:  # of many languages
+                        for x in languages.values():
+                            yield from x.rows(length)
         for x in languages.values():
             yield from x.rows(length)
 

@@ -31,7 +31,7 @@ from govlens.llm.common import arrow_bounds, by_bytes, stored, utf8
 SPAN_BITS, SHARD, AT_ONCE = 4, 1 << 16, 1 << 13
 SPAN = 1 << SPAN_BITS
 #: Words that one task counts before it hands them on; phrases; words of a language that have a number, and positions that may add to them.
-FLUSH, PHRASES, NUMBERED, AT_MOST = 200_000, 500_000, 150_000, 500_000
+FLUSH, PHRASES, NUMBERED, AT_MOST = 300_000, 800_000, 150_000, 500_000
 #: Text that is laid out at once, in bytes, and rows that are handed on at once.
 LAID_BYTES, ROWS = 1 << 20, 100_000
 #: Bits of a word's number in a phrase's code.
@@ -251,7 +251,8 @@ def frequent_bits(phrases: DataFrame) -> bytes:
 
 
 def _sum(counted: DataFrame, least: int = 1) -> DataFrame:
-    return counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    """Add up what the tasks found. They have added up their own phrases already, so nothing more is merged before the shuffle."""
+    return counted.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:

@@ -92,7 +92,7 @@ class WordCodec:
         new = set().union(*texts) if texts else set()
         if len(self.known) > MAX_WORDS:
             self.older, self.known = self.known, {}
-        new.difference_update(self.known)
+        new = new.difference(self.known)  # looks new up in known; difference_update would go through all of known
         again = new & self.older.keys()
         self.known.update((w, self.older[w]) for w in again)
         new -= again

@@ -1,9 +1,9 @@
 """Blocks of source files: comments and strings blanked without moving an offset, braces paired by running sums, indentation
 blocks, and what is measured by method and by type.
 
-Blanking is one pass of an alternation of literals over the text, in Arrow batches. Depth, pairs and headers of braces are windows
-over the tokens of one file, so a file of n tokens costs n log n; nothing is compared with everything. Indentation blocks
-end where a line is indented no deeper than their header, found with a stack in the same pass as the blanking.
+Blanking is one pass of an alternation of literals over the text, in Arrow batches. Braces are paired and indentation blocks ended
+with a stack in the same pass, so a file costs time in proportion to its length; files are neither joined nor shuffled, and what is
+measured on blocks is grouped and counted in Spark.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from govlens.functions.expr import half_even
@@ -69,50 +69,58 @@ def indented_blocks(code: str) -> list[dict]:
                     open_blocks.pop()[1]["end"] = at
             brackets = max(0, brackets + sum(map(text.count, "([{")) - sum(map(text.count, ")]}")))
             if not brackets and text.endswith(":"):
-                found.append({"start": at + len(line), "end": len(code), "depth": len(open_blocks) + 1, "header": code[begun : at + len(line)].strip()[:-1]})
+                found.append({"start": at + len(line), "end": len(code), "depth": len(open_blocks) + 1, "header": code[begun : at + len(line)].strip()[:-1], "within": open_blocks[-1][1] if open_blocks else None})
                 open_blocks.append((indent, found[-1]))
         at += len(line)
+    for block in found:  # a header that ends its own block and the outer one at once is in none
+        outer = block["within"]
+        block["within"] = outer["start"] if outer and block["start"] < outer["end"] else None
     return found
 
 
-_BLOCK = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("depth", pa.int32()), ("header", pa.string())])
+def braced_blocks(code: str) -> list[dict]:
+    """Blocks of blanked text by braces: (start, end, depth, header, within), in order; end is null where no brace closes it.
 
+    The header is what stands before the brace, back to a brace or to a semicolon outside brackets. A closing brace too many
+    lowers the depth of what follows. within is the start of the innermost open block.
+    """
+    found, open_blocks = [], []
+    begun = level = brackets = 0
+    for mark in _MARKS.finditer(code):
+        at, what = mark.start(), mark[0]
+        if what == "{":
+            level += 1
+            found.append({"start": at, "end": None, "depth": level, "header": code[begun:at].strip(" \t\r\n"), "within": open_blocks[-1]["start"] if open_blocks else None})
+            open_blocks.append(found[-1])
+        elif what == "}":
+            level -= 1
+            if open_blocks:
+                open_blocks.pop()["end"] = at
+        elif what != ";":
+            brackets += 1 if what == "(" else -1
+        if what in "{}":
+            begun, brackets = at + 1, 0
+        elif what == ";" and brackets <= 0:
+            begun = at + 1
+    return found
+
+
+_MARKS = re.compile("[{}();]")
+_BLOCK = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("depth", pa.int32()), ("header", pa.string()), ("within", pa.int32())])
 
-def lexed(files: DataFrame) -> DataFrame:
-    """(path, module, language, code, indented): files in a known language with their blanked text and indentation blocks."""
+
+def lexed(files: DataFrame, with_blocks: bool = True) -> DataFrame:
+    """(path, module, language, code, blocks): files in a known language with their blanked text and, if asked for, its blocks."""
 
     def lex(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             languages = batch.column("language").to_pylist()
             code = [blanked(t, x) for t, x in zip(batch.column("text").to_pylist(), languages)]
-            blocks = [indented_blocks(c) if x in INDENTED else [] for c, x in zip(code, languages)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "module", "language")), pa.array(code, pa.string()), pa.array(blocks, pa.list_(_BLOCK))], ["path", "module", "language", "code", "indented"])
+            blocks = [(indented_blocks(c) if x in INDENTED else braced_blocks(c)) if with_blocks else None for c, x in zip(code, languages)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "module", "language")), pa.array(code, pa.string()), pa.array(blocks, pa.list_(_BLOCK))], ["path", "module", "language", "code", "blocks"])
 
     known = files.where(F.col("text").isNotNull() & F.col("language").isin(*LITERALS)).select("path", "module", "language", "text")
-    return known.mapInArrow(lex, "path string, module string, language string, code string, indented array<struct<start int, end int, depth int, header string>>")
-
-
-def _braces(code: DataFrame) -> DataFrame:
-    """(path, start, end, depth, header) of each opening brace; end is null where none closes it.
-
-    Running sums over the file's tokens give offsets and depths; a brace's partner is the next brace of its depth. The header is what
-    stands before it, back to a brace or to a semicolon outside brackets.
-    """
-    tokens = code.select("path", F.posexplode(F.regexp_extract_all("code", F.lit("[{}();]|[^{}();]+"), 0)).alias("at", "token"))
-    file = Window.partitionBy("path").orderBy("at")
-    before, here = file.rowsBetween(Window.unboundedPreceding, -1), file.rowsBetween(Window.unboundedPreceding, 0)
-    step = lambda a, b: F.when(F.col("token") == a, 1).when(F.col("token") == b, -1).otherwise(0)
-    tokens = tokens.withColumns({"start": F.coalesce(F.sum(F.length("token")).over(before), F.lit(0)).cast("int"), "level": F.sum(step("{", "}")).over(here), "section": F.coalesce(F.sum(F.when(F.col("token").isin("{", "}"), 1).otherwise(0)).over(before), F.lit(0))})
-    brackets = F.sum(step("(", ")")).over(Window.partitionBy("path", "section").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-    tokens = tokens.withColumn("ends", F.when((F.col("token") == ";") & (brackets <= 0), 1).otherwise(0))
-    tokens = tokens.withColumn("part", F.coalesce(F.sum("ends").over(before), F.lit(0)))
-    is_open = F.col("token") == "{"
-    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~is_open, F.struct("at", "token")))), lambda x: x["token"]), "")
-    headers = tokens.groupBy("path", "section", "part").agg(words.alias("header"), F.max(F.when(is_open, F.col("start"))).alias("start")).where("start is not null")
-    same = Window.partitionBy("path", "depth").orderBy("start")
-    pairs = tokens.where(F.col("token").isin("{", "}")).withColumn("depth", (F.col("level") + F.when(is_open, 0).otherwise(1)).cast("int"))
-    pairs = pairs.withColumn("end", F.lead("start").over(same)).where(is_open).select("path", "start", "end", "depth")
-    return pairs.join(headers.select("path", "start", F.trim(F.regexp_replace("header", "[ \t\r\n]+", " ")).alias("header")), ["path", "start"])
+    return known.mapInArrow(lex, "path string, module string, language string, code string, blocks array<struct<start int, end int, depth int, header string, within int>>")
 
 
 def kind_of(header: Column) -> Column:
@@ -127,19 +135,20 @@ def name_of(kind: Column, header: Column) -> Column:
 
 
 def code_blocks(code: DataFrame) -> DataFrame:
-    """(path, module, language, kind, name, start, end, depth, header, body) of lexed files.
+    """(path, module, language, kind, name, start, end, depth, header, body, within) of lexed files.
 
     start is the offset of the opening brace or of the line behind the header, end that of the closing brace or of the line that ends
-    the block; a brace that is never closed has no end and no body, a closing brace too many none at all. A path occurs once.
+    the block; a brace that is never closed has no end and no body, a closing brace too many none at all. within is the start of
+    the block that it stands in. A path occurs once.
     """
-    code = code.repartition("path")
-    indented = code.select("path", F.explode("indented").alias("b")).select("path", F.col("b.start").alias("start"), F.col("b.end").alias("end"), F.col("b.depth").alias("depth"), F.regexp_replace("b.header", "[ \t\r\n]+", " ").alias("header"))
-    found = _braces(code.where(~F.col("language").isin(*INDENTED))).select("path", "start", "end", "depth", "header").unionByName(indented)
-    rows = code.select("path", "module", "language", "code").join(found, "path")
+    # kinds are told inside the array: a condition on one behind the explode would try all patterns again
+    neat = F.transform("blocks", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["depth"].alias("depth"), F.regexp_replace(x["header"], "[ \t\r\n]+", " ").alias("header"), x["within"].alias("within")))
+    told = F.transform(neat, lambda x: F.struct(kind_of(x["header"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["depth"].alias("depth"), x["header"].alias("header"), x["within"].alias("within")))
+    rows = code.select("path", "module", "language", "code", F.explode(told).alias("b")).select("path", "module", "language", "code", "b.*")
     from_ = F.when(F.col("language").isin(*INDENTED), F.col("start") + 1).otherwise(F.col("start") + 2)
     body = F.when(F.col("end").isNotNull(), F.expr("substring(code, from_, greatest(0, end + 1 - from_))"))
-    rows = rows.withColumn("from_", from_).withColumn("body", body).withColumn("kind", kind_of(F.col("header")))
-    return rows.select("path", "module", "language", "kind", name_of(F.col("kind"), F.col("header")).alias("name"), "start", "end", "depth", "header", "body")
+    rows = rows.withColumn("from_", from_).withColumn("body", body)
+    return rows.select("path", "module", "language", "kind", name_of(F.col("kind"), F.col("header")).alias("name"), "start", "end", "depth", "header", "body", "within")
 
 
 def _lines(text: Column) -> Column:
@@ -163,8 +172,8 @@ def catch_measures(blocks: DataFrame) -> DataFrame:
 
 def type_measures(blocks: DataFrame) -> DataFrame:
     """(path, module, name, start, lines, methods, severity): the methods directly in each type; severity over 1 is too large."""
-    types = blocks.where("kind = 'type' and body is not null").select("path", "module", "name", "start", "end", (F.col("depth") + 1).alias("inside"), _lines(F.col("body")).alias("lines"))
-    methods = blocks.where("kind = 'method'").select(F.col("path").alias("p"), F.col("start").alias("at"), F.col("depth").alias("d"))
-    held = types.join(methods, (F.col("path") == F.col("p")) & (F.col("inside") == F.col("d")) & (F.col("at") > F.col("start")) & (F.col("at") < F.col("end")), "left")
-    rows = held.groupBy("path", "module", "name", "start", "lines").agg(F.count("at").alias("methods"))
+    is_type = F.col("kind") == "type"
+    held = blocks.where("kind = 'method' or kind = 'type' and body is not null").select("path", F.when(is_type, F.col("start")).otherwise(F.col("within")).alias("start"), is_type.alias("is_type"), F.when(is_type, F.struct("module", "name", _lines(F.col("body")).alias("lines"))).alias("t"))
+    rows = held.where("start is not null").groupBy("path", "start").agg(F.max("t").alias("t"), F.count_if(~F.col("is_type")).alias("methods")).where("t is not null")
+    rows = rows.select("path", "t.module", "t.name", "start", "t.lines", "methods")
     return rows.withColumn("severity", half_even(F.least(F.col("lines") / TYPE_LINES, F.col("methods") / TYPE_METHODS)))

@@ -111,7 +111,8 @@ _COLUMNS = f"concat('src/m', p_size % 6, '/f', p_partkey, '.', {_EXT}) AS path,
 
 def polyglot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file in one of four languages for each part, with braces and colons in comments and strings, and some unbalanced."""
-    return tables.read(spark, sf_dir, "part").selectExpr(*_split(_COLUMNS))
+    part = tables.read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name", "p_brand")
+    return tables.spread(part, "p_partkey").selectExpr(*_split(_COLUMNS))
 
 
 def _split(columns: str) -> list[str]:

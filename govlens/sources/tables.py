@@ -12,6 +12,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """The rows dealt by key over as many tasks as a shuffle has: before work that is far larger than the table it starts from.
+
+    A small table lies in few files and would be read, and worked on, by as few tasks. A number that is asked for isn't coalesced.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts in long form: one row per measured metric of a line item."""
     pairs = ", ".join(f"'{k}', cast({v} as double)" for k, v in FACT_METRICS.items())

@@ -86,3 +86,14 @@ def test_names_resolve_by_namespace_and_import(spark):
     policy = spark.createDataFrame([("api", ["core"], []), ("core", [], ["data"]), ("web", [], [])], "source_layer string, allowed array<string>, forbidden array<string>")
     judged = {r.module: tuple(r)[1:] for r in coupling.module_coupling(found, resolved, policy).collect()}
     assert judged == {"Api": (1, 1, 0, 0, True, 100.0), "Core": (2, 0, 2, 0, True, 0.0), "Data": (0, 0, 0, 0, True, None)}
+
+
+def test_blocks_need_no_join_and_are_counted_once_per_file(spark, sf_dir):
+    from govlens.plans import code
+
+    for of in (blocks.code_blocks, lambda x: blocks.method_measures(blocks.code_blocks(x)), lambda x: blocks.type_measures(blocks.code_blocks(x))):
+        plan = of(blocks.lexed(code.polyglot_files(spark, sf_dir)))._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "Join" not in plan and "Window" not in plan  # texts were sent to the driver for a join
+    nested = "class A { void f() { class B { void g() { } } } void h() { } } class C { }\nvoid x() { }"
+    rows = blocks.type_measures(blocks.code_blocks(blocks.lexed(spark.createDataFrame([("a.cs", "m", "csharp", nested)], "path string, module string, language string, text string")))).collect()
+    assert {(r.name, r.methods) for r in rows} == {("A", 2), ("B", 1), ("C", 0)}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from govlens import catalog, rulebook
 from govlens.operators import blocks, coupling
+from govlens.operators.written import written
 from govlens.plans.registry import query
 from govlens.sources import tables
 
@@ -229,7 +230,7 @@ def _referring_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("Item"), F.col("b").cast("string"), F.lit(" a;")))), " ").alias("names"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("b") % 2 == 0, F.concat(F.lit("using Shop.M"), F.col("size").cast("string"), F.lit(";\n"))))), "").alias("imports"),
     )
-    return part.join(lists, "p_partkey", "left").alias("s").selectExpr("concat('src/f', s.p_partkey, '.cs') AS path", f"{_MODULE} AS module", "'csharp' AS language", f"concat(coalesce(imports, ''), {_CUSTOM}) AS text")
+    return tables.spread(part.join(lists, "p_partkey", "left"), "p_partkey").alias("s").selectExpr("concat('src/f', s.p_partkey, '.cs') AS path", f"{_MODULE} AS module", "'csharp' AS language", f"concat(coalesce(imports, ''), {_CUSTOM}) AS text")
 
 
 _RESOLVED = f"""WITH {_USES},
@@ -246,7 +247,7 @@ sure AS (SELECT DISTINCT source, source_module, target, target_module FROM named
 
 
 def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return coupling.symbols(blocks.lexed(_referring_files(spark, sf_dir)))
+    return written(coupling.symbols(blocks.lexed(_referring_files(spark, sf_dir), with_blocks=False)))
 
 
 @query(_RESOLVED + " SELECT source, source_module, name, target, target_module FROM named")

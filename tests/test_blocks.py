@@ -97,3 +97,18 @@ def test_blocks_need_no_join_and_are_counted_once_per_file(spark, sf_dir):
     nested = "class A { void f() { class B { void g() { } } } void h() { } } class C { }\nvoid x() { }"
     rows = blocks.type_measures(blocks.code_blocks(blocks.lexed(spark.createDataFrame([("a.cs", "m", "csharp", nested)], "path string, module string, language string, text string")))).collect()
     assert {(r.name, r.methods) for r in rows} == {("A", 2), ("B", 1), ("C", 0)}
+
+
+def test_a_name_that_many_files_define_is_not_multiplied(spark):
+    from govlens.operators import coupling
+
+    n = 700
+    rows = [(f"d{i:04}.cs", "m", f"S.N{i % 2}", [], ["Shared"], []) for i in range(n)] + [(f"u{i:04}.cs", "m", "S.U", ["S.N0", "S.N1"], [], ["Shared", "Lone"]) for i in range(n)] + [("l.cs", "k", "S.N1", [], ["Lone"], [])]
+    found = spark.createDataFrame(rows, "path string, module string, namespace string, imports array<string>, types array<string>, names array<string>")
+    store, empty = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm.java.util.ArrayList()
+    stages = lambda: store.stageList(empty, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), empty)
+    before = max((stages().apply(i).stageId() for i in range(stages().size())), default=-1)
+    resolved = {(r.source, r.name): r.target for r in coupling.uses(found).collect()}
+    assert resolved == {(f"u{i:04}.cs", x): t for i in range(n) for x, t in (("Shared", None), ("Lone", "l.cs"))}
+    after = stages()
+    assert max(s.shuffleWriteRecords() for s in map(after.apply, range(after.size())) if s.stageId() > before) <= 6 * n

@@ -27,7 +27,7 @@ _FILES = f"(SELECT concat('src/m', p_size % 6, '/f', p_partkey, '.cs') AS path,
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.read(spark, sf_dir, "part").selectExpr("concat('src/m', p_size % 6, '/f', p_partkey, '.cs') AS path", "concat('m', p_size % 6) AS module", f"{_TEXT} AS text")
+    return tables.spread(tables.read(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").selectExpr("concat('src/m', p_size % 6, '/f', p_partkey, '.cs') AS path", "concat('m', p_size % 6) AS module", f"{_TEXT} AS text")
 
 
 def _register(evaluator: Evaluator) -> None:

@@ -112,3 +112,12 @@ def test_a_name_that_many_files_define_is_not_multiplied(spark):
     assert resolved == {(f"u{i:04}.cs", x): t for i in range(n) for x, t in (("Shared", None), ("Lone", "l.cs"))}
     after = stages()
     assert max(s.shuffleWriteRecords() for s in map(after.apply, range(after.size())) if s.stageId() > before) <= 6 * n
+
+
+def test_small_tables_that_make_large_work_are_dealt_over_the_tasks(spark, sf_dir):
+    from govlens.plans import code, dependencies, sources
+
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for files in (code.polyglot_files, sources.code_files):
+        assert files(spark, sf_dir).rdd.getNumPartitions() == wanted
+    assert "REPARTITION_BY_NUM" in dependencies.repository_files(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from govlens import catalog
 from govlens.functions.expr import half_even
 from govlens.operators import graph, history, lexical, security
+from govlens.operators.written import written
 from govlens.plans.registry import query
 from govlens.sources import tables
 
@@ -67,7 +68,7 @@ def graph_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {_EDGES}, walk(node, depth) AS (SELECT 0, 0 UNION SELECT target, depth + 1 FROM walk JOIN edges ON source = node WHERE depth < 4) SELECT node, min(depth) AS depth FROM walk GROUP BY 1""")
 def reachable_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = tables.edges(spark, sf_dir).select("source", "target").distinct()
+    edges = written(tables.edges(spark, sf_dir).select("source", "target").distinct())  # each step of the walk reads them again
     walk = """WITH RECURSIVE walk(node, depth) AS
  (SELECT 0, 0 UNION ALL SELECT DISTINCT target, depth + 1 FROM walk JOIN {edges} ON source = node WHERE depth < 4)
 SELECT node, min(depth) AS depth FROM walk GROUP BY 1"""

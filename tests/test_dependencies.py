@@ -164,3 +164,11 @@ def test_requirements_resolve_to_the_highest_version_in_range(spark):
     found = {(r.name, r.form, r.spec): (r.best, r.status) for r in resolve(wanted, published).collect()}
     expected = {("p", f, s): (b, x) for f, s, b, x in RANGES} | {("nobody", "npm", "^1.0.0"): (None, "unresolved")}
     assert {k: v for k, v in found.items() if expected.get(k) != v and (v[0], expected[k][0]) != ("1.0", "1.0.0")} == {} and set(found) == set(expected)
+
+
+def test_a_walk_reads_its_edges_from_a_table_and_not_from_the_line_items(spark, sf_dir):
+    from govlens.plans.insight import reachable_nodes
+
+    walk = reachable_nodes(spark, sf_dir)
+    assert "lineitem" not in walk._jdf.queryExecution().executedPlan().toString()
+    assert min(r.depth for r in walk.collect()) == 0

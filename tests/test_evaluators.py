@@ -1,7 +1,8 @@
 """Evaluators on files with and without what they look for."""
 
 import pytest
-from govlens.operators.evaluators import EVALUATORS, measure, pairs, summarize
+from govlens.operators.evaluators import EVALUATORS, found, measure, occurrences, pairs, summarize
+from pyspark.sql import functions as F
 
 GOOD = """/// <summary>Doc.</summary> public class OrderSingleton { static readonly Lazy<int> Instance; private Hidden() { } lock (gate) { }
  void Run() { if (a && b) { } try { x(); } catch (IOException e) { log.LogError(e); } } log.LogInformation(text {Id}); db.BeginTransaction(); db.Commit(); db.Rollback(); using (db) { } }"""
@@ -35,3 +36,24 @@ def test_nothing_comes_of_nothing(files, name):
 def test_pairs(spark):
     rows = spark.createDataFrame([("m", "class PayCommand {"), ("m", "class PayCommandHandler {"), ("n", "class SendCommand {"), ("m", "class SendCommandHandler {")], "module string, text string")
     assert {(r.name, r.found) for r in pairs(rows, "Command", "CommandHandler").collect()} == {("PayCommand", True), ("SendCommand", False)}
+
+
+ODD = ["", "\n", "if", "for for ", "for(for(", "while(for (x)", "\nfor(", " for(if(", "forfor(", "é if(x)", "éif(x)", "\U0001f600for (", "#", "# a\n# b\n  # c//", "\n\n#\n", "def f(", "def f(\ndef g( def h(", "xdef f(", "function a function b",
+       "log.info(log.info(", "_log.info(", "xlog.info(", "x_log.info({a} %s)", "unsafe {unsafe {", "xunsafe {", "except:except:", "except e:\n pass except:pass", "catch (Exception e) { }catch{", "MyCommand class ACommand", "class ACommandX", "class ACommand\n", GOOD, BAD, None]
+
+
+def test_counts_are_those_of_the_patterns_as_written(spark):
+    texts = spark.createDataFrame([(t,) for t in ODD], "text string")
+    for e in EVALUATORS.values():
+        both = [c for i, p in enumerate(e.signals.values()) for c in (occurrences("text", p).alias(f"a{i}"), F.expr(f"regexp_count(text, '{p}')").cast("long").alias(f"b{i}"))]
+        rows = texts.select("text", found("text", e.applies).alias("a"), F.expr(f"text RLIKE '{e.applies}'").alias("b"), *both).collect()
+        assert [(r.text, k) for r in rows for k in r.asDict() if k[0] == "a" and r[k] != r["b" + k[1:]]] == []
+    with pytest.raises(ValueError):
+        occurrences("text", "^a")
+
+
+@pytest.mark.parametrize("name,text", [("complexity", "class A {{ public {0}int f() {{ if (a) }} }}"), ("documentation", "class A {{ public {0}int f() {{ }} }}"), ("cohesion", "class A {{ private {0}int f; public {0}int g() {{ }} }}")])
+def test_a_long_list_of_modifiers_is_counted(spark, name, text):
+    files = spark.createDataFrame([("a", "m", text.format("static " * 20_000))], "path string, module string, text string")
+    row = measure(files, EVALUATORS[name]).first()
+    assert row["declarations" if name == "documentation" else "methods"] == 1

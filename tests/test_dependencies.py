@@ -172,3 +172,35 @@ def test_a_walk_reads_its_edges_from_a_table_and_not_from_the_line_items(spark,
     walk = reachable_nodes(spark, sf_dir)
     assert "lineitem" not in walk._jdf.queryExecution().executedPlan().toString()
     assert min(r.depth for r in walk.collect()) == 0
+
+
+@pytest.mark.parametrize("chunk, size", [(1, 3), (20, 7), (50_000, 1000)])
+def test_groups_are_solved_together_and_never_cut(monkeypatch, chunk, size):
+    import pyarrow as pa
+
+    monkeypatch.setattr(cycles, "_CHUNK", chunk)
+    rnd = random.Random(4)
+    for _ in range(40):
+        edges = sorted({(f"p{rnd.randrange(5)}", rnd.randrange(-8, 8), rnd.randrange(-8, 8)) for _ in range(rnd.randrange(1, 90))}, key=lambda e: e[0])
+        edges += [("r", i, i + 1) for i in range(40)] + [("r", 40, 30)]
+        rows = pa.table({"project": [e[0] for e in edges], "part": [0] * len(edges), "source": [e[1] for e in edges], "target": [e[2] for e in edges]})
+        found = [r for b in cycles._solve(iter(rows.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        expected = plain(edges)
+        inner = {k: sum(1 for p, a, b in edges if (p, a) == k and expected[p, b][0] == v[0]) for k, v in expected.items()}
+        assert {(r["project"], r["node"]): (r["component"], r["size"], r["inner"]) for r in found} == {k: (*v[:2], inner[k]) for k, v in expected.items()}
+        assert len(found) == len(expected)
+
+
+@pytest.mark.parametrize("limit", [0, 3, cycles.TASK_EDGES])
+def test_cycles_of_projects_are_those_of_their_components(spark, limit):
+    edges = table(spark, EDGES + LONG)
+    expected = {tuple(r) for r in cycles.cycle_facts(edges, cycles.strong_components(edges)).collect()}
+    assert {tuple(r) for r in cycles.project_cycles(edges, limit).collect()} == expected and ("ring", 30, 1, 30, 30, 30) in expected
+    assert not cycles.project_cycles(table(spark, []).limit(0)).count()
+
+
+def test_circular_dependencies_are_solved_once_and_not_in_a_call_for_each_project(spark, sf_dir):
+    from govlens.plans.dependencies import circular_dependencies
+
+    plan = circular_dependencies(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "FlatMapGroups" not in plan and "l_orderkey" not in plan

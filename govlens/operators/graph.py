@@ -66,12 +66,21 @@ def layer_labels(edges: DataFrame) -> DataFrame:
     return dealt.select("source", "layers", (F.col("before") + F.col("inside")).cast("int").alias("position"))
 
 
-def owners(paths: DataFrame, modules: DataFrame) -> DataFrame:
-    """The deepest module that owns each path. Each path is joined by its own prefixes, so this is an equi-join."""
+def owned(rows: DataFrame, modules: DataFrame, keys: list[str]) -> DataFrame:
+    """The deepest module that owns the path of each row, by keys, which hold the path; rows that none owns are left out.
+
+    The outer explode adds no filter of its own, which would be worked out where the rows are read.
+    """
     parts = F.split("path", "/")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    own = paths.select("path").distinct().withColumn("module_path", F.explode(prefixes)).join(modules.select("module_path").distinct(), "module_path")
-    deepest = own.groupBy("path").agg(F.max_by("module_path", F.length("module_path")).alias("owner"))
+    own = rows.withColumn("module_path", F.explode_outer(prefixes)).join(modules.select("module_path").distinct(), "module_path")
+    rest = [F.first(c).alias(c) for c in rows.columns if c not in keys]
+    return own.groupBy(*keys).agg(F.max_by("module_path", F.length("module_path")).alias("owner"), *rest)
+
+
+def owners(paths: DataFrame, modules: DataFrame) -> DataFrame:
+    """The deepest module that owns each path. Each path is joined by its own prefixes, so this is an equi-join."""
+    deepest = owned(paths.select("path").distinct(), modules, ["path"])
     return paths.join(deepest, "path", "left").select(*paths.columns, "owner")
 
 

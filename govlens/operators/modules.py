@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from govlens.operators.graph import owners
+from govlens.operators.graph import owned, owners
 
 # What a name says about a project, in order of precedence; how is one of is, ends, begins, holds, part.
 TYPES = (
@@ -37,6 +37,15 @@ def _folder(path: Column) -> Column:
     return F.regexp_extract(path, "^(.*)/[^/]+$", 1)
 
 
+def _above(path: Column) -> Column:
+    """A file's path as far as its last slash, or as it is without one; never null, so that joins filter by nothing where files are read."""
+    return F.coalesce(F.regexp_replace(path, "/[^/]*$", ""), F.lit(""))
+
+
+def _ext(path: Column) -> Column:
+    return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
+
+
 def type_of_name(name: Column) -> Column:
     """What kind of project a lower-case name speaks of; Unknown if of none."""
     parts = F.split(name, "[.]")
@@ -142,9 +151,9 @@ def project_modules(files: DataFrame, found: DataFrame) -> DataFrame:
     modules = modules.withColumn("module", name).withColumn("guess", kind_of_module).withColumn("type", F.when(F.col("tests") | (F.col("guess") == "Test"), "Test").otherwise(F.col("guess")))
 
     language = F.element_at(F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv)), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
-    owned = owners(files.select(F.lower("path").alias("path")), modules.select(F.col("key").alias("module_path"))).withColumn("language", language)
+    owning = owners(files.select(F.lower("path").alias("path")), modules.select(F.col("key").alias("module_path"))).withColumn("language", language)
     razor = F.endswith("path", F.lit(".razor"))
-    holds = owned.where("owner is not null").groupBy(F.col("owner").alias("key")).agg(F.array_sort(F.collect_set("language")).alias("languages"), F.count(F.lit(1)).alias("n_files"), F.coalesce(F.max(razor), F.lit(False)).alias("razor"))
+    holds = owning.where("owner is not null").groupBy(F.col("owner").alias("key")).agg(F.array_sort(F.collect_set("language")).alias("languages"), F.count(F.lit(1)).alias("n_files"), F.coalesce(F.max(razor), F.lit(False)).alias("razor"))
     modules = modules.join(holds, "key", "left")
     net_module = F.exists("of_rank", lambda x: (x["rank"] == 0) & (F.size(x["frameworks"]) > 0))
     frameworks = F.array_distinct(F.flatten(F.array_compact(F.array(F.flatten(F.transform(F.filter("of_rank", lambda x: x["rank"] == 0), lambda x: x["frameworks"])), F.when(net_module & F.col("razor"), F.array(F.lit("Blazor"))), F.flatten(F.transform(F.filter("of_rank", lambda x: x["rank"] == 2), lambda x: x["frameworks"])), F.flatten(F.transform(F.filter("of_rank", lambda x: x["rank"] == 1), lambda x: x["frameworks"]))))))
@@ -162,7 +171,7 @@ def project_modules(files: DataFrame, found: DataFrame) -> DataFrame:
 
 def imported_names(files: DataFrame) -> DataFrame:
     """(path, name): packages that source files name: imports, requires, usings; relative ones and builtins aside, without repeats."""
-    ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    ext = F.col("ext")
     patterns = {
         "js": r"(?:from|import|require[(])\s*['\"]([^'\".][^'\"]*)['\"]", "py": r"(?:^|\n)\s*(?:import|from)[ \t]+([A-Za-z_][A-Za-z0-9_.]*)",
         "java": r"(?:^|\n)\s*import[ \t]+(?:static[ \t]+)?([A-Za-z_][A-Za-z0-9_.]*)", "cs": r"(?:^|\n)\s*(?:global[ \t]+)?using[ \t]+(?:static[ \t]+)?([A-Za-z_][A-Za-z0-9_.]*)[ \t]*;",
@@ -170,7 +179,8 @@ def imported_names(files: DataFrame) -> DataFrame:
     found = F.when(ext.isin("js", "jsx", "ts", "tsx"), F.regexp_extract_all("text", F.lit(patterns["js"]), 1))
     for x in ("py", "java", "cs"):
         found = found.when(ext == x, F.regexp_extract_all("text", F.lit(patterns[x]), 1))
-    return files.select("path", ext.alias("ext"), F.explode(F.array_distinct(found)).alias("name"))
+    rows = files.select("path", "text", _ext(F.col("path")).alias("ext"))
+    return rows.select("path", "ext", F.explode_outer(F.array_distinct(found)).alias("name")).where("name is not null")  # outer: the plain one looks for names twice
 
 
 def unused_references(files: DataFrame, found: DataFrame) -> DataFrame:
@@ -178,19 +188,21 @@ def unused_references(files: DataFrame, found: DataFrame) -> DataFrame:
 
     Identifiers of each project's files (an inverted index: prefix of a name, project) are anti-joined with what it declares. A scoped
     or deep import names its package; a namespace names every package that it begins with; for Java the group counts. A project
-    without source files in the manifest's languages has no unused references, as nothing is known.
+    without source files in the manifest's languages has no unused references, as nothing is known. What the files of a folder name is
+    gathered where they are read, without repeats; no path of a file is shuffled.
     """
     speaks = {"npm": ("js", "jsx", "ts", "tsx"), "pip": ("py",), "maven": ("java",), "dotnet": ("cs",)}
-    form = F.coalesce(*(F.when(F.col("ext").isin(*x), f) for f, x in speaks.items()))
-    names = imported_names(files).withColumn("format", form)
-    modules = found.select(F.col("folder").alias("module_path")).distinct()
-    extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    placed = owners(files.select("path").distinct(), modules).where("owner is not null").withColumn("ext", extension).withColumn("format", form)
-    known = placed.where("format is not null").select(F.col("owner").alias("folder"), "format").distinct()
+    form = F.coalesce(*(F.when(F.col("ext").isin(*x), f) for f, x in speaks.items()), F.lit(""))
+    at = [_above(F.col("path")).alias("path"), form.alias("format")]
+    files = files.where("path is not null")
+    spoken = files.select("path", _ext(F.col("path")).alias("ext")).select(*at).distinct()
+    placed = owned(spoken, found.select(F.col("folder").alias("module_path")), ["path", "format"])
+    known = placed.select(F.col("owner").alias("folder"), "format").distinct()
+    names = imported_names(files).select(*at, "name").distinct()
     parts = F.when(F.col("format") == "npm", F.split("name", "/")).otherwise(F.split(F.lower("name"), "[.]"))
     joined = lambda x: F.when(F.col("format") == "npm", F.array_join(x, "/")).otherwise(F.array_join(x, "."))
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: joined(F.slice(parts, F.lit(1), n)))
-    index = names.join(placed.select("path", "owner"), "path").select(F.col("owner").alias("folder"), "format", F.explode(prefixes).alias("used")).distinct()
+    index = names.join(placed, ["path", "format"]).select(F.col("owner").alias("folder"), "format", F.explode_outer(prefixes).alias("used")).distinct()
     declared = declared_references(found).join(known, ["folder", "format"], "left_semi")
     key = F.when(F.col("format") == "maven", F.lower(F.regexp_extract("name", "^([^:]+)", 1))).when(F.col("format") == "pip", F.translate(F.lower("name"), "-", "_")).when(F.col("format") == "dotnet", F.lower("name")).otherwise(F.col("name"))
     return declared.withColumn("used", key).join(index, ["folder", "format", "used"], "left_anti").select("path", "folder", "format", "name")

@@ -204,3 +204,40 @@ def test_circular_dependencies_are_solved_once_and_not_in_a_call_for_each_projec
 
     plan = circular_dependencies(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "FlatMapGroups" not in plan and "l_orderkey" not in plan
+
+
+def shuffled(spark, df):
+    """The rows of df, and the most rows that one of its stages shuffled."""
+    store, empty = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm.java.util.ArrayList()
+    stages = lambda: store.stageList(empty, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), empty)
+    before = max((stages().apply(i).stageId() for i in range(stages().size())), default=-1)
+    rows, after = df.collect(), stages()
+    return rows, max(s.shuffleWriteRecords() for s in map(after.apply, range(after.size())) if s.stageId() > before)
+
+
+MANIFESTS = [("r/a/package.json", '{"dependencies": {"kit": "1", "odd": "1"}}'), ("r/a/in/package.json", '{"dependencies": {"kit": "1"}}'), ("r/b/requirements.txt", "kit\n"), ("r/c/pom.xml", None), ("package.json", '{"dependencies": {"kit": "1"}}')]
+
+
+def test_what_files_name_is_gathered_by_folder_and_no_path_is_shuffled(spark):
+    from govlens.operators import modules
+
+    n = 4000
+    many = [(f"r/{('a', 'a/in/deep', 'b', 'a/in')[i % 4]}/src/f{i}.{('ts', 'tsx', 'py', 'js')[i % 4]}", ("import x from 'kit/deep';", "import y from 'other';", "import kitten\n", None)[i % 4]) for i in range(n)]
+    odd = [("alone.ts", "import x from 'odd';"), ("/x.ts", "import x from 'zzz';"), (None, "import x from 'odd';"), ("r/a/", "import x from 'odd';"), ("r/a/README", None), ("r/c/x.ts", "import x from 'a';")]
+    files = spark.createDataFrame(MANIFESTS + many + many[:50] + odd, "path string, text string")
+    rows, most = shuffled(spark, modules.unused_references(files, modules.manifests(spark.createDataFrame(MANIFESTS, "path string, text string"))))
+    assert sorted((r.path, r.name) for r in rows) == [("package.json", "kit"), ("r/a/in/package.json", "kit"), ("r/a/package.json", "odd"), ("r/b/requirements.txt", "kit")]
+    assert most < n / 10
+
+
+def test_source_files_are_shuffled_once_and_none_is_read_for_a_manifest(spark, sf_dir):
+    from govlens.plans import dependencies
+
+    planned = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for query in (dependencies.declared_references, dependencies.manifest_counts):
+        assert "lineitem" not in planned(query(spark, sf_dir))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert planned(dependencies.repository_files(spark, sf_dir)).count("Exchange hashpartitioning") == 3  # line items, suppliers twice
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

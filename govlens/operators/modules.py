@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from govlens.operators.graph import owned, owners
+from govlens.operators.graph import owned
 
 # What a name says about a project, in order of precedence; how is one of is, ends, begins, holds, part.
 TYPES = (
@@ -113,7 +113,7 @@ def project_modules(files: DataFrame, found: DataFrame) -> DataFrame:
 
     Its first manifest (project file, then pom.xml, then package.json) names it. A file belongs to the nearest folder above it;
     languages are those of the files that belong to the project. Folders are told apart without regard to case. requirements.txt
-    makes no project.
+    makes no project. Files are counted by folder and language where they are read, and only the counts are joined with modules.
     """
     found = found.where("format <> 'pip'").withColumn("key", F.lower("folder"))
     rank = F.when(F.col("format") == "dotnet", 0).when(F.col("format") == "maven", 1).otherwise(2)
@@ -150,10 +150,11 @@ def project_modules(files: DataFrame, found: DataFrame) -> DataFrame:
     kind_of_module = F.when(holds_tests, "Test").when(support, "TestSupport").when(by_path != "Unknown", by_path).otherwise(type_of_name(F.lower(F.col("module"))))
     modules = modules.withColumn("module", name).withColumn("guess", kind_of_module).withColumn("type", F.when(F.col("tests") | (F.col("guess") == "Test"), "Test").otherwise(F.col("guess")))
 
-    language = F.element_at(F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv)), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
-    owning = owners(files.select(F.lower("path").alias("path")), modules.select(F.col("key").alias("module_path"))).withColumn("language", language)
-    razor = F.endswith("path", F.lit(".razor"))
-    holds = owning.where("owner is not null").groupBy(F.col("owner").alias("key")).agg(F.array_sort(F.collect_set("language")).alias("languages"), F.count(F.lit(1)).alias("n_files"), F.coalesce(F.max(razor), F.lit(False)).alias("razor"))
+    language = F.element_at(F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv)), _ext(F.col("path")))
+    kept = ["path", "language", "razor"]
+    low = files.where("path is not null").select(F.lower("path").alias("path"))
+    counts = low.select(_above(F.col("path")).alias("path"), language.alias("language"), F.endswith("path", F.lit(".razor")).alias("razor")).groupBy(*kept).agg(F.count(F.lit(1)).alias("n"))
+    holds = owned(counts, modules.select(F.col("key").alias("module_path")), kept).groupBy(F.col("owner").alias("key")).agg(F.array_sort(F.collect_set("language")).alias("languages"), F.sum("n").alias("n_files"), F.max("razor").alias("razor"))
     modules = modules.join(holds, "key", "left")
     net_module = F.exists("of_rank", lambda x: (x["rank"] == 0) & (F.size(x["frameworks"]) > 0))
     frameworks = F.array_distinct(F.flatten(F.array_compact(F.array(F.flatten(F.transform(F.filter("of_rank", lambda x: x["rank"] == 0), lambda x: x["frameworks"])), F.when(net_module & F.col("razor"), F.array(F.lit("Blazor"))), F.flatten(F.transform(F.filter("of_rank", lambda x: x["rank"] == 2), lambda x: x["frameworks"])), F.flatten(F.transform(F.filter("of_rank", lambda x: x["rank"] == 1), lambda x: x["frameworks"]))))))

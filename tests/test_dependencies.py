@@ -241,3 +241,25 @@ def test_source_files_are_shuffled_once_and_none_is_read_for_a_manifest(spark, s
         assert planned(dependencies.repository_files(spark, sf_dir)).count("Exchange hashpartitioning") == 3  # line items, suppliers twice
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_files_are_counted_by_folder_and_no_path_is_shuffled(spark):
+    from govlens.operators import modules
+
+    rnd, n = random.Random(5), 4000
+    folders = ["R/a", "r/A/In", "r/a/in/deep/er", "r/b", "r/bb", "r", "q/r/b", ""]
+    manifests = [(f"{f}/package.json" if f else "package.json", "{}") for f in ("r/a", "r/a/in", "r/A/in", "r/b", "")] + [("r/b/B.csproj", "<Project></Project>")]
+    paths = [f"{rnd.choice(folders)}/f{i}.{rnd.choice(['ts', 'CS', 'py', 'md', 'razor'])}" for i in range(n)]
+    paths += paths[:40] + ["alone.ts", "r/a/", "r//x.js", None]
+    modules_of = {f.lower() for f in ("r/a", "r/a/in", "r/b", "")}
+    counted, spoken = dict.fromkeys(modules_of, 0), {f: set() for f in modules_of}
+    for p in filter(None, paths):
+        parts = p.lower().split("/")
+        own = next((f for f in ("/".join(parts[:i]) for i in range(len(parts) - 1, 0, -1)) if f in modules_of), None)
+        if own is not None:
+            counted[own] += 1
+            spoken[own] |= {x for x in [modules.LANGUAGES.get(parts[-1].rpartition(".")[2])] if x}
+    found = modules.manifests(spark.createDataFrame(manifests, "path string, text string"))
+    rows, most = shuffled(spark, modules.project_modules(spark.createDataFrame([(p, None) for p in paths], "path string, text string"), found))
+    assert {r.folder.lower(): (r.n_files, r.languages, "Blazor" in r.frameworks) for r in rows} == {f: (counted[f], ", ".join(sorted(spoken[f])), f == "r/b") for f in modules_of}
+    assert min(counted.values()) > 100 and most < n / 10
